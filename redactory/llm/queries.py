@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redactory.llm.common import read_documents
+from redactory.llm.linededup import dedup_lines
 from redactory.llm.neardup import near_duplicates
+from redactory.llm.rules import judge
 from redactory.llm.sharding import row_size, shuffle_into_shards
 
 
@@ -23,10 +25,20 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(read_documents(spark, sf_dir))
+    return out.select("doc_id", "n_removed", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"), (F.col("text") != "").alias("kept"))
+
+
 def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_documents(spark, sf_dir), words=3, num=85, den=100)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = judge(read_documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -36,3 +48,27 @@ def oracle_sql() -> dict[str, str]:
 
 
 SQL: dict[str, str] = {}
+
+SQL["op9_quality_rules"] = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM t),
+e AS (SELECT r, generate_subscripts(ws, 1) AS p, unnest(ws) AS x FROM w),
+g AS (SELECT r, p, [x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o] AS g FROM e WINDOW o AS (PARTITION BY r ORDER BY p)),
+d AS (SELECT r, p, count(*) OVER (PARTITION BY r, g) AS n FROM g WHERE g[5] IS NOT NULL),
+h AS (SELECT r, p, lead(p) OVER (PARTITION BY r ORDER BY p) AS nx FROM d WHERE n > 1),
+k AS (SELECT r, sum(least(5, coalesce(nx - p, 5))) AS n_repeat_words FROM h GROUP BY r),
+l AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+f AS (SELECT doc_id, text, ws, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM t JOIN w USING (r) JOIN l USING (r) LEFT JOIN k USING (r)),
+v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  length(text) - length(regexp_replace(text, '\p{L}', '', 'g')) AS letters, length(text) - length(regexp_replace(text, '\p{Lu}', '', 'g')) AS upper_,
+  length(text) - length(replace(text, '|', '')) AS bars,
+  len(list_filter(list_zip(ws[2:], ws[:-2]), lambda x: x[1] = x[2])) AS echoes FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+    OR (n_dup_lines >= 3 AND 10 * n_dup_lines > n_words) OR upper_ * 2 > letters OR letters * 2 < word_chars
+    OR bars * 10 > n_words OR echoes * 10 > n_words * 3) AS kept
+FROM v
+"""
