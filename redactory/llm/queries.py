@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from redactory.llm import langid
 from redactory.llm.common import read_documents
 from redactory.llm.linededup import dedup_lines
 from redactory.llm.neardup import near_duplicates
@@ -25,6 +26,13 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = langid.train(docs, ~held_out)
+    return langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(read_documents(spark, sf_dir))
     return out.select("doc_id", "n_removed", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"), (F.col("text") != "").alias("kept"))
