@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redactory.llm import langid
+from redactory.llm.bpe import encode_documents
 from redactory.llm.common import read_documents
 from redactory.llm.linededup import dedup_lines
 from redactory.llm.neardup import near_duplicates
@@ -38,6 +40,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_removed", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"), (F.col("text") != "").alias("kept"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    return encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_documents(spark, sf_dir), words=3, num=85, den=100)
 
