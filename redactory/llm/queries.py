@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from redactory.llm import langid
 from redactory.llm.bpe import encode_documents
 from redactory.llm.common import read_documents
+from redactory.llm.decontam import find_contamination
 from redactory.llm.linededup import dedup_lines
 from redactory.llm.neardup import near_duplicates
 from redactory.llm.rules import judge
@@ -45,6 +46,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return find_contamination(read_documents(spark, sf_dir), items)
+
+
 def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_documents(spark, sf_dir), words=3, num=85, den=100)
 
