@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactory.llm import langid
+from redactory.llm import langid, quality
 from redactory.llm.bpe import encode_documents
 from redactory.llm.common import read_documents
 from redactory.llm.decontam import find_contamination
@@ -29,6 +29,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    model = quality.co_train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model).select("doc_id", "quality_score", "kept")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir).select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
