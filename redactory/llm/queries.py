@@ -11,6 +11,7 @@ from redactory.llm.bpe import encode_documents
 from redactory.llm.common import read_documents
 from redactory.llm.decontam import find_contamination
 from redactory.llm.linededup import dedup_lines
+from redactory.llm.lmscore import score_documents
 from redactory.llm.neardup import near_duplicates
 from redactory.llm.rules import judge
 from redactory.llm.sharding import row_size, shuffle_into_shards
@@ -61,6 +62,10 @@ def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_documents(spark, sf_dir), words=3, num=85, den=100)
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read_documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(read_documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
