@@ -8,8 +8,10 @@
    dropped if the posterior probability (uniform prior) that its similarity
    reaches the threshold is below ``miss``. Survivors are verified on full sets.
 4. Verified links are contracted to components. Buckets that still hold several
-   components get further pivots; what is left after ``pivots`` rounds is paired
-   across components in full, so a bucket never hides a link.
+   components go on: a text whose shingles occur too rarely in any other text of
+   these buckets cannot link and leaves; the rest get further pivots, and what is
+   left after ``pivots`` rounds is paired across components as far as sizes and
+   common shingles allow a link, so a bucket never hides one.
 
 Nulls, ties, repeats: a null or wordless text has the empty set and is linked
 with nothing. A row without an id keeps a null component and stays. Rows that
@@ -194,7 +196,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return stars.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bands: int = 26, band_rows: int = 5, batch: int = 26, miss: float = 1e-9, pivots: int = 3, seed: int = 7) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bands: int = 26, band_rows: int = 5, batch: int = 26, miss: float = 1e-9, pivots: int = 2, seed: int = 7) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``.
 
     Documents are linked when their shingle sets have a Jaccard similarity of
@@ -208,34 +210,65 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     shared = members.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n"))
     shared = shared.where("pivot < last")
     members = materialise(members.join(shared, "key").select("key", "node", "size", "pivot", "n"), "members")
-    near = F.expr(f"least(size, other) * {den} >= greatest(size, other) * {num}")
 
     def links(pairs: DataFrame) -> DataFrame:
         return materialise(_verified(materialise(_survivors(pairs, nodes, steps), "survivors"), docs, words, num, den), "links")
 
     pairs = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     found = [links(pairs)]
-    for turn in range(1, pivots + 1):
+    known = components(found[0])
+    # a bucket of two has been compared in full, and every pivot with its bucket
+    open_ = _unsettled(members.where("n > 2 and node != pivot").select("key", "node", "size"), known, "open")
+    if not open_.take(1):
+        return _labelled(sig, sets, known)
+    # of what is left, only texts that share enough shingles with any other can link
+    common = materialise(_common_shingles(open_.select("node").distinct(), docs, words), "common")
+    open_ = _unsettled(open_.join(common, "node").where(F.col("common") * den >= F.col("size") * num).select("key", "node", "size", "common"), known, "open")
+    for turn in range(pivots):
+        best = F.struct((F.col("size") - F.col("common")) / F.col("size") if turn == 0 else F.xxhash64(F.lit(turn), "node"), "node", "size", "common", "component")
+        pivot = open_.groupBy("key").agg(F.min(best).alias("p")).select("key", F.col("p.node").alias("far"), F.col("p.size").alias("other"), F.col("p.common").alias("most"), F.col("p.component").alias("home"))
+        at = materialise(open_.join(pivot, "key"), "pivoted")
+        pairs = at.where("component != home").where(_may_link(num, den)).select(F.least("far", "node").alias("a"), F.greatest("far", "node").alias("b")).distinct()
+        found.append(links(materialise(pairs, "pairs")))
         known = components(reduce(DataFrame.unionByName, found))
-        if turn == 1:  # a bucket of two has been compared in full
-            members = members.where("n > 2 and node != pivot").select("key", "node", "size")
-        placed = members.join(known, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
-        split = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "size", "component")).alias("p"))
-        split = split.where("c0 < c1").select("key", F.col("p.node").alias("pivot"), F.col("p.size").alias("other"), F.col("p.component").alias("home"))
-        open_ = materialise(placed.join(split, "key"), "open")
+        open_ = _unsettled(at.where("node != far").select("key", "node", "size", "common"), known, "open")
         if not open_.take(1):
             return _labelled(sig, sets, known)
-        if turn < pivots:
-            pairs = open_.where("component != home").where(near).select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-            members = open_.where("node != pivot").select("key", "node", "size")
-        else:
-            left = open_.select("key", "node", "size", "component")
-            right = open_.select("key", F.col("node").alias("far"), F.col("size").alias("other"), F.col("component").alias("home"))
-            pairs = left.join(right, "key").where("component < home").where(near).select(F.least("far", "node").alias("a"), F.greatest("far", "node").alias("b")).distinct()
-        found.append(links(materialise(pairs, "pairs")))
+    right = open_.select("key", F.col("node").alias("far"), F.col("size").alias("other"), F.col("common").alias("most"), F.col("component").alias("home"))
+    pairs = open_.join(right, "key").where((F.col("component") < F.col("home")) & _may_link(num, den)).select(F.least("far", "node").alias("a"), F.greatest("far", "node").alias("b")).distinct()
+    found.append(links(materialise(pairs, "pairs")))
     return _labelled(sig, sets, components(reduce(DataFrame.unionByName, found)))
 
 
+def _may_link(num: int, den: int):
+    """Jaccard >= num / den needs (num + den) |A and B| >= num (|A| + |B|), and no
+    intersection exceeds what either text has in common with any other."""
+    return F.least("common", "most") * (num + den) >= (F.col("size") + F.col("other")) * num
+
+
+def _unsettled(members: DataFrame, known: DataFrame, name: str) -> DataFrame:
+    """Members, with their component, of buckets that hold several components."""
+    placed = members.join(known, "node", "left").select(*members.columns, F.coalesce("component", "node").alias("component"))
+    split = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
+    return materialise(placed.join(split, "key", "left_semi"), name)
+
+
+def _common_shingles(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(node, common): how many of its shingles occur in another of the nodes."""
+    sets = materialise(shingle_sets(docs.select("doc_id", "text").join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), words), "open_sets")
+
+    def explode(batches):
+        for whole in batches:
+            for at in range(0, len(whole), 1024):
+                batch = whole.slice(at, 1024)
+                parts = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("shingles")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("doc_id").to_numpy(), [len(p) for p in parts])), pa.array(np.concatenate(parts))], names=["node", "shingle"])
+
+    held = sets.mapInArrow(explode, "node long, shingle long")
+    shared = held.groupBy("shingle").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("shingle")
+    return held.join(shared, "shingle", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
+
+
 def _labelled(sig: DataFrame, sets: DataFrame, known: DataFrame) -> DataFrame:
     named = sets.join(known, "node", "left").select("fp1", "fp2", F.coalesce("component", "node").alias("found"))
     full = sig.select("doc_id", "n_shingles", "fp1", "fp2").where("n_shingles > 0 and doc_id is not null").join(named, ["fp1", "fp2"])
