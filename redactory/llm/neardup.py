@@ -8,10 +8,9 @@
    dropped if the posterior probability (uniform prior) that its similarity
    reaches the threshold is below ``miss``. Survivors are verified on full sets.
 4. Verified links are contracted to components. Buckets that still hold several
-   components go on: a text whose shingles occur too rarely in any other text of
-   these buckets cannot link and leaves; the rest get further pivots, and what is
-   left after ``pivots`` rounds is paired across components as far as sizes and
-   common shingles allow a link, so a bucket never hides one.
+   components get a second pivot, the text with most of the common shingles; what
+   is then left is paired across components as far as sizes and counts of frequent
+   and rare shingles allow a link (see ``_rest``), so a bucket never hides one.
 
 Nulls, ties, repeats: a null or wordless text has the empty set and is linked
 with nothing. A row without an id keeps a null component and stays. Rows that
@@ -153,10 +152,8 @@ def _survivors(pairs: DataFrame, nodes: DataFrame, steps: list[tuple[int, int]])
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs with den * |intersection| >= num * |union| on full shingle sets."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = shingle_sets(docs.select("doc_id", "text").join(named, "doc_id", "left_semi"), words)
 
     def run(batches):
         for batch in batches:
@@ -169,7 +166,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int)
             rows = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(rows), batch.column("b").take(rows)], names=["a", "b"])
 
-    sets = materialise(sets, "sets")
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("ta"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("tb"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
@@ -196,54 +192,82 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return stars.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bands: int = 26, band_rows: int = 5, batch: int = 26, miss: float = 1e-9, pivots: int = 2, seed: int = 7) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bands: int = 26, band_rows: int = 5, batch: int = 26, miss: float = 1e-9, large: int = 64, seed: int = 7) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``.
 
     Documents are linked when their shingle sets have a Jaccard similarity of
-    num / den or more; component_id is the smallest doc_id reachable."""
+    num / den or more; component_id is the smallest doc_id reachable. ``large``
+    only decides how what the pivots leave is paired, not what is found."""
     sig = materialise(signatures(docs, words, bands, band_rows, seed), "signatures")
     steps = least_matches(bands * band_rows, batch, num / den, miss)
     full = sig.where("n_shingles > 0 and doc_id is not null")
-    sets = materialise(full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node")), "sets_of_copies")
-    nodes = full.withColumnRenamed("doc_id", "node").join(sets.select("node").distinct(), "node", "left_semi")
+    copies = materialise(full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node")), "copies")
+    nodes = full.withColumnRenamed("doc_id", "node").join(copies.select("node").distinct(), "node", "left_semi")
     members = nodes.select("node", F.col("n_shingles").alias("size"), F.explode("keys").alias("key")).distinct()
     shared = members.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n"))
-    shared = shared.where("pivot < last")
-    members = materialise(members.join(shared, "key").select("key", "node", "size", "pivot", "n"), "members")
+    members = materialise(members.join(shared.where("pivot < last"), "key").select("key", "node", "size", "pivot", "n"), "members")
+    # the only pass that moves texts; the join is the same at every size
+    named = members.select(F.col("node").alias("doc_id")).distinct()
+    sets = materialise(shingle_sets(docs.select("doc_id", "text").join(named.hint("merge"), "doc_id", "left_semi"), words), "sets")
 
     def links(pairs: DataFrame) -> DataFrame:
-        return materialise(_verified(materialise(_survivors(pairs, nodes, steps), "survivors"), docs, words, num, den), "links")
+        return materialise(_verified(materialise(_survivors(pairs.distinct(), nodes, steps), "survivors"), sets, num, den), "links")
 
-    pairs = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    found = [links(pairs)]
+    found = [links(members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))]
     known = components(found[0])
     # a bucket of two has been compared in full, and every pivot with its bucket
     open_ = _unsettled(members.where("n > 2 and node != pivot").select("key", "node", "size"), known, "open")
     if not open_.take(1):
-        return _labelled(sig, sets, known)
-    # of what is left, only texts that share enough shingles with any other can link
-    common = materialise(_common_shingles(open_.select("node").distinct(), docs, words), "common")
-    open_ = _unsettled(open_.join(common, "node").where(F.col("common") * den >= F.col("size") * num).select("key", "node", "size", "common"), known, "open")
-    for turn in range(pivots):
-        best = F.struct((F.col("size") - F.col("common")) / F.col("size") if turn == 0 else F.xxhash64(F.lit(turn), "node"), "node", "size", "common", "component")
-        pivot = open_.groupBy("key").agg(F.min(best).alias("p")).select("key", F.col("p.node").alias("far"), F.col("p.size").alias("other"), F.col("p.common").alias("most"), F.col("p.component").alias("home"))
-        at = materialise(open_.join(pivot, "key"), "pivoted")
-        pairs = at.where("component != home").where(_may_link(num, den)).select(F.least("far", "node").alias("a"), F.greatest("far", "node").alias("b")).distinct()
-        found.append(links(materialise(pairs, "pairs")))
-        known = components(reduce(DataFrame.unionByName, found))
-        open_ = _unsettled(at.where("node != far").select("key", "node", "size", "common"), known, "open")
-        if not open_.take(1):
-            return _labelled(sig, sets, known)
-    right = open_.select("key", F.col("node").alias("far"), F.col("size").alias("other"), F.col("common").alias("most"), F.col("component").alias("home"))
-    pairs = open_.join(right, "key").where((F.col("component") < F.col("home")) & _may_link(num, den)).select(F.least("far", "node").alias("a"), F.greatest("far", "node").alias("b")).distinct()
-    found.append(links(materialise(pairs, "pairs")))
-    return _labelled(sig, sets, components(reduce(DataFrame.unionByName, found)))
-
-
-def _may_link(num: int, den: int):
-    """Jaccard >= num / den needs (num + den) |A and B| >= num (|A| + |B|), and no
-    intersection exceeds what either text has in common with any other."""
-    return F.least("common", "most") * (num + den) >= (F.col("size") + F.col("other")) * num
+        return _labelled(sig, copies, known)
+    held = materialise(_shingle_rows(open_.select("node").distinct(), sets), "held")
+    hot = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large)
+    often = materialise(held.join(hot, "shingle", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("hot")), "often")
+    open_ = materialise(open_.join(often, "node", "left").fillna(0, ["hot"]), "ranked")
+    # the text with the largest share of frequent shingles is the next pivot
+    pivot = open_.groupBy("key").agg(F.min(F.struct(-F.col("hot") / F.col("size"), "node", "component")).alias("p")).select("key", F.col("p.node").alias("far"), F.col("p.component").alias("home"))
+    at = open_.join(pivot, "key")
+    found.append(links(materialise(_ordered(at.where("component != home")), "pairs")))
+    known = components(reduce(DataFrame.unionByName, found))
+    open_ = _unsettled(at.where("node != far").select("key", "node", "size", "hot"), known, "open")
+    if not open_.take(1):
+        return _labelled(sig, copies, known)
+    found.append(links(materialise(_rest(open_, held, large, num, den), "pairs")))
+    return _labelled(sig, copies, components(reduce(DataFrame.unionByName, found)))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("node", "far").alias("a"), F.greatest("node", "far").alias("b")).distinct()
+
+
+def _rest(open_: DataFrame, held: DataFrame, large: int, num: int, den: int) -> DataFrame:
+    """All pairs across components that may still link, without a quadratic step.
+
+    A link needs (num + den) |A and B| >= num (|A| + |B|). In buckets of up to
+    ``large`` nodes all pairs are taken. In larger ones, shingles held by more than
+    ``large`` of the open nodes are hot, the others cold. Two texts with no cold
+    shingle in common share at most the smaller number of hot ones, so only texts
+    made of hot shingles almost alone can link; texts that do share cold ones are
+    paired on these, which are rare by definition, and their shared cold shingles
+    are counted."""
+    sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    placed = open_.join(sizes, "key")
+    other = lambda df: df.select("key", F.col("node").alias("far"), F.col("size").alias("other"), F.col("hot").alias("most"), F.col("component").alias("home"))
+    across = F.col("component") < F.col("home")
+    fits = F.least("size", "other") * den >= F.greatest("size", "other") * num
+    need = (F.col("size") + F.col("other")) * num
+    small = placed.where(F.col("n") <= large)
+    small = small.join(other(small), "key").where(across & fits)
+    big = placed.where(F.col("n") > large)
+    core = big.where(F.col("hot") * den >= F.col("size") * num)
+    core = core.join(other(core), "key").where(across & (F.least("hot", "most") * (num + den) >= need))
+    facts = big.select("node", "size", "hot", "component").distinct()
+    mine = held.join(facts.select("node"), "node", "left_semi")
+    rare = mine.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, large)).select("shingle")
+    cold = mine.join(rare, "shingle")
+    met = cold.join(cold.withColumnRenamed("node", "far"), "shingle").where("node < far").groupBy("node", "far").agg(F.count(F.lit(1)).alias("cold"))
+    met = met.join(facts, "node").join(facts.select(F.col("node").alias("far"), F.col("size").alias("other"), F.col("hot").alias("most"), F.col("component").alias("home")), "far")
+    met = met.where((F.col("component") != F.col("home")) & ((F.least("hot", "most") + F.col("cold")) * (num + den) >= need))
+    return _ordered(small).unionByName(_ordered(core)).unionByName(_ordered(met)).distinct()
 
 
 def _unsettled(members: DataFrame, known: DataFrame, name: str) -> DataFrame:
@@ -253,9 +277,8 @@ def _unsettled(members: DataFrame, known: DataFrame, name: str) -> DataFrame:
     return materialise(placed.join(split, "key", "left_semi"), name)
 
 
-def _common_shingles(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(node, common): how many of its shingles occur in another of the nodes."""
-    sets = materialise(shingle_sets(docs.select("doc_id", "text").join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), words), "open_sets")
+def _shingle_rows(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, shingle): the full sets of some nodes as rows."""
 
     def explode(batches):
         for whole in batches:
@@ -264,9 +287,7 @@ def _common_shingles(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame
                 parts = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("shingles")]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("doc_id").to_numpy(), [len(p) for p in parts])), pa.array(np.concatenate(parts))], names=["node", "shingle"])
 
-    held = sets.mapInArrow(explode, "node long, shingle long")
-    shared = held.groupBy("shingle").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("shingle")
-    return held.join(shared, "shingle", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
+    return sets.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(explode, "node long, shingle long").distinct()
 
 
 def _labelled(sig: DataFrame, sets: DataFrame, known: DataFrame) -> DataFrame:
