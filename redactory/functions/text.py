@@ -79,10 +79,9 @@ def singular_keys(key: Column) -> Column:
 
 def cluster_key(c: Column) -> Column:
     """The form in which mentions of one entity are compared."""
-    c = F.replace(F.lower(c), F.lit("&"), F.lit("and"))
-    for suffix in LEGAL_SUFFIXES:
-        tail = " " + suffix
-        c = F.when(c.endswith(tail), F.substring(c, F.lit(1), F.length(c) - len(tail))).otherwise(c)
+    tails = F.array(*(F.lit(" " + suffix) for suffix in LEGAL_SUFFIXES))
+    cut = lambda acc, tail: F.when(F.endswith(acc, tail), F.substring(acc, F.lit(1), F.length(acc) - F.length(tail))).otherwise(acc)
+    c = F.aggregate(tails, F.replace(F.lower(c), F.lit("&"), F.lit("and")), cut)
     return F.regexp_replace(F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}\s]", "")), " {2,}", " ")
 
 

@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 
 from redactory.functions.let import let, let_all
 from redactory.functions.text import scan_normalize
-from redactory.operators.lexicon import Lexicon, drop_excluded, read_exclusions
-from redactory.operators.organisations import settle_organisations
+from redactory.operators.lexicon import Lexicon
 from redactory.plans import rules as R
 from redactory.plans.rules import Rule
 from redactory.schemas import SPAN, SPANS
@@ -180,16 +179,12 @@ def scan_rules(docs: DataFrame, labels=None, rules=R.RULES, exclusions: str | No
     """(doc_id, start, end, label, text, confidence, source) of every rule.
 
     ``labels``: None for all rules, else only these; the defined-name rule always
-    runs. Organisations are tidied once for each distinct string; places and
-    organisations that are excluded phrases go."""
-    spark = docs.sparkSession
-    found = scan_long(docs, labels, rules)
-    if labels is not None and not {"ORG", "LOC"} & {x.strip().upper() for x in labels}:
-        return found
-    lexicon, (literals, patterns) = Lexicon.read(spark, exclusions), read_exclusions(spark, exclusions)
-    orgs = settle_organisations(found.where("label = 'ORG'"), lexicon)
-    places = drop_excluded(found.where("label = 'LOC'"), literals, patterns)
-    return found.where("label not in ('ORG', 'LOC')").unionByName(places).unionByName(orgs)
+    runs. Names of organisations are tidied, and places and organisations that are
+    excluded phrases go, on the document's own row: a text is read once."""
+    from redactory.plans.pipeline import detect
+
+    found = detect(docs.select("doc_id", "text"), Lexicon.read(docs.sparkSession, exclusions), labels, rules, floor=0.0)
+    return found.select("doc_id", F.inline("spans"))
 
 
 def scan_regex(docs: DataFrame, label: str, pattern: str, confidence: float, source: str = "rule") -> DataFrame:
