@@ -220,9 +220,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     if not open_.take(1):
         return _labelled(sig, copies, known)
     held = materialise(_shingle_rows(open_.select("node").distinct(), sets), "held")
-    hot = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large)
-    often = materialise(held.join(hot, "shingle", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("hot")), "often")
-    open_ = materialise(open_.join(often, "node", "left").fillna(0, ["hot"]), "ranked")
+    rare = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= large)
+    # the rare shingles of a text are few where a bucket is large, so those are joined and counted
+    cold = held.join(rare, "shingle", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("cold"))
+    often = held.groupBy("node").agg(F.count(F.lit(1)).alias("all")).join(cold, "node", "left").select("node", (F.col("all") - F.coalesce("cold", F.lit(0))).alias("hot"))
+    open_ = materialise(open_.join(materialise(often, "often"), "node"), "ranked")
     # the text with the largest share of frequent shingles is the next pivot
     pivot = open_.groupBy("key").agg(F.min(F.struct(-F.col("hot") / F.col("size"), "node", "component")).alias("p")).select("key", F.col("p.node").alias("far"), F.col("p.component").alias("home"))
     at = open_.join(pivot, "key")
@@ -231,7 +233,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     open_ = _unsettled(at.where("node != far").select("key", "node", "size", "hot"), known, "open")
     if not open_.take(1):
         return _labelled(sig, copies, known)
-    found.append(links(materialise(_rest(open_, held, large, num, den), "pairs")))
+    found.append(links(materialise(_rest(open_, sets, large, num, den), "pairs")))
     return _labelled(sig, copies, components(reduce(DataFrame.unionByName, found)))
 
 
@@ -239,7 +241,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "far").alias("a"), F.greatest("node", "far").alias("b")).distinct()
 
 
-def _rest(open_: DataFrame, held: DataFrame, large: int, num: int, den: int) -> DataFrame:
+def _rest(open_: DataFrame, sets: DataFrame, large: int, num: int, den: int) -> DataFrame:
     """All pairs across components that may still link, without a quadratic step.
 
     A link needs (num + den) |A and B| >= num (|A| + |B|). In buckets of up to
@@ -261,7 +263,7 @@ def _rest(open_: DataFrame, held: DataFrame, large: int, num: int, den: int) ->
     core = big.where(F.col("hot") * den >= F.col("size") * num)
     core = core.join(other(core), "key").where(across & (F.least("hot", "most") * (num + den) >= need))
     facts = big.select("node", "size", "hot", "component").distinct()
-    mine = held.join(facts.select("node"), "node", "left_semi")
+    mine = materialise(_shingle_rows(facts.select("node").distinct(), sets), "mine")
     rare = mine.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, large)).select("shingle")
     cold = mine.join(rare, "shingle")
     met = cold.join(cold.withColumnRenamed("node", "far"), "shingle").where("node < far").groupBy("node", "far").agg(F.count(F.lit(1)).alias("cold"))
