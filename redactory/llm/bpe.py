@@ -24,10 +24,12 @@ import unicodedata
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 CACHE_WORDS = 200_000
 # fixed values: white space of the normaliser and the pre-token pattern of the file
 SPACES = re.compile("[\\t\\n\\x0b\\x0c\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000 ]+")
+LATER_SCRIPTS = re.compile("[\u0530-\U0010ffff]")
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", regex.V0)
 
 
@@ -51,6 +53,8 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in (self.ids | self.special).items()}
         self.symbol = byte_symbols()
+        self.byte = {c: b for b, c in enumerate(self.symbol)}
+        self.library = Tokenizer.from_file(path)
         self.inside = {pair for token in self.ids for x in [self.split_token(token)] for pair in zip(x, x[1:], strict=False)}
         found = "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True))
         self.special_at = re.compile(f"({found})") if found else None
@@ -113,6 +117,12 @@ class WordBpe:
         return made
 
     def pre_tokens(self, text: str) -> list[str]:
+        """Normalised words. Character classes depend on the Unicode version of a
+        library, so a text with code points that are unassigned here is normalised
+        and split by the tokenizer library's own rules."""
+        if LATER_SCRIPTS.search(text) and any(unicodedata.category(c) == "Cn" for c in set(text)):
+            words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+            return [bytes(self.byte[c] for c in w).decode("utf-8", "replace") for w, _ in words]
         text = SPACES.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
         return PRE_TOKEN.findall(text)
 
