@@ -17,13 +17,15 @@ from redactory.functions.text import luhn_ok
 
 @dataclass(frozen=True)
 class Rule:
-    """A labelled pattern; ``validator`` maps the matched text to a boolean."""
+    """A labelled pattern; ``validator`` maps the matched text to a boolean. A text
+    without a match of ``needs``, a cheap pattern, cannot match and is not scanned."""
 
     label: str
     pattern: str
     confidence: float
     validator: Callable[[Column], Column] | None = None
     source: str = "rule"
+    needs: str | None = None
 
 
 # --- fixed values: patterns ---------------------------------------------------
@@ -190,22 +192,22 @@ ORG_TAIL = (
 URL_TAIL = r"[.,;:!?)\]}>\\\"']+$"
 
 RULES: tuple[Rule, ...] = (
-    Rule("EMAIL", EMAIL, 0.98),
-    Rule("PHONE", PHONE, 0.96),
-    Rule("SSN", SSN, 0.99),
+    Rule("EMAIL", EMAIL, 0.98, needs=r"@"),
+    Rule("PHONE", PHONE, 0.96, needs=r"(?U)\d"),
+    Rule("SSN", SSN, 0.99, needs=r"(?U)\d"),
     Rule("MONEY", MONEY, 0.90),
     Rule("PERCENT", PERCENT, 0.90),
-    Rule("NUMBER", BRACKET_NUMBER, 0.70),
+    Rule("NUMBER", BRACKET_NUMBER, 0.70, needs=r"\["),
     Rule("DATE", DATE, 0.88),
-    Rule("ACCOUNT", ACCOUNT, 0.80),
-    Rule("SWIFT", SWIFT, 0.92),
-    Rule("CARD", CARD, 0.92, luhn_ok),
+    Rule("ACCOUNT", ACCOUNT, 0.80, needs=r"(?U)\d"),
+    Rule("SWIFT", SWIFT, 0.92, needs=r"[0-9]"),
+    Rule("CARD", CARD, 0.92, luhn_ok, needs=r"(?U)\d"),
     Rule("URL", URL, 0.90),
-    Rule("IP", IPV4, 0.90),
-    Rule("IP", IPV6, 0.90),
+    Rule("IP", IPV4, 0.90, needs=r"[0-9]"),
+    Rule("IP", IPV6, 0.90, needs=r":"),
     Rule("DOCID", DOCID, 0.95),
     Rule("ORG", ORG, 0.75),
-    Rule("LOC", ADDRESS, 0.85),
-    Rule("LOC", COUNTY, 0.82),
+    Rule("LOC", ADDRESS, 0.85, needs=r"(?i)[0-9]|address|residing at|location"),
+    Rule("LOC", COUNTY, 0.82, needs=r"(?i)county|parish|borough"),
 )
 SIGNATURE = "SIGNATURE"
