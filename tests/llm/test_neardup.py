@@ -57,7 +57,8 @@ def test_edges(spark):
     assert by[None].component_id is None and by[None].kept and by[7].n_shingles == 1
     assert near_duplicates(df.limit(0)).count() == 0
     left = drop_near_duplicates(df)
-    assert left.columns == df.columns and 6 not in {r.doc_id for r in left.collect()} and left.count() == len(got) - 1
+    # 8 is 5's text behind two more words: 46 of 48 shingles are common
+    assert left.columns == df.columns and not {6, 8} & {r.doc_id for r in left.collect()} and left.count() == len(got) - 2
 
 
 def test_sequential_bounds():
