@@ -7,6 +7,7 @@ summed per document. Rows of both relations are packed in sorted arrays:
 1. Documents are dealt by hash into blocks of about ``block_bytes``. A block
    sends every distinct n-gram it holds, with its count, to the n-gram's hash
    partition, so a frequent n-gram arrives once for each block, not each row.
+   Sorted hashes are sent as their differences, counts compressed; none is left out.
 2. A hash partition sums the counts (the count table) and answers each block.
 3. A block joins the answers to its exploded n-grams and sums per document.
 
@@ -22,6 +23,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +54,29 @@ def _part(hashes: np.ndarray, n_parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(n_parts)) >> np.uint64(32)
 
 
-def score_documents(docs: DataFrame, order: int = 2, alpha: float = 0.4, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+def pack(values: np.ndarray, raw: int = 0) -> bytes:
+    """Non-negative integers by byte planes: the ``raw`` low ones as they are, the
+    others, which are mostly zero, compressed."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return np.uint32(len(values)).tobytes() + planes[:raw].tobytes() + zlib.compress(planes[raw:].tobytes(), 1)
+
+
+def unpack(data: bytes, raw: int = 0) -> np.ndarray:
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    high = np.frombuffer(zlib.decompress(memoryview(data)[4 + raw * n :]), np.uint8)
+    planes = np.concatenate([np.frombuffer(data, np.uint8, raw * n, 4), high]).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.uint64(0)), 5)
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, 5), dtype=np.uint64)
+
+
+def score_documents(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, n_words, log_score, per_word): one row for each row of ``docs``;
     per_word is the mean natural log of S."""
     total = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
@@ -69,7 +93,7 @@ def score_documents(docs: DataFrame, order: int = 2, alpha: float = 0.4, block_b
             for p in range(n_parts):
                 if cuts[p] < cuts[p + 1]:
                     span = slice(cuts[p], cuts[p + 1])
-                    for c, v in zip(out, (p, key[0].as_py(), n, found[span].tobytes(), counts[span].astype(np.uint32).tobytes()), strict=True):
+                    for c, v in zip(out, (p, key[0].as_py(), n, pack_sorted(found[span]), pack(counts[span])), strict=True):
                         out[c].append(v)
         return pa.table({"part": pa.array(out["part"], pa.int32()), "block": pa.array(out["block"], pa.int32()), "n": pa.array(out["n"], pa.int32()), "keys": pa.array(out["keys"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
 
@@ -78,8 +102,8 @@ def score_documents(docs: DataFrame, order: int = 2, alpha: float = 0.4, block_b
         out: dict[str, list] = {c: [] for c in ("home", "n", "part", "totals")}
         for n in sorted({x[1] for x in asked}):
             mine = [x for x in asked if x[1] == n]
-            keys = [np.frombuffer(x[2], np.uint64) for x in mine]
-            counts = np.concatenate([np.frombuffer(x[3], np.uint32) for x in mine]).astype(np.int64)
+            keys = [unpack_sorted(x[2]) for x in mine]
+            counts = np.concatenate([unpack(x[3]) for x in mine]).astype(np.int64)
             joined = np.concatenate(keys)
             order_ = np.argsort(joined, kind="stable")
             ranked = joined[order_]
@@ -89,7 +113,7 @@ def score_documents(docs: DataFrame, order: int = 2, alpha: float = 0.4, block_b
             totals[order_] = sums[np.cumsum(first) - 1]
             at = 0
             for x, k in zip(mine, keys, strict=True):
-                for c, v in zip(out, (x[0], n, key[0].as_py(), totals[at : at + len(k)].tobytes()), strict=True):
+                for c, v in zip(out, (x[0], n, key[0].as_py(), pack(totals[at : at + len(k)])), strict=True):
                     out[c].append(v)
                 at += len(k)
         return pa.table({"home": pa.array(out["home"], pa.int32()), "n": pa.array(out["n"], pa.int32()), "part": pa.array(out["part"], pa.int32()), "totals": pa.array(out["totals"], pa.binary())})
@@ -104,7 +128,7 @@ def score_documents(docs: DataFrame, order: int = 2, alpha: float = 0.4, block_b
             seen = np.zeros(len(words))
             if len(hashes):
                 found, which = np.unique(hashes, return_inverse=True)
-                totals = np.concatenate([np.frombuffer(x[2], np.int64) for x in got if x[0] == n])
+                totals = np.concatenate([unpack(x[2]) for x in got if x[0] == n]).astype(np.int64)
                 _, mine, own = np.unique(row[at] * len(found) + which, return_inverse=True, return_counts=True)
                 seen[at] = totals[which] - own[mine]
             if n == 1:

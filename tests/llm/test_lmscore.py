@@ -2,9 +2,11 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from redactory.llm.lmscore import score_documents
+from redactory.llm import queries
+from redactory.llm.lmscore import pack, pack_sorted, score_documents, unpack, unpack_sorted
 from tests.llm.common import edge_rows, sentence, words
 
 
@@ -54,3 +56,17 @@ def test_edges(spark):
     out = score_documents(df).collect()
     assert len(out) == len(edge_rows()) and sum(r.log_score is None for r in out) == 3
     assert score_documents(df.limit(0)).count() == 0
+
+
+def test_query_tells_scrambled_text_apart(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(["x a b", "y a c"] * 6 + ["x a c"])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.log_score for r in queries.op8_lm_score(spark, str(tmp_path)).collect()}
+    assert got[12] < got[1] - 0.5 and math.isclose(got[12], brute(rows, 3)[12][1])
+
+
+def test_packing_gives_the_numbers_back():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 1000):
+        keys, counts = np.unique(rng.integers(0, 2**64 - 1, n, np.uint64, endpoint=True)), rng.integers(0, 70_000, n)
+        assert (unpack_sorted(pack_sorted(keys)) == keys).all() and (unpack(pack(counts)) == counts).all()
