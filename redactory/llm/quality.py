@@ -7,10 +7,13 @@ either view labels the rows of an unlabelled pool it is surest of, in the
 proportions of the labels, and the other view trains on them too. Scores of each
 view are then calibrated on held-back labelled rows (Platt scaling), and the two
 calibrated log-odds are combined, each weighted by what it adds on those rows.
+The label ``toxic`` is learned in the same way by a model of its own, whose text
+view sees the presence of those words that the labelled rows show to matter;
+documents it finds toxic are not kept.
 
 The fit uses bounded samples: ``train_rows`` labelled and ``pool_rows``
 unlabelled documents at most, each by its whole text; their features are made by
-the executors. Every document is scored.
+the executors. The pool has no document with a label. Every document is scored.
 
 Nulls, ties, repeats: a null text has no text features, a null column its own
 metadata feature. Labels other than 0 and 1 and labels of missing documents are
@@ -31,15 +34,18 @@ from pyspark.sql import functions as F
 from redactory.llm.common import mix, text_bytes, word_hashes
 
 TEXT_DIMS = 1 << 13
+#: ``toxic`` hangs on a few words, however long the text: their presence in more slots.
+WORD_DIMS = 1 << 20
 SHAPES = 12
 META_DIMS = 1 << 10
 
 
-def text_features(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sparse rows: square-rooted shares of hashed words, and shape features."""
+def text_features(column: pa.Array, dims: int = TEXT_DIMS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sparse rows: square-rooted shares of hashed words (with WORD_DIMS their
+    presence), and shape features."""
     words, rows = word_hashes(column)
     data, offsets = text_bytes(column)
-    slot = SHAPES + (words % np.uint64(TEXT_DIMS - SHAPES)).astype(np.int64)
+    slot = SHAPES + (words % np.uint64(dims - SHAPES)).astype(np.int64)
     out = []
     for i in range(len(column)):
         own, raw = words[rows[i] : rows[i + 1]], data[offsets[i] : offsets[i + 1]]
@@ -53,7 +59,7 @@ def text_features(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
             [1.0, np.log1p(n) / 8, len(np.unique(own)) / max(1, n), again / max(1, n), len(np.unique(pairs)) / max(1, n - 1), upper / max(1, upper + lower), digit / size, 10 * marks / size, (kinds[33] + kinds[63]) * 10 / size, kinds[10] * 10 / size, min(size / max(1, n), 30) / 10, kinds[195] * 10 / size]
         )
         found, count = np.unique(slot[rows[i] : rows[i + 1]], return_counts=True)
-        out.append((np.append(np.arange(SHAPES), found), np.append(shape, np.sqrt(count / max(1, n)))))
+        out.append((np.append(np.arange(SHAPES), found), np.append(shape, np.ones(len(found)) if dims == WORD_DIMS else np.sqrt(count / max(1, n)))))
     return out
 
 
@@ -109,13 +115,13 @@ class CoTrained:
     weights: tuple[float, float, float]
 
     def scores(self, column: pa.Array, meta: list[np.ndarray]) -> np.ndarray:
-        one = np.array([self.text[at] @ x for at, x in text_features(column)])
+        one = np.array([self.text[at] @ x for at, x in text_features(column, len(self.text))])
         two = np.array([self.meta[0] + self.meta[m].sum() for m in meta])
         z = self.weights[0] * (self.text_scale[0] * one + self.text_scale[1]) + self.weights[1] * (self.meta_scale[0] * two + self.meta_scale[1]) + self.weights[2]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _sample(rows: DataFrame, bound: int, seed: int) -> list:
+def _sample(rows: DataFrame, bound: int, seed: int, dims: int = TEXT_DIMS) -> list:
     """At most ``bound`` rows as (key, label, text features, metadata features)."""
     rows = rows.withColumn("key", F.xxhash64(F.lit(seed), "doc_id")).select("key", "label", "meta", "text")
     share = min(1.0, 1.1 * bound / max(1, rows.count()))
@@ -126,7 +132,7 @@ def _sample(rows: DataFrame, bound: int, seed: int) -> list:
         for whole in batches:
             for at in range(0, len(whole), 256):
                 batch = whole.slice(at, 256)
-                made = text_features(batch.column("text"))
+                made = text_features(batch.column("text"), dims)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "label", "meta")), pa.array([r for r, _ in made], pa.list_(pa.int32())), pa.array([x for _, x in made], pa.list_(pa.float32()))], names=["key", "label", "meta", "at", "x"])
 
     found = rows.mapInArrow(run, "key long, label int, meta array<int>, at array<int>, x array<float>").toArrow()
@@ -134,18 +140,34 @@ def _sample(rows: DataFrame, bound: int, seed: int) -> list:
     return sorted(out, key=lambda r: (r[0], r[1] or 0))[:bound]
 
 
+def telling(rows: list, labels: np.ndarray, dims: int, least: float = 4.0) -> np.ndarray:
+    """Mask of the shape features and of the words whose shares of documents differ
+    between the labels by ``least`` standard errors."""
+    sides = [np.bincount(np.concatenate([r[2][0] for r, y in zip(rows, labels, strict=True) if y == v] or [np.zeros(0, np.int64)]), minlength=dims) for v in (0, 1)]
+    n0, n1 = max(1, int((labels == 0).sum())), max(1, int((labels == 1).sum()))
+    share = (sides[0] + sides[1]) / (n0 + n1)
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n0 + 1 / n1))
+    out = (np.abs(sides[1] / n1 - sides[0] / n0) >= least * error) & (sides[0] + sides[1] >= 3)
+    out[:SHAPES] = True
+    return out
+
+
 def co_train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = 3000, pool_rows: int = 3000, rounds: int = 4, take: float = 0.05, epochs: int = 5, seed: int = 5) -> CoTrained:
+    dims = WORD_DIMS if label == "toxic" else TEXT_DIMS
     rows = docs.select("doc_id", "text", meta_column(docs).alias("meta"))
     named = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
-    known = _sample(rows.join(named, "doc_id"), train_rows, seed)
-    pool = _sample(rows.withColumn("label", F.lit(None).cast("int")), pool_rows, seed + 1)
+    known = _sample(rows.join(named, "doc_id"), train_rows, seed, dims)
+    pool = _sample(rows.join(named.select("doc_id"), "doc_id", "left_anti").withColumn("label", F.lit(None).cast("int")), pool_rows, seed + 1, dims)
     views = (lambda r: r[2]), (lambda r: (np.append(0, r[3]), np.ones(len(r[3]) + 1)))
     y = np.array([r[1] for r in known], float)
     cut = len(known) * 3 // 4
-    text, meta = View(TEXT_DIMS), View(META_DIMS)
+    text, meta = View(dims), View(META_DIMS)
     if not len(known) or y.min() == y.max():
         level = 0.0 if not len(known) else (3.0 if y[0] else -3.0)
         return CoTrained(text.w, meta.w, (1.0, 0.0), (1.0, 0.0), (0.0, 0.0, level))
+    if dims == WORD_DIMS:
+        mask = telling(known[:cut], y[:cut], dims)
+        known, pool = ([(*r[:2], (r[2][0][mask[r[2][0]]], r[2][1][mask[r[2][0]]]), r[3]) for r in part] for part in (known, pool))
     models, extra = (text, meta), ([], [])
     free = list(range(len(pool)))
     for _ in range(rounds + 1):
@@ -174,20 +196,28 @@ def co_train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_r
     return CoTrained(text.w, meta.w, scales[0], scales[1], (float(weights[0]), float(weights[1]), float(bias)))
 
 
-def score(docs: DataFrame, model: CoTrained, threshold: float = 0.3) -> DataFrame:
-    """``docs`` with ``quality_score`` double and ``kept`` boolean. Columns of these
-    names in the input are replaced."""
-    docs = docs.drop("quality_score", "kept")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score(docs: DataFrame, model: CoTrained, threshold: float = 0.3, toxic: CoTrained | None = None, toxic_threshold: float = 0.3) -> DataFrame:
+    """``docs`` with ``quality_score`` double and ``kept`` boolean; with a model of
+    ``toxic`` also ``toxic_score`` double, and documents that reach its threshold
+    are not kept. Columns of these names in the input are replaced."""
+    names = ["quality_score", "kept"] if toxic is None else ["quality_score", "toxic_score", "kept"]
+    docs = docs.drop(*names)
+    shared = docs.sparkSession.sparkContext.broadcast((model, toxic))
 
     def run(batches):
-        m = shared.value
+        good, bad = shared.value
         for whole in batches:
             for at in range(0, len(whole), 256):
                 batch = whole.slice(at, 256)
-                made = m.scores(batch.column("text"), [np.asarray(x.values) for x in batch.column("_meta")])
+                text, meta = batch.column("text"), [np.asarray(x.values) for x in batch.column("_meta")]
+                made = [good.scores(text, meta)]
+                kept = made[0] >= threshold
+                if bad is not None:
+                    made.append(bad.scores(text, meta))
+                    kept &= made[1] < toxic_threshold
                 keep = [c for c in batch.schema.names if c != "_meta"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(made), pa.array(made >= threshold)], names=[*keep, "quality_score", "kept"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(m) for m in made), pa.array(kept)], names=[*keep, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.withColumn("_meta", meta_column(docs)).mapInArrow(run, f"{fields}, quality_score double, kept boolean")
+    added = ", ".join(f"{n} {'boolean' if n == 'kept' else 'double'}" for n in names)
+    return docs.withColumn("_meta", meta_column(docs)).mapInArrow(run, f"{fields}, {added}")

@@ -33,8 +33,9 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir)
-    model = quality.co_train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).select("doc_id", "quality_score", "kept")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model, toxic = (quality.co_train(docs, labels, label) for label in ("quality", "toxic"))
+    return quality.score(docs, model, toxic=toxic).select("doc_id", "quality_score", "toxic_score", "kept")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
