@@ -21,16 +21,18 @@ import json
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-CACHE_WORDS = 200_000
-# fixed values: white space of the normaliser and the pre-token pattern of the file
-SPACES = re.compile("[\\t\\n\\x0b\\x0c\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000 ]+")
+from redactory.llm.common import Memo, Splitter
+
+CACHE_WORDS = 100_000
 LATER_SCRIPTS = re.compile("[\u0530-\U0010ffff]")
-PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", regex.V0)
+# fixed value: the pre-token pattern of the file; white space is in no pre-token
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORDS = Splitter(PRE_TOKEN)
 
 
 def byte_symbols() -> list[str]:
@@ -58,8 +60,7 @@ class WordBpe:
         self.inside = {pair for token in self.ids for x in [self.split_token(token)] for pair in zip(x, x[1:], strict=False)}
         found = "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True))
         self.special_at = re.compile(f"({found})") if found else None
-        self.fragments: dict[tuple, tuple[str, ...]] = {}
-        self.words: dict[str, tuple[str, str]] = {}
+        self.words = Memo(self.encode_word, CACHE_WORDS)
 
     def split_token(self, token: str) -> list[str]:
         """A token as symbols; its last one carries the end-of-word mark, if any."""
@@ -68,53 +69,35 @@ class WordBpe:
             return [*body[:-1], body[-1] + self.end]
         return list(token)
 
-    def merge(self, fragment: tuple) -> tuple[str, ...]:
-        """Lowest-rank merges within one fragment."""
-        parts = list(fragment)
-        ranks = self.ranks
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get((parts[i], parts[i + 1]))
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            a, b = parts[at], parts[at + 1]
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == a and parts[i + 1] == b:
-                    out.append(a + b)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return tuple(parts)
+    def merge(self, parts: list[str]) -> list[str]:
+        """Lowest-rank merges within one fragment; ties go to the leftmost pair."""
+        rank, never = self.ranks.get, len(self.ranks)
+        ranks = [rank(pair, never) for pair in zip(parts, parts[1:], strict=False)]
+        while ranks and (least := min(ranks)) < never:
+            at = ranks.index(least)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank((parts[at - 1], parts[at]), never)
+            if at < len(ranks):
+                ranks[at] = rank((parts[at], parts[at + 1]), never)
+        return parts
 
     def tokens(self, word: str) -> list[str]:
         """Tokens of one pre-token: cut at forced boundaries, encode each part."""
         symbols = [self.symbol[b] for b in word.encode("utf-8", "replace")]
         symbols[-1] += self.end
-        out, start = [], 0
-        for i in range(1, len(symbols) + 1):
-            if i == len(symbols) or (symbols[i - 1], symbols[i]) not in self.inside:
-                fragment = tuple(symbols[start:i])
-                got = self.fragments.get(fragment)
-                if got is None:
-                    if len(self.fragments) >= CACHE_WORDS:
-                        self.fragments.clear()
-                    got = self.fragments[fragment] = self.merge(fragment)
-                out += got
+        out, start, inside = [], 0, self.inside
+        for i, pair in enumerate(zip(symbols, symbols[1:], strict=False), 1):
+            if pair not in inside:
+                out += self.merge(symbols[start:i])
                 start = i
-        return out
+        return out + self.merge(symbols[start:])
 
-    def _word(self, word: str) -> tuple[str, str]:
+    def encode_word(self, word: str) -> tuple[str, str]:
+        """(ids, tokens) of one pre-token, each joined by one space."""
         tokens = self.tokens(word)
-        if len(self.words) >= CACHE_WORDS:
-            self.words.clear()
-        made = self.words[word] = (" ".join([str(self.ids[t]) for t in tokens]), " ".join(tokens))
-        return made
+        return " ".join([str(self.ids[t]) for t in tokens]), " ".join(tokens)
 
     def pre_tokens(self, text: str) -> list[str]:
         """Normalised words. Character classes depend on the Unicode version of a
@@ -123,22 +106,21 @@ class WordBpe:
         if LATER_SCRIPTS.search(text) and any(unicodedata.category(c) == "Cn" for c in set(text)):
             words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
             return [bytes(self.byte[c] for c in w).decode("utf-8", "replace") for w, _ in words]
-        text = SPACES.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
-        return PRE_TOKEN.findall(text)
+        return WORDS.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
     def encode(self, text: str | None) -> tuple[str, str]:
         """(ids, tokens), each joined by one space."""
         ids, tokens = [], []
         parts = self.special_at.split(text or "") if self.special_at else [text or ""]
-        get, make = self.words.get, self._word
+        known = self.words.__getitem__
         for i, part in enumerate(parts):
             if i % 2:
                 ids.append(str(self.special[part]))
                 tokens.append(part)
             elif part:
-                pairs = [get(w) or make(w) for w in self.pre_tokens(part)]
-                ids += [p[0] for p in pairs]
-                tokens += [p[1] for p in pairs]
+                if pairs := list(map(known, self.pre_tokens(part))):
+                    for out, more in zip((ids, tokens), zip(*pairs, strict=True), strict=True):
+                        out += more
         return " ".join(ids), " ".join(tokens)
 
     def decode(self, ids: list[int]) -> str:
@@ -169,7 +151,7 @@ def encode_documents(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
                 made = [bpe.encode(t.as_py()) for t in batch.column("text")]
                 columns = [pa.array([i.count(" ") + 1 if i else 0 for i, _ in made], pa.int64())]
                 if ids:
-                    columns += [pa.array([[int(x) for x in i.split()] for i, _ in made], pa.list_(pa.int32())), pa.array([t for _, t in made], pa.string())]
+                    columns += [pa.array([np.fromstring(i, np.int32, sep=" ") for i, _ in made], pa.list_(pa.int32())), pa.array([t for _, t in made], pa.string())]
                 columns += [pa.array([hashlib.sha256(x.encode("utf-8")).hexdigest() for x in made_of], pa.string()) for made_of in zip(*made, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *own])
 

@@ -7,11 +7,13 @@ steps are exact on UTF-8 bytes.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,3 +154,48 @@ def distinct_by_row(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, n
 def column_size(df: DataFrame, column: str) -> int:
     """Total UTF-8 bytes of one text column, as one sum."""
     return df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
+
+
+class Memo(dict):
+    """Answers of ``make`` by key: those of the last ``bound`` to ``2 * bound``
+    keys asked for; a key asked for again moves to the younger half."""
+
+    def __init__(self, make, bound: int):
+        self.make, self.bound, self.old = make, bound, {}
+
+    def __missing__(self, key):
+        value = self.old[key] if key in self.old else self.make(key)
+        if len(self) >= self.bound:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+#: Letters, numbers and white space below U+0180, where the standard library's
+#: faster patterns can name them: the classes there of \p{L}, \p{N} and white space.
+LATIN = {"\\p{L}": "A-Za-zªµºÀ-ÖØ-öø-ſ", "\\p{N}": "0-9²³¹¼-¾", "\\s": "\\t-\\r \\x85\\xa0", "\\S": "\\x00-\\x08\\x0e-\\x1f!-\\x84\\x86-\\x9f¡-\U0010ffff"}
+BEYOND = re.compile("[^\\x00-\\u017f\\u0307]")
+
+
+class Splitter:
+    """``findall`` and ``finditer`` of a pattern whose only classes are those of
+    LATIN, each in brackets or standing alone."""
+
+    def __init__(self, pattern: str):
+        self.any, inside, latin, at = regex.compile(pattern, regex.V0), False, [], 0
+        while at < len(pattern):
+            part = next((c for c in LATIN if pattern.startswith(c, at)), pattern[at])
+            inside = part == "[" or (inside and part != "]")
+            latin.append(part if part not in LATIN else LATIN[part] if inside else f"[{LATIN[part]}]")
+            at += len(part)
+        self.latin = re.compile("".join(latin))
+
+    def of(self, text: str):
+        return self.any if BEYOND.search(text) else self.latin
+
+    def findall(self, text: str) -> list[str]:
+        return self.of(text).findall(text)
+
+    def finditer(self, text: str):
+        return self.of(text).finditer(text)

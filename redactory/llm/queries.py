@@ -15,7 +15,7 @@ from redactory.llm.lmscore import score_documents
 from redactory.llm.neardup import near_duplicates
 from redactory.llm.rules import judge
 from redactory.llm.sharding import row_size, shuffle_into_shards
-from redactory.llm.tokencount import count_tokens, edits_from_pattern
+from redactory.llm.tokencount import EditPattern, count_tokens
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,12 +74,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: What op10 edits out: e-mail addresses, long digit runs and tripled marks.
-EDIT = r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\d(?:[ -]?\d){6,}|\*{3}|%{3}|&{3}|#{3}|\${3}"
+EDIT = [("@", r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"), ("", r"\d(?:[ -]?\d){6,}"), ("*", r"\*{3}"), ("%", "%{3}"), ("&", "&{3}"), ("#", "#{3}"), ("$", r"\${3}")]
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = edits_from_pattern(read_documents(spark, sf_dir).select("doc_id", "text"), EDIT)
-    out = count_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), texts=False)
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    out = count_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), texts=False, find=EditPattern(EDIT))
     return out.select("doc_id", "n_tokens", "n_tokens_edited", "n_edits", "n_reencoded")
 
 

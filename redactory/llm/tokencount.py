@@ -19,14 +19,17 @@ columns named like an output are replaced. An empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import functools
+import re
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF = 32
-CACHE_WORDS = 300_000
+from redactory.llm.common import Memo, Splitter
+
+LEAF = 128
+CACHE_WORDS = 200_000
 # fixed value: the pre-token pattern of the vocabulary
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 EDITS = "array<struct<start:int,stop:int,replacement:string>>"
@@ -41,16 +44,8 @@ class Counter:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.pattern = regex.compile(pattern)
-        self.known: dict[str, int] = {}
-
-    def count(self, piece: str) -> int:
-        n = self.known.get(piece)
-        if n is None:
-            if len(self.known) >= CACHE_WORDS:
-                self.known.clear()
-            n = self.known[piece] = len(self.encoding.encode_ordinary(piece))
-        return n
+        self.pattern = Splitter(pattern)
+        self.count = Memo(lambda piece: len(self.encoding.encode_ordinary(piece)), CACHE_WORDS).__getitem__
 
 
 class TokenTree:
@@ -62,10 +57,9 @@ class TokenTree:
         self.leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
         self.width = 1 << max(0, len(self.leaves) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
-        count = counter.count
-        for i, leaf in enumerate(self.leaves):
-            self.chars[self.width + i] = sum(map(len, leaf))
-            self.tokens[self.width + i] = sum(map(count, leaf))
+        end = self.width + len(self.leaves)
+        self.chars[self.width : end] = [sum(map(len, leaf)) for leaf in self.leaves]
+        self.tokens[self.width : end] = [sum(map(counter.count, leaf)) for leaf in self.leaves]
         for i in range(self.width - 1, 0, -1):
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
             self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
@@ -193,25 +187,30 @@ def attach_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
     return docs.drop("edits").join(packed, "doc_id", "left")
 
 
-def edits_from_pattern(docs: DataFrame, pattern: str, replacement: str = "") -> DataFrame:
-    """``docs`` with column ``edits``: replace every match of ``pattern``."""
-    docs = docs.drop("edits")
+class EditPattern:
+    """Edits that replace every match of an alternation. Each alternative comes
+    with the characters of which a match holds at least one (none named: it may
+    match anywhere); those that cannot match in a text are not tried on it."""
 
-    def run(batches):
-        find = regex.compile(pattern).finditer
-        for batch in batches:
-            found = [[{"start": m.start(), "stop": m.end(), "replacement": replacement} for m in find(t or "")] for t in batch.column("text").to_pylist()]
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("replacement", pa.string())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, "edits"])
+    def __init__(self, alternatives: list[tuple[str, str]], replacement: str = ""):
+        self.alternatives, self.replacement = alternatives, replacement
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, edits {EDITS}")
+    @functools.cached_property
+    def compiled(self) -> Memo:
+        return Memo(lambda tried: re.compile("|".join(p for (_, p), t in zip(self.alternatives, tried, strict=True) if t)), 1 << 10)
+
+    def __getstate__(self) -> dict:
+        return {"alternatives": self.alternatives, "replacement": self.replacement}
+
+    def edits(self, text: str) -> list[tuple[int, int, str]]:
+        tried = tuple(not marks or any(map(text.__contains__, marks)) for marks, _ in self.alternatives)
+        return [(*m.span(), self.replacement) for m in self.compiled[tried].finditer(text)] if any(tried) else []
 
 
-def count_tokens(docs: DataFrame, path: str, texts: bool = True) -> DataFrame:
-    """``docs`` (with a column ``edits``) plus ``n_tokens`` before and
-    ``n_tokens_edited`` after the edits, ``n_edits``, ``n_reencoded`` (pre-tokens
-    encoded again) and, if ``texts``, ``edited_text``."""
+def count_tokens(docs: DataFrame, path: str, texts: bool = True, find: EditPattern | None = None) -> DataFrame:
+    """``docs`` (with a column ``edits``, or edits as ``find`` finds them) plus
+    ``n_tokens`` before and ``n_tokens_edited`` after the edits, ``n_edits``,
+    ``n_reencoded`` (pre-tokens encoded again) and, if ``texts``, ``edited_text``."""
     own = ("n_tokens", "n_tokens_edited", "n_edits", "n_reencoded", *(("edited_text",) if texts else ()))
     docs = docs.drop(*own)
 
@@ -221,10 +220,12 @@ def count_tokens(docs: DataFrame, path: str, texts: bool = True) -> DataFrame:
             for at in range(0, len(whole), 256):
                 batch = whole.slice(at, 256)
                 out: list[tuple] = []
-                for text, edits in zip(batch.column("text").to_pylist(), batch.column("edits").to_pylist(), strict=True):
-                    tree = TokenTree(text or "", counter)
+                given = [[(e["start"], e["stop"], e["replacement"]) for e in edits or () if e] for edits in batch.column("edits").to_pylist()] if find is None else None
+                for i, text in enumerate(batch.column("text").to_pylist()):
+                    text = text or ""
+                    tree = TokenTree(text, counter)
                     before = tree.total
-                    n = apply_edits(tree, [(e["start"], e["stop"], e["replacement"]) for e in edits or () if e], len(text or ""))
+                    n = apply_edits(tree, find.edits(text) if given is None else given[i], len(text))
                     out.append((before, tree.total, n, tree.reencoded, *((tree.text(),) if texts else ())))
                 columns = [pa.array(c, pa.int64() if i < 4 else pa.string()) for i, c in enumerate(zip(*out, strict=True))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *own])

@@ -1,11 +1,16 @@
 import hashlib
+import random
 
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from redactory.llm.bpe import encode_documents, load
+from redactory.llm.bpe import PRE_TOKEN, encode_documents, load
+from redactory.llm.common import Splitter
+from redactory.llm.queries import op5_bpe
+from redactory.llm.tokencount import PATTERN
 from tests.llm.common import edge_rows
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +26,23 @@ def test_equals_the_library(text):
     assert got == " ".join(map(str, ids)) and tokens == LIBRARY.decode(ids, skip_special_tokens=False) == load(PATH).decode(ids)
 
 
+@pytest.mark.parametrize("pattern", [PRE_TOKEN, PATTERN])
+def test_latin_classes_are_the_unicode_ones(pattern):
+    split, rng = Splitter(pattern), random.Random(1)
+    every = "".join(c + a + c for c in map(chr, [*range(0x180), 0x307]) for a in " a1")
+    texts = [every, *("".join(rng.choices([*map(chr, range(0x180)), *" \n'slt" * 20], k=40)) for _ in range(2000))]
+    assert all(split.latin.findall(t) == split.any.findall(t) for t in texts)
+    assert split.of("ſ") is split.latin and split.of("\u0180") is split.any
+
+
+def test_query_equals_the_library(spark, sf):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in op5_bpe(spark, sf).collect():
+        ids = LIBRARY.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(LIBRARY.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_forced_boundaries_never_cut_a_token():
     bpe = load(PATH)
     for token in list(bpe.ids)[:20000]:

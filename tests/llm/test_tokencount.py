@@ -1,9 +1,11 @@
 import random
+import re
 
 import public_tokenizers
 import pytest
 
-from redactory.llm.tokencount import PATTERN, TokenTree, apply_edits, attach_edits, count_tokens, edits_from_pattern, load
+from redactory.llm.queries import EDIT, op10_token_counts
+from redactory.llm.tokencount import PATTERN, EditPattern, TokenTree, apply_edits, attach_edits, count_tokens, load
 from tests.llm.common import edge_rows
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -46,5 +48,21 @@ def test_documents(spark):
     assert by[6].n_tokens == by[6].n_tokens_edited and by[None].n_edits == 0
     enc = load(PATH).encoding
     assert all(r.n_tokens_edited == len(enc.encode_ordinary(r.edited_text)) for r in out)
-    found = count_tokens(edits_from_pattern(df, "w1"), PATH, texts=False)
-    assert found.count() == len(edge_rows()) and count_tokens(edits_from_pattern(df.limit(0), "a"), PATH).count() == 0
+    found = count_tokens(df, PATH, texts=False, find=EditPattern([("w", "w1")]))
+    assert found.count() == len(edge_rows()) and count_tokens(df.limit(0), PATH, find=EditPattern([("", "a")])).count() == 0
+
+
+def test_edits_by_alternatives_equal_the_whole_pattern():
+    rng, whole = random.Random(3), re.compile("|".join(p for _, p in EDIT))
+    for _ in range(2000):
+        text = "".join(rng.choices(["a", "b.c", "@", "12", "3456", "-", " ", "***", "%%", "%", "$$$", "#", "é", "\n"], k=rng.randrange(30)))
+        assert [e[:2] for e in EditPattern(EDIT).edits(text)] == [m.span() for m in whole.finditer(text)]
+
+
+def test_query_equals_a_full_count(spark, sf):
+    enc, whole = load(PATH).encoding, re.compile("|".join(p for _, p in EDIT))
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in op10_token_counts(spark, sf).collect():
+        text = texts[r.doc_id]
+        assert r.n_tokens == len(enc.encode_ordinary(text)) and r.n_edits == len(whole.findall(text))
+        assert r.n_tokens_edited == len(enc.encode_ordinary(whole.sub("", text)))
