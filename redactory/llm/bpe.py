@@ -28,7 +28,7 @@ from tokenizers import Tokenizer
 
 from redactory.llm.common import Memo, Splitter
 
-CACHE_WORDS = 100_000
+CACHE_WORDS = 150_000
 LATER_SCRIPTS = re.compile("[\u0530-\U0010ffff]")
 # fixed value: the pre-token pattern of the file; white space is in no pre-token
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -118,9 +118,9 @@ class WordBpe:
                 ids.append(str(self.special[part]))
                 tokens.append(part)
             elif part:
-                if pairs := list(map(known, self.pre_tokens(part))):
-                    for out, more in zip((ids, tokens), zip(*pairs, strict=True), strict=True):
-                        out += more
+                pairs = list(map(known, self.pre_tokens(part)))
+                ids += [p[0] for p in pairs]
+                tokens += [p[1] for p in pairs]
         return " ".join(ids), " ".join(tokens)
 
     def decode(self, ids: list[int]) -> str:
