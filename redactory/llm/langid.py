@@ -3,25 +3,34 @@
 A text's words (maximal runs of letters, lower-cased) are padded with a mark and
 cut into character n-grams; each n-gram is hashed to a row of an embedding
 table. The mean of the rows feeds a linear softmax. Table and softmax are
-trained by stochastic gradient descent in numpy on a bounded sample of labelled
-rows (``train_rows`` documents at most, each by its whole text). A temperature
-fitted on held-back sample rows calibrates the scores; the rejection threshold is
-the score that at most ``reject_rate`` of those rows, where rightly predicted, miss.
+trained by stochastic gradient descent in numpy, in one task, on a bounded sample
+of labelled rows: ``train_rows`` documents at most, each by its whole text, dealt
+over the languages so that a rare one is not crowded out. Only the finished
+model reaches the driver.
+
+Rejection is calibrated on held-back sample rows by two bounds, each of which at
+most ``reject_rate`` of the rightly predicted ones miss: the score (a temperature
+makes it a probability), and the familiarity, the mean log-probability of the
+text's n-grams in the predicted language, in standard deviations for its length.
+Junk and languages never seen may score high, but their n-grams are not familiar.
 
 Nulls, ties, repeats: a null text, or one without letters, is ``und`` with score
 0 and rejected. Ties go to the first language in alphabetical order. Without any
 labelled row every text is ``und``. Rows are predicted one by one, so repeats,
-ids and other columns do not matter; an empty table gives an empty result.
+ids and other columns do not matter; very long texts are read in slices, whole.
+Rows equal in id, text and language count once in the sample. An empty table
+gives an empty result; columns named like an output are replaced.
 """
 
 from __future__ import annotations
 
+import pickle
 import sys
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redactory.llm.common import mix
@@ -91,25 +100,39 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float
+    #: n-gram rows x languages: log-probabilities; their mean and spread, and that of documents
+    usual: np.ndarray = field(default_factory=lambda: np.zeros((1, 0), np.float32))
+    spread: np.ndarray = field(default_factory=lambda: np.zeros((3, 0)))
+    least_familiar: float = -np.inf
 
-    def logits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(texts x languages, whether a text has a letter)."""
-        sums, counts = np.zeros((len(texts), self.table.shape[1]), np.float64), np.zeros(len(texts), np.int64)
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(logits, familiarity) of texts, texts x languages; nan without a letter."""
+        out, usual = np.empty((len(texts), len(self.languages))), np.empty((len(texts), len(self.languages)))
         for at, to in _groups(texts):
             rows, owner = ngram_rows(texts[at:to], len(self.table))
-            counts[at:to] = np.bincount(owner, minlength=to - at)
-            for k in range(self.table.shape[1]):
-                sums[at:to, k] = np.bincount(owner, weights=self.table[rows, k], minlength=to - at)
-        mean = sums / np.maximum(counts, 1)[:, None]
-        return (mean if self.head is None else mean @ self.head) + self.bias, counts > 0
+            counts = np.bincount(owner, minlength=to - at)
+            sums = np.stack([np.bincount(owner, weights=column[rows], minlength=to - at) for column in (*self.table.T, *self.usual.T)], axis=1)
+            mean = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], np.nan)
+            wide = self.table.shape[1]
+            out[at:to] = (mean[:, :wide] if self.head is None else mean[:, :wide] @ self.head) + self.bias
+            usual[at:to] = self.familiarity(mean[:, wide:], counts[:, None])
+        return out, usual
+
+    def familiarity(self, mean: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        centre, between, within = self.spread
+        return (mean - centre) / np.sqrt(between + within / np.maximum(counts, 1))
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(language, score, whether rejected) of each text."""
         if not self.languages:
-            return ["und"] * len(texts), np.zeros(len(texts))
-        logits, known = self.logits(texts)
-        scores = _softmax(logits / self.temperature)
+            return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+        logits, usual = self.read(texts)
+        known = ~np.isnan(logits[:, 0])
+        scores = _softmax(np.where(known[:, None], logits, 0.0) / self.temperature)
         best = scores.argmax(axis=1)
-        return [self.languages[b] if k else "und" for b, k in zip(best, known, strict=True)], np.where(known, scores.max(axis=1), 0.0)
+        top = np.where(known, scores.max(axis=1), 0.0)
+        strange = usual[np.arange(len(best)), best] < self.least_familiar
+        return [self.languages[b] if k else "und" for b, k in zip(best, known, strict=True)], top, ~known | (top < self.threshold) | strange
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -117,14 +140,33 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def labelled_sample(docs: DataFrame, allowed: Column, train_rows: int, n_rows: int, seed: int) -> list:
-    """At most ``train_rows`` rows (key, lang, n-gram table rows and counts); the
-    counts are made by the executors, so the driver never sees a text."""
-    pool = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.xxhash64(F.lit(seed), "doc_id").alias("key"), "lang", "text")
-    total = pool.count()
-    share = min(1.0, 1.1 * train_rows / max(total, 1))
-    if share < 1:
-        pool = pool.where(F.pmod("key", F.lit(1 << 20)) < int(share * (1 << 20)))
+def shares(counts: dict[str, int], total: int) -> dict[str, int]:
+    """``total`` rows dealt over languages: equal shares, and what a language is
+    short of goes to the others."""
+    out, left = {}, total
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, left // (len(counts) - i))
+        left -= out[lang]
+    return out
+
+
+def labelled_sample(docs: DataFrame, allowed: Column, train_rows: int, seed: int) -> DataFrame:
+    """(lang, key, text): at most ``train_rows`` labelled rows, drawn by a hash of
+    id and text within each language (the ``train_rows`` most frequent ones)."""
+    key = F.xxhash64(F.lit(seed), "doc_id", "text").alias("key")
+    pool = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), key, "text")
+    counts = {r["lang"]: r["n"] for r in pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(train_rows).collect()}
+    given = [(lang, n, min(1.0, (2 * n + 50) / counts[lang])) for lang, n in shares(counts, train_rows).items() if n]
+    quota = docs.sparkSession.createDataFrame(given, "lang string, quota int, share double")
+    # a draw by hash bounds what is ranked; rows that share a key are one
+    near = pool.join(F.broadcast(quota), "lang").where(F.pmod("key", F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "key", "quota").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    picked = near.withColumn("rank", rank).where(F.col("rank") <= max([1, *(n for _, n, _ in given)])).where("rank <= quota").select("lang", "key")
+    return pool.join(F.broadcast(picked), ["lang", "key"], "left_semi").dropDuplicates(["lang", "key"])
+
+
+def _features(sample: DataFrame, n_rows: int) -> DataFrame:
+    """(lang, key, rows, counts): distinct n-gram table rows of each text, uint32."""
 
     def count(batches):
         for whole in batches:
@@ -132,26 +174,23 @@ def labelled_sample(docs: DataFrame, allowed: Column, train_rows: int, n_rows: i
                 batch = whole.slice(at, 256)
                 rows, owner = ngram_rows(batch.column("text").to_pylist(), n_rows)
                 found, n = np.unique(owner.astype(np.int64) * n_rows + rows, return_counts=True)
-                of, edges = found // n_rows, np.arange(len(batch) + 1)
-                cuts = pa.array(np.searchsorted(of, edges).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("lang"), pa.ListArray.from_arrays(cuts, pa.array((found % n_rows).astype(np.int32))), pa.ListArray.from_arrays(cuts, pa.array(n.astype(np.int32)))], names=["key", "lang", "rows", "counts"])
+                cuts = np.searchsorted(found // n_rows, np.arange(len(batch) + 1))
+                blobs = [pa.array([x[a:b].astype(np.uint32).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()) for x in (found % n_rows, n)]
+                yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("key"), *blobs], names=["lang", "key", "rows", "counts"])
 
-    found = pool.mapInArrow(count, "key long, lang string, rows array<int>, counts array<int>").toArrow()
-    order = np.lexsort((np.array(found["lang"].to_pylist(), dtype=object).astype(str), found["key"].to_numpy()))[:train_rows] if len(found) else []
-    found = found.take(pa.array(order, pa.int64()))
-    return [(lang, np.asarray(r.values, np.int32), np.asarray(c.values, np.float64)) for lang, r, c in zip(found["lang"].to_pylist(), found["rows"], found["counts"], strict=True) if len(r)]
+    return sample.mapInArrow(count, "lang string, key long, rows binary, counts binary")
 
 
-def train(docs: DataFrame, allowed: Column | None = None, train_rows: int = 3000, n_rows: int = 1 << 16, dims: int = 16, epochs: int = 4, rate: float = 8.0, reject_rate: float = 0.001, seed: int = 3) -> Model:
-    """Fit the model on rows of ``docs`` (doc_id, text, lang) where ``allowed``."""
-    sample = labelled_sample(docs, F.lit(True) if allowed is None else allowed, train_rows, n_rows, seed)
+def _fit(sample: list, n_rows: int, dims: int, epochs: int, rate: float, reject_rate: float, seed: int) -> Model:
+    """The model of a sample of (lang, n-gram rows, counts)."""
     languages = sorted({x[0] for x in sample})
     draw = np.random.Generator(np.random.PCG64(seed))
     table, head, bias = draw.normal(0, 0.1, (n_rows, dims)), np.zeros((dims, len(languages))), np.zeros(len(languages))
     if not languages:
         return Model([], table[:1], None, bias, 1.0, 0.0)
-    wanted = [languages.index(x[0]) for x in sample]
-    cut = max(1, len(sample) * 4 // 5)
+    sample = [sample[i] for i in draw.permutation(len(sample))]
+    wanted = np.array([languages.index(x[0]) for x in sample])
+    cut = max(1, len(sample) * 3 // 4)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in draw.permutation(cut):
@@ -164,17 +203,44 @@ def train(docs: DataFrame, allowed: Column | None = None, train_rows: int = 3000
             head -= step * 0.1 * np.outer(mean, error)
             bias -= step * 0.01 * error
             table[rows] -= step * share * back
-    held = [(sample[i][1], sample[i][2], wanted[i]) for i in range(cut, len(sample))] or [(x[1], x[2], w) for x, w in zip(sample, wanted, strict=True)]
-    logits = np.array([(table[r] * (c / c.sum())[:, None]).sum(axis=0) @ head + bias for r, c, _ in held])
-    right = np.array([w for *_, w in held])
+    seen = np.full((n_rows, len(languages)), 0.5, np.float64)
+    for (_, rows, counts), w in zip(sample[:cut], wanted[:cut], strict=True):
+        seen[rows, w] += counts
+    usual = np.log(seen / seen.sum(axis=0)).astype(np.float32)
+    held = list(range(cut, len(sample))) or list(range(len(sample)))
+    right = wanted[held]
+    totals = np.array([sample[i][2].sum() for i in held])
+    means = np.array([(usual[sample[i][1]] * (sample[i][2] / sample[i][2].sum())[:, None]).sum(axis=0) for i in held])
+    squares = np.array([(usual[sample[i][1]] ** 2 * (sample[i][2] / sample[i][2].sum())[:, None]).sum(axis=0) for i in held])
+    spread = np.zeros((3, len(languages)))
+    for k in range(len(languages)):
+        mine = means[right == k, k] if (right == k).any() else means[:, k]
+        inside = (squares - means**2)[right == k, k] if (right == k).any() else (squares - means**2)[:, k]
+        spread[:, k] = mine.mean(), mine.var() + 1e-3, inside.mean()
+    logits = np.array([(table[sample[i][1]] * (sample[i][2] / sample[i][2].sum())[:, None]).sum(axis=0) @ head + bias for i in held])
     picked = (np.arange(len(right)), right)
     temperature = min((float(t) for t in np.geomspace(0.1, 10, 60)), key=lambda t: -np.log(_softmax(logits / t)[picked] + 1e-12).mean())
     scores = _softmax(logits / temperature)
-    hit = np.sort(scores.max(axis=1)[scores.argmax(axis=1) == right])
-    threshold = float(min(0.5, hit[int(reject_rate * len(hit))])) if len(hit) else 0.0
-    if len(languages) <= dims:
-        return Model(languages, table @ head, None, bias, temperature, threshold)
-    return Model(languages, table, head, bias, temperature, threshold)
+    hit = scores.argmax(axis=1) == right
+    model = Model(languages, table @ head, None, bias, temperature, 0.0, usual, spread) if len(languages) <= dims else Model(languages, table, head, bias, temperature, 0.0, usual, spread)
+    if hit.any():
+        lowest = lambda x: float(np.sort(x)[int(reject_rate * len(x))])
+        model.threshold = lowest(scores.max(axis=1)[hit])
+        # twice as far out as the least familiar held-back rows: clean texts stay
+        model.least_familiar = min(-4.0, 2 * lowest(model.familiarity(means, totals[:, None])[picked][hit]))
+    return model
+
+
+def train(docs: DataFrame, allowed: Column | None = None, train_rows: int = 4000, n_rows: int = 1 << 16, dims: int = 16, epochs: int = 4, rate: float = 8.0, reject_rate: float = 0.001, seed: int = 3) -> Model:
+    """Fit the model on rows of ``docs`` (doc_id, text, lang) where ``allowed``."""
+    sample = _features(labelled_sample(docs, F.lit(True) if allowed is None else allowed, train_rows, seed), n_rows)
+
+    def fit(batches):
+        rows = [row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("key", "lang", "rows", "counts")), strict=True) if row[2]]
+        held = [(lang, np.frombuffer(r, np.uint32), np.frombuffer(c, np.uint32).astype(np.float32)) for _, lang, r, c in sorted(rows)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_fit(held, n_rows, dims, epochs, rate, reject_rate, seed))], pa.binary())], names=["model"])
+
+    return pickle.loads(sample.repartition(1).mapInArrow(fit, "model binary").first()["model"])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -189,8 +255,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for whole in batches:
             for at in range(0, len(whole), 512):
                 batch = whole.slice(at, 512)
-                names, scores = m.predict(batch.column("text").to_pylist())
-                rejected = [n == "und" or s < m.threshold for n, s in zip(names, scores, strict=True)]
+                names, scores, rejected = m.predict(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*batch.schema.names, *own])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
