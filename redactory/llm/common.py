@@ -14,7 +14,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
@@ -27,9 +27,12 @@ _powers = np.cumprod(np.full(4096, _BASE, dtype=np.uint64))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a fresh local one only if none is set."""
+    """The folder all executors share. Where none is set, a local master gets a
+    fresh local one; on a cluster that would be another folder on every machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="redactory-"))
         root = spark.sparkContext.getCheckpointDir()
     return root
@@ -41,9 +44,43 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/redactory-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    _remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, name: str, *facts: Column) -> tuple[DataFrame, dict]:
+    """``materialise`` and some aggregates of it, taken in the same pass."""
+    seen = Observation()
+    return materialise(df.observe(seen, *facts), name), seen.get
+
+
+_written: dict[str, list[str]] = {}
+
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Results read intermediates lazily, so those go when the context stops."""
+    app = spark.sparkContext.applicationId
+    if app not in _written:
+        _written[app] = []
+        stop = spark.sparkContext.stop
+
+        def stopped():
+            sweep(spark)
+            stop()
+
+        spark.sparkContext.stop = stopped
+    _written[app].append(path.rsplit("/", 1)[0])
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the intermediates written so far in this application; results that
+    have not been written yet can no longer be computed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in _written.pop(spark.sparkContext.applicationId, []):
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -12,10 +12,15 @@
    is then left is paired across components as far as sizes and counts of frequent
    and rare shingles allow a link (see ``_rest``), so a bucket never hides one.
 
+Nodes are numbered by set, not by id, so rows that repeat an id with different
+texts are different nodes.
+
 Nulls, ties, repeats: a null or wordless text has the empty set and is linked
 with nothing. A row without an id keeps a null component and stays. Rows that
 repeat an id are returned one by one, each with the component of its own text.
-Ties resolve to the smallest id. An empty table gives an empty result.
+Ties resolve to the smallest id. Ids may be of any type that can be ordered. Very
+long texts are hashed in slices, whole. Other columns take no part, whatever their
+names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,10 +31,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactory.llm.common import distinct_by_row, materialise, mix, shingle_hashes, word_hashes
+from redactory.llm.common import distinct_by_row, materialise, measured, mix, shingle_hashes, word_hashes
 
 PIECE = 4096
 
@@ -83,7 +88,8 @@ def least_matches(size: int, batch: int, threshold: float, miss: float) -> list[
 
 
 def signatures(docs: DataFrame, words: int, bands: int, band_rows: int, seed: int) -> DataFrame:
-    """(doc_id, n_shingles, fp1, fp2, keys, signature); fp: the set's fingerprint."""
+    """(doc_id, h, n_shingles, fp1, fp2, keys, signature); h: the text's hash, fp: the
+    set's fingerprint."""
     coefficients = _coefficients(bands * band_rows, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,21 +112,26 @@ def signatures(docs: DataFrame, words: int, bands: int, band_rows: int, seed: in
                 blobs = iter(sign)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").cast(pa.int64()),
+                        batch.column("doc_id"),
+                        batch.column("h"),
                         pa.array(sizes.astype(np.int64)),
                         pa.array(prints[0].view(np.int64)),
                         pa.array(prints[1].view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64))),
                         pa.array([next(blobs).tobytes() if x else None for x in has], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "fp1", "fp2", "keys", "signature"],
+                    names=["doc_id", "h", "n_shingles", "fp1", "fp2", "keys", "signature"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>, signature binary")
+    return docs.select("doc_id", text_hash(), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, n_shingles long, fp1 long, fp2 long, keys array<long>, signature binary")
+
+
+def text_hash() -> Column:
+    return F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h")
 
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, shingles): the sorted 64-bit hashes of each full set."""
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of (node, text): the sorted 64-bit hashes of each full set."""
 
     def run(batches):
         for whole in batches:
@@ -128,9 +139,9 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
                 batch = whole.slice(at, 512)
                 sets, rows = distinct_by_row(*shingle_hashes(*word_hashes(batch.column("text")), words))
                 blobs = [sets[rows[i] : rows[i + 1]].tobytes() for i in range(len(batch))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(blobs, pa.binary())], names=["node", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
 
 
 def _survivors(pairs: DataFrame, nodes: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
@@ -166,8 +177,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             rows = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(rows), batch.column("b").take(rows)], names=["a", "b"])
 
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("ta"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("tb"))
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("ta"))
+    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("tb"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -176,18 +187,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     stars. Both steps are a grouped minimum and a join, so a node of very many
     links is combined before the shuffle and its join is split by key."""
     hi, lo = F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")
-    stars, seen = materialise(edges.where(F.col(a) != F.col(b)).select(hi, lo).distinct(), "edges"), None
+    stars, before = edges.where(F.col(a) != F.col(b)).select(hi, lo), None
+    facts = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("sum")
     while True:
         both = stars.unionByName(stars.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         least = both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("hi", "m").alias("m"))
         large = both.join(least, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.*")
-        stars = materialise(small.where("hi != lo").distinct(), "stars")
-        now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if now == seen:
+        stars, now = measured(small.where("hi != lo").distinct(), "stars", *facts)
+        if now == before:
             break
-        seen = now
+        before = now
     roots = stars.select("lo").distinct().select(F.col("lo").alias("node"), F.col("lo").alias("component"))
     return stars.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots)
 
@@ -198,26 +209,36 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     Documents are linked when their shingle sets have a Jaccard similarity of
     num / den or more; component_id is the smallest doc_id reachable. ``large``
     only decides how what the pivots leave is paired, not what is found."""
+    return _components(docs, words, num, den, bands, band_rows, batch, miss, large, seed).drop("h")
+
+
+def _components(docs: DataFrame, words: int, num: int, den: int, bands: int, band_rows: int, batch: int, miss: float, large: int, seed: int) -> DataFrame:
+    """``near_duplicates`` with the hash ``h`` of each row's text."""
     sig = materialise(signatures(docs, words, bands, band_rows, seed), "signatures")
     steps = least_matches(bands * band_rows, batch, num / den, miss)
     full = sig.where("n_shingles > 0 and doc_id is not null")
-    copies = materialise(full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node")), "copies")
-    nodes = full.withColumnRenamed("doc_id", "node").join(copies.select("node").distinct(), "node", "left_semi")
-    members = nodes.select("node", F.col("n_shingles").alias("size"), F.explode("keys").alias("key")).distinct()
+    # one node for each set; its text and signature come from the row of smallest id
+    copies = full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("first"), F.min_by("h", "doc_id").alias("h"))
+    copies = materialise(copies.withColumn("node", F.monotonically_increasing_id()), "copies")
+    of = copies.select(F.col("first").alias("doc_id"), "h", "node")
+    nodes = full.join(of, ["doc_id", "h"]).groupBy("doc_id", "h").agg(*(F.first(c).alias(c) for c in ("node", "n_shingles", "keys", "signature")))
+    nodes = materialise(nodes.withColumnRenamed("n_shingles", "size"), "nodes")
+    members = nodes.select("node", "size", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n"))
     members = materialise(members.join(shared.where("pivot < last"), "key").select("key", "node", "size", "pivot", "n"), "members")
     # the only pass that moves texts; the join is the same at every size
-    named = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = materialise(shingle_sets(docs.select("doc_id", "text").join(named.hint("merge"), "doc_id", "left_semi"), words), "sets")
+    named = of.join(members.select("node").distinct(), "node", "left_semi")
+    texts = docs.select("doc_id", text_hash(), "text").join(named.hint("merge"), ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.first("node").alias("node"), F.first("text").alias("text"))
+    sets = materialise(shingle_sets(texts, words), "sets")
 
     def links(pairs: DataFrame) -> DataFrame:
-        return materialise(_verified(materialise(_survivors(pairs.distinct(), nodes, steps), "survivors"), sets, num, den), "links")
+        return materialise(_verified(_survivors(pairs.distinct(), nodes, steps), sets, num, den), "links")
 
     found = [links(members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))]
     known = components(found[0])
     # a bucket of two has been compared in full, and every pivot with its bucket
-    open_ = _unsettled(members.where("n > 2 and node != pivot").select("key", "node", "size"), known, "open")
-    if not open_.take(1):
+    open_, some = _unsettled(members.where("n > 2 and node != pivot").select("key", "node", "size"), known, "open")
+    if not some:
         return _labelled(sig, copies, known)
     held = materialise(_shingle_rows(open_.select("node").distinct(), sets), "held")
     rare = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= large)
@@ -230,8 +251,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     at = open_.join(pivot, "key")
     found.append(links(materialise(_ordered(at.where("component != home")), "pairs")))
     known = components(reduce(DataFrame.unionByName, found))
-    open_ = _unsettled(at.where("node != far").select("key", "node", "size", "hot"), known, "open")
-    if not open_.take(1):
+    open_, some = _unsettled(at.where("node != far").select("key", "node", "size", "hot"), known, "open")
+    if not some:
         return _labelled(sig, copies, known)
     found.append(links(materialise(_rest(open_, sets, large, num, den), "pairs")))
     return _labelled(sig, copies, components(reduce(DataFrame.unionByName, found)))
@@ -272,11 +293,13 @@ def _rest(open_: DataFrame, sets: DataFrame, large: int, num: int, den: int) ->
     return _ordered(small).unionByName(_ordered(core)).unionByName(_ordered(met)).distinct()
 
 
-def _unsettled(members: DataFrame, known: DataFrame, name: str) -> DataFrame:
-    """Members, with their component, of buckets that hold several components."""
+def _unsettled(members: DataFrame, known: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """Members, with their component, of buckets that hold several components, and
+    their number."""
     placed = members.join(known, "node", "left").select(*members.columns, F.coalesce("component", "node").alias("component"))
     split = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
-    return materialise(placed.join(split, "key", "left_semi"), name)
+    out, facts = measured(placed.join(split, "key", "left_semi"), name, F.count(F.lit(1)).alias("n"))
+    return out, facts["n"]
 
 
 def _shingle_rows(nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -287,22 +310,37 @@ def _shingle_rows(nodes: DataFrame, sets: DataFrame) -> DataFrame:
             for at in range(0, len(whole), 1024):
                 batch = whole.slice(at, 1024)
                 parts = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("shingles")]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("doc_id").to_numpy(), [len(p) for p in parts])), pa.array(np.concatenate(parts))], names=["node", "shingle"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), [len(p) for p in parts])), pa.array(np.concatenate(parts))], names=["node", "shingle"])
 
-    return sets.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(explode, "node long, shingle long").distinct()
+    return sets.join(nodes, "node", "left_semi").mapInArrow(explode, "node long, shingle long").distinct()
 
 
-def _labelled(sig: DataFrame, sets: DataFrame, known: DataFrame) -> DataFrame:
-    named = sets.join(known, "node", "left").select("fp1", "fp2", F.coalesce("component", "node").alias("found"))
-    full = sig.select("doc_id", "n_shingles", "fp1", "fp2").where("n_shingles > 0 and doc_id is not null").join(named, ["fp1", "fp2"])
-    rest = sig.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")).where("n_shingles = 0 or doc_id is null")
-    both = full.select("doc_id", "n_shingles", F.col("found").alias("component_id")).unionByName(rest)
+def _labelled(sig: DataFrame, copies: DataFrame, known: DataFrame) -> DataFrame:
+    linked = known.join(copies.select("node", "first"), "node")
+    least = linked.groupBy("component").agg(F.min("first").alias("label"))
+    named = copies.join(known.join(least, "component").select("node", "label"), "node", "left").select("fp1", "fp2", F.coalesce("label", "first").alias("component_id"))
+    own = "doc_id", "h", "n_shingles"
+    some = F.expr("n_shingles > 0 and doc_id is not null")
+    both = sig.where(some).join(named, ["fp1", "fp2"]).select(*own, "component_id").unionByName(sig.where(~some).select(*own, F.col("doc_id").alias("component_id")))
     return both.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bands: int = 26, band_rows: int = 5, batch: int = 26, miss: float = 1e-9, large: int = 64, seed: int = 7) -> DataFrame:
     """``docs`` with one document of each group left, the one of smallest id.
 
-    Rows that repeat the id of a kept document stay; so do rows without an id."""
-    gone = near_duplicates(docs, **how).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    Rows are told apart by id and text: of rows equal in both one stays, and a row
+    that repeats an id with another text is judged by its own. Where a group's
+    smallest id stands with several of its texts, the one of smallest hash stays.
+    Rows without an id or without words stay."""
+    rows = _components(docs, words, num, den, bands, band_rows, batch, miss, large, seed).where("n_shingles > 0 and doc_id is not null")
+    one = F.min("h").over(Window.partitionBy("component_id"))
+    first = rows.where("kept").groupBy("component_id", "h").agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.col("h") == one)
+    first = materialise(first, "first")
+    gone = rows.where("not kept").select("doc_id", "h").unionByName(first.where("n > 1 or not one").select(F.col("component_id").alias("doc_id"), "h"))
+    twice = materialise(first.where("n > 1 and one").select(F.col("component_id").alias("doc_id"), "h"), "twice")
+    gone = materialise(gone.select(F.col("doc_id").alias("_gone"), F.col("h").alias("_hash")).distinct(), "gone")
+    at = (F.col("doc_id") == F.col("_gone")) & (text_hash() == F.col("_hash"))
+    left = docs.join(gone, at, "left_anti").select(*docs.columns)
+    again = docs.join(twice.toDF("_gone", "_hash"), at, "left_semi").groupBy("doc_id", F.xxhash64("text").alias("_hash"))
+    again = again.agg(*(F.first(c).alias(c) for c in docs.columns if c != "doc_id")).select(*docs.columns)
+    return left.unionByName(again)

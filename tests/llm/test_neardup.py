@@ -3,6 +3,7 @@ import random
 import pytest
 
 from redactory.llm.neardup import drop_near_duplicates, least_matches, near_duplicates
+from redactory.llm.queries import op7_minhash_neardup
 from tests.llm.common import edge_rows, sentence, shingles
 
 
@@ -57,8 +58,27 @@ def test_edges(spark):
     assert by[None].component_id is None and by[None].kept and by[7].n_shingles == 1
     assert near_duplicates(df.limit(0)).count() == 0
     left = drop_near_duplicates(df)
-    # 8 is 5's text behind two more words: 46 of 48 shingles are common
-    assert left.columns == df.columns and not {6, 8} & {r.doc_id for r in left.collect()} and left.count() == len(got) - 2
+    # 8 is 5's text behind two more words: 46 of 48 shingles are common; 5 stands twice
+    assert left.columns == df.columns and not {6, 8} & {r.doc_id for r in left.collect()} and left.count() == len(got) - 3
+
+
+def test_repeated_ids_are_judged_by_their_own_text(spark):
+    rng = random.Random(2)
+    a, b = sentence(rng, 60), sentence(rng, 60)
+    rows = [(5, a), (5, b), (3, a + " x"), (9, b + " y"), (9, "one of its own " + sentence(rng, 30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df).collect()}
+    assert got == {(5, 56, 3), (5, 56, 5), (3, 57, 3), (9, 57, 5), (9, 30, 9)}
+    left = {(r.doc_id, r.text) for r in drop_near_duplicates(df).collect()}
+    assert left == {(3, a + " x"), (5, b), rows[4]}
+    named = spark.createDataFrame([("b", a), ("a", a), ("c", b)], "doc_id string, text string")
+    assert {(r.doc_id, r.component_id) for r in near_duplicates(named).collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
+
+
+def test_query_equals_brute_force(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op7_minhash_neardup(spark, sf).collect()}
+    assert got == brute(rows, 3, 85, 100)
 
 
 def test_sequential_bounds():
