@@ -25,7 +25,9 @@ gives an empty result; columns named like an output are replaced.
 from __future__ import annotations
 
 import pickle
+import re
 import sys
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,7 +38,8 @@ from pyspark.sql import functions as F
 from redactory.llm.common import mix
 
 SIZES = (2, 3, 4)
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
+NO_LETTER = re.compile(r"[\W\d_]")
 _fold: np.ndarray | None = None
 
 
@@ -52,44 +55,61 @@ def _folding() -> np.ndarray:
     return _fold
 
 
-def ngram_rows(texts: list[str | None], n_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(table row of every n-gram, text it is from) of some texts."""
-    joined = "\n".join(t or "" for t in texts)
+def slices(texts: list[str | None]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """(pieces, index of the text each is from), about SLICE_CHARS characters at a
+    time. A longer text is cut where no word is cut, so its n-grams stay the same."""
+    pieces, owner, size = [], [], 0
+    for i, text in enumerate(texts):
+        text, at = text or "", 0
+        while at < len(text) or not at:
+            stop = at + SLICE_CHARS - size
+            if stop < len(text):
+                cut = NO_LETTER.search(text, stop)
+                stop = cut.end() if cut else len(text)
+            pieces.append(text[at:stop])
+            owner.append(i)
+            size += len(pieces[-1])
+            at = max(stop, 1)
+            if size >= SLICE_CHARS:
+                yield pieces, np.array(owner)
+                pieces, owner, size = [], [], 0
+    if pieces:
+        yield pieces, np.array(owner)
+
+
+def ngram_rows(texts: list[str], n_rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each size of n-grams: (table row of each, text it is from, in order)."""
+    joined = "\n".join(texts)
     points = _folding()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    lengths = np.fromiter((len(t or "") + 1 for t in texts), np.int64, len(texts))
-    owner = np.repeat(np.arange(len(texts)), lengths)[: len(points)]
+    lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)[: len(points)]
     # one mark between words: drop a mark that follows another
     keep = points != 0
     keep[1:] |= points[:-1] != 0
     points, owner = np.concatenate([[0], points[keep], [0]]).astype(np.uint64), np.concatenate([[0], owner[keep], [len(texts) - 1]])
     letter = points != 0
-    rows, owners = [], []
     for n in SIZES:
         m = len(points) - n + 1
         if m <= 0:
             continue
         value = np.full(m, n, np.uint64)
         for k in range(n):
-            value = value * np.uint64(0x100000001B3) + points[k : k + m]
+            value *= np.uint64(0x100000001B3)
+            value += points[k : k + m]
         inner = np.ones(m, bool)
         for k in range(1, n - 1):
             inner &= letter[k : k + m]
         if n == 2:  # a pair may be a mark and a letter, not two marks
             inner = letter[:m] | letter[1 : m + 1]
         at = np.flatnonzero(inner)
-        rows.append((mix(value[at]) % np.uint64(n_rows)).astype(np.int32))
-        owners.append(np.where(letter[at], owner[at], owner[np.minimum(at + 1, len(owner) - 1)]))
-    return (np.concatenate(rows), np.concatenate(owners)) if rows else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        yield (mix(value[at]) % np.uint64(n_rows)).astype(np.int64), np.where(letter[at], owner[at], owner[np.minimum(at + 1, len(owner) - 1)])
 
 
-def _groups(texts: list[str | None]):
-    """Runs of neighbouring texts of about SLICE_CHARS characters."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= SLICE_CHARS or i + 1 == len(texts):
-            yield at, i + 1
-            at, size = i + 1, 0
+def _sums(values: np.ndarray, owner: np.ndarray, out: np.ndarray, at: np.ndarray) -> None:
+    """Add the rows of ``values``, which lie in runs of one owner, to ``out[at[owner]]``."""
+    if len(owner):
+        starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        np.add.at(out, at[owner[starts]], np.add.reduceat(values, starts, axis=0, dtype=np.float64))
 
 
 @dataclass
@@ -105,34 +125,37 @@ class Model:
     spread: np.ndarray = field(default_factory=lambda: np.zeros((3, 0)))
     least_familiar: float = -np.inf
 
-    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(logits, familiarity) of texts, texts x languages; nan without a letter."""
-        out, usual = np.empty((len(texts), len(self.languages))), np.empty((len(texts), len(self.languages)))
-        for at, to in _groups(texts):
-            rows, owner = ngram_rows(texts[at:to], len(self.table))
-            counts = np.bincount(owner, minlength=to - at)
-            sums = np.stack([np.bincount(owner, weights=column[rows], minlength=to - at) for column in (*self.table.T, *self.usual.T)], axis=1)
-            mean = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], np.nan)
-            wide = self.table.shape[1]
-            out[at:to] = (mean[:, :wide] if self.head is None else mean[:, :wide] @ self.head) + self.bias
-            usual[at:to] = self.familiarity(mean[:, wide:], counts[:, None])
-        return out, usual
-
-    def familiarity(self, mean: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        centre, between, within = self.spread
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(logits, best language, its familiarity); nan for texts without a letter."""
+        counts, sums = np.zeros(len(texts)), np.zeros((len(texts), self.table.shape[1]))
+        found = []
+        for pieces, at in slices(texts):
+            for rows, owner in ngram_rows(pieces, len(self.table)):
+                _sums(self.table[rows], owner, sums, at)
+                counts += np.bincount(at[owner], minlength=len(texts))
+                found.append((rows.astype(np.int32), at[owner].astype(np.int32)))
+        mean = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], np.nan)
+        logits = (mean if self.head is None else mean @ self.head) + self.bias
+        best = np.where(counts > 0, np.nan_to_num(logits).argmax(axis=1), 0)
+        usual, everyone = np.zeros(len(texts)), np.arange(len(texts))
+        for rows, owner in found:
+            _sums(self.usual[rows, best[owner]], owner, usual, everyone)
+        own = self.spread[:, best]
+        return logits, best, self.familiarity(usual / np.maximum(counts, 1), counts, own)
+
+    @staticmethod
+    def familiarity(mean: np.ndarray, counts: np.ndarray, spread: np.ndarray) -> np.ndarray:
+        centre, between, within = spread
         return (mean - centre) / np.sqrt(between + within / np.maximum(counts, 1))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score, whether rejected) of each text."""
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        logits, usual = self.read(texts)
+        logits, best, usual = self.read(texts)
         known = ~np.isnan(logits[:, 0])
-        scores = _softmax(np.where(known[:, None], logits, 0.0) / self.temperature)
-        best = scores.argmax(axis=1)
-        top = np.where(known, scores.max(axis=1), 0.0)
-        strange = usual[np.arange(len(best)), best] < self.least_familiar
-        return [self.languages[b] if k else "und" for b, k in zip(best, known, strict=True)], top, ~known | (top < self.threshold) | strange
+        top = np.where(known, _softmax(np.nan_to_num(logits) / self.temperature).max(axis=1), 0.0)
+        return [self.languages[b] if k else "und" for b, k in zip(best, known, strict=True)], top, ~known | (top < self.threshold) | (usual < self.least_familiar)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -165,6 +188,11 @@ def labelled_sample(docs: DataFrame, allowed: Column, train_rows: int, seed: int
     return pool.join(F.broadcast(picked), ["lang", "key"], "left_semi").dropDuplicates(["lang", "key"])
 
 
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    rows, which = np.unique(np.concatenate([r for r, _ in parts]), return_inverse=True)
+    return rows, np.bincount(which, np.concatenate([n for _, n in parts]))
+
+
 def _features(sample: DataFrame, n_rows: int) -> DataFrame:
     """(lang, key, rows, counts): distinct n-gram table rows of each text, uint32."""
 
@@ -172,10 +200,14 @@ def _features(sample: DataFrame, n_rows: int) -> DataFrame:
         for whole in batches:
             for at in range(0, len(whole), 256):
                 batch = whole.slice(at, 256)
-                rows, owner = ngram_rows(batch.column("text").to_pylist(), n_rows)
-                found, n = np.unique(owner.astype(np.int64) * n_rows + rows, return_counts=True)
-                cuts = np.searchsorted(found // n_rows, np.arange(len(batch) + 1))
-                blobs = [pa.array([x[a:b].astype(np.uint32).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()) for x in (found % n_rows, n)]
+                parts: list[list] = [[] for _ in range(len(batch))]
+                for pieces, of in slices(batch.column("text").to_pylist()):
+                    keys = np.concatenate([np.zeros(0, np.int64), *(owner.astype(np.int64) * n_rows + rows for rows, owner in ngram_rows(pieces, n_rows))])
+                    found, n = np.unique(keys, return_counts=True)
+                    for i, a, b in zip(of, *np.searchsorted(found // n_rows, [np.arange(len(of)), np.arange(1, len(of) + 1)]), strict=True):
+                        parts[i].append((found[a:b] % n_rows, n[a:b]))
+                made = [p[0] if len(p) == 1 else _joined(p) for p in parts]
+                blobs = [pa.array([m[k].astype(np.uint32).tobytes() for m in made], pa.binary()) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("key"), *blobs], names=["lang", "key", "rows", "counts"])
 
     return sample.mapInArrow(count, "lang string, key long, rows binary, counts binary")
@@ -222,12 +254,13 @@ def _fit(sample: list, n_rows: int, dims: int, epochs: int, rate: float, reject_
     temperature = min((float(t) for t in np.geomspace(0.1, 10, 60)), key=lambda t: -np.log(_softmax(logits / t)[picked] + 1e-12).mean())
     scores = _softmax(logits / temperature)
     hit = scores.argmax(axis=1) == right
-    model = Model(languages, table @ head, None, bias, temperature, 0.0, usual, spread) if len(languages) <= dims else Model(languages, table, head, bias, temperature, 0.0, usual, spread)
+    narrow = len(languages) <= dims
+    model = Model(languages, (table @ head if narrow else table).astype(np.float32), None if narrow else head, bias, temperature, 0.0, usual, spread)
     if hit.any():
         lowest = lambda x: float(np.sort(x)[int(reject_rate * len(x))])
         model.threshold = lowest(scores.max(axis=1)[hit])
         # twice as far out as the least familiar held-back rows: clean texts stay
-        model.least_familiar = min(-4.0, 2 * lowest(model.familiarity(means, totals[:, None])[picked][hit]))
+        model.least_familiar = min(-4.0, 2 * lowest(model.familiarity(means[picked], totals, spread[:, right])[hit]))
     return model
 
 

@@ -33,6 +33,21 @@ def test_a_rare_language_is_sampled(spark):
     assert langid.shares({"a": 3, "b": 50, "c": 60}, 33) == {"a": 3, "b": 15, "c": 15}
 
 
+def test_slices_keep_the_ngrams(monkeypatch):
+    texts = [None, "", "Ein Wort, dann é noch eins " * 40, "lang" * 100 + " 12 ok", "x"]
+
+    def grams():
+        found = Counter()
+        for pieces, at in langid.slices(texts):
+            for rows, owner in langid.ngram_rows(pieces, 1 << 16):
+                found.update(zip(at[owner].tolist(), rows.tolist(), strict=True))
+        return found
+
+    whole = grams()
+    monkeypatch.setattr(langid, "SLICE_CHARS", 37)
+    assert grams() == whole and len(list(langid.slices(texts))) > 10
+
+
 def test_edges(spark):
     rows = [(*r, lang) for r, lang in zip(edge_rows(), ["en", "fr"] * 5, strict=True)] + [(50, "12 34 !!", "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
