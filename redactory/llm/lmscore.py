@@ -8,7 +8,8 @@ summed per document. Rows of both relations are packed in sorted arrays:
    sends every distinct n-gram it holds, with its count, to the n-gram's hash
    partition, so a frequent n-gram arrives once for each block, not each row.
    Sorted hashes are sent as their differences, counts compressed; none is left out.
-2. A hash partition sums the counts (the count table) and answers each block.
+2. A hash partition sums the counts (the count table) and answers each block with
+   what other blocks add; n-grams of one block alone need no answer.
 3. A block joins the answers to its exploded n-grams and sums per document.
 
 Counts cover all documents, less those of the scored document itself, so no text
@@ -16,8 +17,9 @@ vouches for itself. S(w | h) = c(hw) / c(h) if c(hw) > 0, else ``alpha`` times t
 score with a shorter history; last c(w) / N, where an unseen word counts 0.5.
 
 Nulls, ties, repeats: a null or wordless text has no words and a null score. Rows
-equal in id and text are scored one by one and vouch for each other. An empty
-table gives an empty result.
+equal in id and text are scored one by one and vouch for each other. Ids may be of
+any type. A very long text is one row of its block. Other columns take no part,
+whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -54,6 +56,12 @@ def _part(hashes: np.ndarray, n_parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(n_parts)) >> np.uint64(32)
 
 
+def _runs(sorted_: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, start, stop) of each run of equal values."""
+    starts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(sorted_) else np.zeros(0, np.int64)
+    return list(zip(sorted_[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(sorted_)], strict=len(starts) > 0))
+
+
 def pack(values: np.ndarray, raw: int = 0) -> bytes:
     """Non-negative integers by byte planes: the ``raw`` low ones as they are, the
     others, which are mostly zero, compressed."""
@@ -89,17 +97,14 @@ def score_documents(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_b
         out: dict[str, list] = {c: [] for c in ("part", "block", "n", "keys", "counts")}
         for n in range(1, order + 1):
             found, counts = np.unique(ngrams(words, rows, n)[0], return_counts=True)
-            cuts = np.searchsorted(_part(found, n_parts), np.arange(n_parts + 1).astype(np.uint64))
-            for p in range(n_parts):
-                if cuts[p] < cuts[p + 1]:
-                    span = slice(cuts[p], cuts[p + 1])
-                    for c, v in zip(out, (p, key[0].as_py(), n, pack_sorted(found[span]), pack(counts[span])), strict=True):
-                        out[c].append(v)
+            for p, start, stop in _runs(_part(found, n_parts)):
+                for c, v in zip(out, (p, key[0].as_py(), n, pack_sorted(found[start:stop]), pack(counts[start:stop])), strict=True):
+                    out[c].append(v)
         return pa.table({"part": pa.array(out["part"], pa.int32()), "block": pa.array(out["block"], pa.int32()), "n": pa.array(out["n"], pa.int32()), "keys": pa.array(out["keys"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         asked = list(zip(*(table[c].to_pylist() for c in ("block", "n", "keys", "counts")), strict=True))
-        out: dict[str, list] = {c: [] for c in ("home", "n", "part", "totals")}
+        out: dict[str, list] = {c: [] for c in ("home", "n", "part", "places", "more")}
         for n in sorted({x[1] for x in asked}):
             mine = [x for x in asked if x[1] == n]
             keys = [unpack_sorted(x[2]) for x in mine]
@@ -111,24 +116,29 @@ def score_documents(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_b
             sums = np.add.reduceat(counts[order_], np.flatnonzero(first))
             totals = np.empty(len(joined), np.int64)
             totals[order_] = sums[np.cumsum(first) - 1]
-            at = 0
+            at, more = 0, totals - counts
             for x, k in zip(mine, keys, strict=True):
-                for c, v in zip(out, (x[0], n, key[0].as_py(), pack(totals[at : at + len(k)])), strict=True):
-                    out[c].append(v)
+                others = more[at : at + len(k)]
+                places = np.flatnonzero(others)
                 at += len(k)
-        return pa.table({"home": pa.array(out["home"], pa.int32()), "n": pa.array(out["n"], pa.int32()), "part": pa.array(out["part"], pa.int32()), "totals": pa.array(out["totals"], pa.binary())})
+                if len(places):
+                    for c, v in zip(out, (x[0], n, key[0].as_py(), pack(np.diff(places, prepend=0)), pack(others[places])), strict=True):
+                        out[c].append(v)
+        return pa.table({"home": pa.array(out["home"], pa.int32()), "n": pa.array(out["n"], pa.int32()), "part": pa.array(out["part"], pa.int32()), "places": pa.array(out["places"], pa.binary()), "more": pa.array(out["more"], pa.binary())})
 
     def join(key, table: pa.Table, answers: pa.Table) -> pa.Table:
         words, rows = word_hashes(table["text"])
         row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
-        got = sorted(zip(*(answers[c].to_pylist() for c in ("n", "part", "totals")), strict=True), key=lambda x: x[:2])
+        got = list(zip(*(answers[c].to_pylist() for c in ("n", "part", "places", "more")), strict=True))
         score, last, bare = np.zeros(len(words)), np.zeros(len(words)), np.ones(len(words), bool)
         for n in range(1, order + 1):
             hashes, at = ngrams(words, rows, n)
             seen = np.zeros(len(words))
             if len(hashes):
-                found, which = np.unique(hashes, return_inverse=True)
-                totals = np.concatenate([unpack(x[2]) for x in got if x[0] == n]).astype(np.int64)
+                found, which, totals = np.unique(hashes, return_inverse=True, return_counts=True)
+                first = {p: start for p, start, _ in _runs(_part(found, n_parts))}
+                for _, part, places, more in (x for x in got if x[0] == n):
+                    totals[first[part] + np.cumsum(unpack(places)).astype(np.int64)] += unpack(more).astype(np.int64)
                 _, mine, own = np.unique(row[at] * len(found) + which, return_inverse=True, return_counts=True)
                 seen[at] = totals[which] - own[mine]
             if n == 1:
@@ -142,11 +152,11 @@ def score_documents(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_b
                 bare &= ~hit
             last = seen
         n_rows = len(rows) - 1
-        return pa.table({"doc_id": table["doc_id"].cast(pa.int64()), "n_words": pa.array(np.diff(rows).astype(np.int64)), "partial": pa.array(np.bincount(row, score, n_rows)), "bare": pa.array(np.bincount(row, bare, n_rows).astype(np.int64))})
+        return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(np.diff(rows).astype(np.int64)), "partial": pa.array(np.bincount(row, score, n_rows)), "bare": pa.array(np.bincount(row, bare, n_rows).astype(np.int64))})
 
     asked = dealt.groupBy("block").applyInArrow(send, "part int, block int, n int, keys binary, counts binary")
-    answers = asked.groupBy("part").applyInArrow(answer, "home int, n int, part int, totals binary")
-    parts = dealt.groupBy("block").cogroup(answers.groupBy("home")).applyInArrow(join, "doc_id long, n_words long, partial double, bare long")
+    answers = asked.groupBy("part").applyInArrow(answer, "home int, n int, part int, places binary, more binary")
+    parts = dealt.groupBy("block").cogroup(answers.groupBy("home")).applyInArrow(join, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, partial double, bare long")
     parts = materialise(parts, "partial_scores")
     corpus = parts.agg(F.sum("n_words")).first()[0] or 0
     log_score = F.col("partial") - F.col("bare") * math.log(max(corpus, 1))
