@@ -11,13 +11,15 @@ bands follows from it and the chosen miss probability. A segment that shares a
 band with an item makes a candidate, which is verified by the exact containment
 of the item's shingles in the whole document.
 
-The items travel to the tasks in blocks of at most ``block_items``; each block
-is one pass over the documents, so what is broadcast has a fixed bound.
+The items travel to the tasks in blocks of about ``block_items`` items and
+``block_bytes`` of text at most; each block is one pass over the documents, so
+what is broadcast has a fixed bound.
 
 Nulls, ties, repeats: a null or wordless item or document matches nothing. An
-item or document of fewer than ``words`` words has one shingle, the whole
-sequence. Repeated rows and items are matched one by one. Either table may be
-empty: no matches.
+item of fewer than ``words`` words is one shingle of its own length, and found
+wherever a text holds it. Repeated rows and items are matched one by one; ids may
+be of any type. Very long texts are hashed in slices, whole. Other columns take no
+part, whatever their names. Either table may be empty: no matches.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 from redactory.llm.common import distinct_by_row, mix, shingle_hashes, word_hashes
 
 BLOCK_ITEMS = 20_000
+BLOCK_BYTES = 16 << 20
 STEP = 1 << 14
 _BAND = np.uint64(0x9E3779B97F4A7C15)
 
@@ -68,15 +71,25 @@ def _minima(x: np.ndarray, starts: np.ndarray, permutations) -> np.ndarray:
 class ItemIndex:
     """One block of items: band keys by size partition, and the full sets."""
 
-    def __init__(self, ids: list, column: pa.Array, words: int, containment: float, miss: float, seed: int):
+    def __init__(self, ids: pa.Array, column: pa.Array, words: int, containment: float, miss: float, seed: int):
         self.words, self.containment, self.ids = words, containment, ids
         self.permutations = _permutations(bands_for(containment, miss), seed)
-        self.sets, self.rows = distinct_by_row(*shingle_hashes(*word_hashes(column), words))
-        self.sizes = np.diff(self.rows)
+        hashes, at = word_hashes(column)
+        self.sets, self.rows = distinct_by_row(*shingle_hashes(hashes, at, words))
+        self.sizes, lengths = np.diff(self.rows), np.diff(at)
+        # items shorter than a shingle: (hashes of their own length in order, item)
+        self.short = {}
+        for n in set(lengths[(lengths > 0) & (lengths < words)].tolist()):
+            items = np.flatnonzero(lengths == n)
+            own, first = shingle_hashes(hashes, at, n)
+            keys = own[first[items]]
+            order = np.argsort(keys, kind="stable")
+            self.short[n] = keys[order], items[order]
         part = np.ceil(np.log2(np.maximum(self.sizes, 1))).astype(int)
         self.parts = {}
-        for p in sorted(set(part[self.sizes > 0])):
-            items = np.flatnonzero((part == p) & (self.sizes > 0))
+        whole = (self.sizes > 0) & (lengths >= words)
+        for p in sorted(set(part[whole])):
+            items = np.flatnonzero((part == p) & whole)
             picked = [self.sets[self.rows[i] : self.rows[i + 1]] for i in items]
             starts = np.append(0, np.cumsum([len(x) for x in picked]))[:-1]
             low = _minima((np.concatenate(picked) >> np.uint64(32)).astype(np.uint32), starts, self.permutations)
@@ -114,10 +127,21 @@ class ItemIndex:
                     k += 1
         return found
 
+    def _short_matches(self, words: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int]]:
+        found: set[tuple[int, int, int]] = set()
+        for n, (keys, items) in self.short.items():
+            hashes, first = shingle_hashes(words, rows, n)
+            low, high = np.searchsorted(keys, hashes), np.searchsorted(keys, hashes, side="right")
+            at = np.flatnonzero(low < high)
+            for row, a, b in zip(np.searchsorted(first, at, side="right") - 1, low[at], high[at], strict=True):
+                found.update((int(row), int(item), 1) for item in items[a:b])
+        return sorted(found)
+
     def matches(self, column: pa.Array) -> list[tuple[int, int, int]]:
         """(row, item, shared shingles) with exact containment at the threshold."""
-        hashes, rows = shingle_hashes(*word_hashes(column), self.words)
-        out, own = [], {}
+        plain = word_hashes(column)
+        hashes, rows = shingle_hashes(*plain, self.words)
+        out, own = self._short_matches(*plain), {}
         for row, item in sorted(self.candidates(hashes, rows)):
             if row not in own:
                 own = {row: np.unique(hashes[rows[row] : rows[row + 1]])}
@@ -128,17 +152,18 @@ class ItemIndex:
         return out
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, words: int = 5, containment: float = 0.8, miss: float = 1e-4, seed: int = 11, block_items: int = BLOCK_ITEMS, id_col: str = "doc_id") -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, words: int = 5, containment: float = 0.8, miss: float = 1e-4, seed: int = 11, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, item_id, shared, item_shingles): every item contained in a text."""
     spark = docs.sparkSession
-    n_blocks = max(1, -(-items.count() // block_items))
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n_blocks = max(1, -(-size["n"] // block_items), -(-(size["bytes"] or 0) // block_bytes))
     numbered = items.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * n_blocks)).alias("b")) if n_blocks > 1 else items.select("item_id", "text", F.lit(0).alias("b"))
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, item_id long, shared long, item_shingles long"
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, shared long, item_shingles long"
 
     def one(block: int) -> DataFrame:
         rows = numbered.where(F.col("b") == block).orderBy("item_id", "text").toArrow()
         texts = rows["text"].combine_chunks() if len(rows) else pa.array([], pa.string())
-        index = ItemIndex(rows["item_id"].to_pylist(), texts, words, containment, miss, seed)
+        index = ItemIndex(pa.array(rows["item_id"].to_pylist(), rows["item_id"].type), texts, words, containment, miss, seed)
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches):
@@ -149,7 +174,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, words: int = 5, contai
                     got = ix.matches(batch.column("text"))
                     rows, picked, both = ([x[k] for x in got] for k in range(3))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(id_col).take(pa.array(rows, pa.int64())), pa.array([ix.ids[i] for i in picked], pa.int64()), pa.array(both, pa.int64()), pa.array([int(ix.sizes[i]) for i in picked], pa.int64())],
+                        [batch.column(id_col).take(pa.array(rows, pa.int64())), ix.ids.take(pa.array(picked, pa.int64())), pa.array(both, pa.int64()), pa.array([int(ix.sizes[i]) for i in picked], pa.int64())],
                         names=[id_col, "item_id", "shared", "item_shingles"],
                     )
 

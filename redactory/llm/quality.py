@@ -1,8 +1,8 @@
 """Quality classifier by co-training of two views.
 
 One view sees only the text (hashed word and character-shape features of the
-whole text), the other only the metadata of the page (source, language, length
-class). Both are logistic regressions trained on labelled rows. In each round
+whole text, as shares, so not its length), the other only the metadata of the page
+(source, language, class of n_chars; never the text). Both are logistic regressions trained on labelled rows. In each round
 either view labels the rows of an unlabelled pool it is surest of, in the
 proportions of the labels, and the other view trains on them too. Scores of each
 view are then calibrated on held-back labelled rows (Platt scaling), and the two
@@ -12,18 +12,22 @@ view sees the presence of those words that the labelled rows show to matter;
 documents it finds toxic are not kept.
 
 The fit uses bounded samples: ``train_rows`` labelled and ``pool_rows``
-unlabelled documents at most, each by its whole text; their features are made by
-the executors. The pool has no document with a label. Every document is scored.
+unlabelled documents at most, each by its whole text, and runs in one task; only
+the models reach the driver. The pool has no document with a label. Every
+document is scored.
 
 Nulls, ties, repeats: a null text has no text features, a null column its own
 metadata feature. Labels other than 0 and 1 and labels of missing documents are
 left out; a document with contrary labels counts under each. Without labels of
 both kinds every score is 0.5 or the one class's. Repeated rows are scored one
-by one; ties in confidence go by a seeded hash. An empty table gives no rows.
+by one; ties in confidence go by a seeded hash of id and text. Very long texts are
+hashed in slices, whole. An empty table gives no rows. Columns of the input named
+like an output are replaced; no other name matters, but a column ``_meta`` goes.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +40,7 @@ from redactory.llm.common import mix, text_bytes, word_hashes
 TEXT_DIMS = 1 << 13
 #: ``toxic`` hangs on a few words, however long the text: their presence in more slots.
 WORD_DIMS = 1 << 20
-SHAPES = 12
+SHAPES = 11
 META_DIMS = 1 << 10
 
 
@@ -56,7 +60,7 @@ def text_features(column: pa.Array, dims: int = TEXT_DIMS) -> list[tuple[np.ndar
         again = int((own[1:] == own[:-1]).sum())
         pairs = mix(own[1:] * np.uint64(3) + own[:-1])
         shape = np.array(
-            [1.0, np.log1p(n) / 8, len(np.unique(own)) / max(1, n), again / max(1, n), len(np.unique(pairs)) / max(1, n - 1), upper / max(1, upper + lower), digit / size, 10 * marks / size, (kinds[33] + kinds[63]) * 10 / size, kinds[10] * 10 / size, min(size / max(1, n), 30) / 10, kinds[195] * 10 / size]
+            [1.0, len(np.unique(own)) / max(1, n), again / max(1, n), len(np.unique(pairs)) / max(1, n - 1), upper / max(1, upper + lower), digit / size, 10 * marks / size, (kinds[33] + kinds[63]) * 10 / size, kinds[10] * 10 / size, min(size / max(1, n), 30) / 10, kinds[195] * 10 / size]
         )
         found, count = np.unique(slot[rows[i] : rows[i + 1]], return_counts=True)
         out.append((np.append(np.arange(SHAPES), found), np.append(shape, np.ones(len(found)) if dims == WORD_DIMS else np.sqrt(count / max(1, n)))))
@@ -64,11 +68,11 @@ def text_features(column: pa.Array, dims: int = TEXT_DIMS) -> list[tuple[np.ndar
 
 
 def meta_column(docs: DataFrame):
-    """array<int>: hashed metadata features (source, lang, length class, pairs)."""
-    names = [c for c in ("source", "lang") if c in docs.columns]
-    length = F.floor(F.log2(F.coalesce(F.length("text"), F.lit(0)) + 1)).cast("string")
-    one = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("?"))) for c in names]
-    one.append(F.concat(F.lit("length="), length))
+    """array<int>: hashed metadata features (source, lang, class of n_chars, pairs)."""
+    values = {c: F.col(c).cast("string") for c in ("source", "lang") if c in docs.columns}
+    if "n_chars" in docs.columns:
+        values["n_chars"] = F.floor(F.log2(F.greatest("n_chars", F.lit(0)) + 1)).cast("string")
+    one = [F.concat(F.lit(f"{c}="), F.coalesce(v, F.lit("?"))) for c, v in values.items()] or [F.lit("none")]
     keys = F.array(*one, *(F.concat(a, F.lit("&"), b) for i, a in enumerate(one) for b in one[i + 1 :]))
     return F.transform(keys, lambda k: (F.pmod(F.xxhash64(k), F.lit(META_DIMS - 1)) + 1).cast("int"))
 
@@ -121,23 +125,31 @@ class CoTrained:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _sample(rows: DataFrame, bound: int, seed: int, dims: int = TEXT_DIMS) -> list:
-    """At most ``bound`` rows as (key, label, text features, metadata features)."""
-    rows = rows.withColumn("key", F.xxhash64(F.lit(seed), "doc_id")).select("key", "label", "meta", "text")
+def _sample(rows: DataFrame, bound: int, seed: int, dims: int, pool: bool) -> DataFrame:
+    """(pool, key, label, meta, at, x): features of at most ``bound`` rows."""
+    rows = rows.withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "text")).select("key", "label", "meta", "text")
     share = min(1.0, 1.1 * bound / max(1, rows.count()))
     if share < 1:
         rows = rows.where(F.pmod("key", F.lit(1 << 20)) < int(share * (1 << 20)))
+    rows = rows.orderBy("key", "label").limit(bound).repartition(16, "key")
 
     def run(batches):
         for whole in batches:
             for at in range(0, len(whole), 256):
                 batch = whole.slice(at, 256)
                 made = text_features(batch.column("text"), dims)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "label", "meta")), pa.array([r for r, _ in made], pa.list_(pa.int32())), pa.array([x for _, x in made], pa.list_(pa.float32()))], names=["key", "label", "meta", "at", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array([pool] * len(batch), pa.bool_()), *(batch.column(c) for c in ("key", "label", "meta")), pa.array([r for r, _ in made], pa.list_(pa.int32())), pa.array([x for _, x in made], pa.list_(pa.float32()))], names=["pool", "key", "label", "meta", "at", "x"])
 
-    found = rows.mapInArrow(run, "key long, label int, meta array<int>, at array<int>, x array<float>").toArrow()
-    out = [(k, y, (np.asarray(a.values), np.asarray(x.values, np.float64)), np.asarray(m.values)) for k, y, m, a, x in zip(*(found[c].to_pylist() if c in ("key", "label") else found[c] for c in ("key", "label", "meta", "at", "x")), strict=True)]
-    return sorted(out, key=lambda r: (r[0], r[1] or 0))[:bound]
+    return rows.mapInArrow(run, "pool boolean, key long, label int, meta array<int>, at array<int>, x array<float>")
+
+
+def _rows(batches, pools: dict[bool, list]) -> None:
+    """Sort the features that come in into the labelled rows and the pool."""
+    for b in batches:
+        for p, k, y, m, a, x in zip(*(b.column(c).to_pylist() if c in ("pool", "key", "label") else b.column(c) for c in ("pool", "key", "label", "meta", "at", "x")), strict=True):
+            pools[p].append((k, y, (np.asarray(a.values), np.asarray(x.values, np.float64)), np.asarray(m.values)))
+    for rows in pools.values():
+        rows.sort(key=lambda r: (r[0], r[1] or 0))
 
 
 def telling(rows: list, labels: np.ndarray, dims: int, least: float = 4.0) -> np.ndarray:
@@ -156,8 +168,19 @@ def co_train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_r
     dims = WORD_DIMS if label == "toxic" else TEXT_DIMS
     rows = docs.select("doc_id", "text", meta_column(docs).alias("meta"))
     named = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
-    known = _sample(rows.join(named, "doc_id"), train_rows, seed, dims)
-    pool = _sample(rows.join(named.select("doc_id"), "doc_id", "left_anti").withColumn("label", F.lit(None).cast("int")), pool_rows, seed + 1, dims)
+    known = _sample(rows.join(named, "doc_id"), train_rows, seed, dims, False)
+    pool = _sample(rows.join(named.select("doc_id"), "doc_id", "left_anti").withColumn("label", F.lit(None).cast("int")), pool_rows, seed + 1, dims, True)
+
+    def fit(batches):
+        pools: dict[bool, list] = {False: [], True: []}
+        _rows(batches, pools)
+        model = _fit(pools[False], pools[True], dims, rounds, take, epochs, seed)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    return pickle.loads(known.unionByName(pool).repartition(1).mapInArrow(fit, "model binary").first()["model"])
+
+
+def _fit(known: list, pool: list, dims: int, rounds: int, take: float, epochs: int, seed: int) -> CoTrained:
     views = (lambda r: r[2]), (lambda r: (np.append(0, r[3]), np.ones(len(r[3]) + 1)))
     y = np.array([r[1] for r in known], float)
     cut = len(known) * 3 // 4

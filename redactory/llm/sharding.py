@@ -8,8 +8,9 @@ shard sizes are at most one row apart (the ``rows`` law) and slots are gapless.
 
 Nulls, ties, repeats: a null text or id hashes as a null; rows equal in id and
 text are dealt separately, each with its own slot (they share a bucket). An
-empty table gives an empty result. Other columns pass through untouched; columns
-of the input named shard, slot or _bucket are replaced.
+empty table gives an empty result. A very long text makes its bucket larger, not
+wrong. Other columns pass through untouched; columns of the input named shard or
+slot are replaced, and ``_bucket`` and ``_start`` are refused.
 """
 
 from __future__ import annotations
@@ -23,7 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from redactory.llm.common import materialise
+
 BUCKET_BYTES = 8 << 20
+#: Hash cells, runs of which make up a bucket; and most tasks of the second pass.
+CELLS, TASKS = 1 << 24, 20_000
 _OWN = ("_bucket", "_start")
 
 
@@ -46,11 +51,15 @@ def _prefix_sums(counts: DataFrame) -> DataFrame:
 
 def shuffle_into_shards(docs: DataFrame, n_shards: int, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs`` with ``shard`` int and ``slot`` long: a seeded uniform shuffle."""
-    total = docs.agg(F.sum(row_size(F.col(text_col))).alias("n")).first()["n"] or 0
-    n_buckets = max(1, math.ceil(total / bucket_bytes))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(F.col(text_col))), F.lit(n_buckets)).cast("int")
-    scattered = docs.drop("shard", "slot").withColumn("_bucket", bucket)
-    starts = _prefix_sums(scattered.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")))
+    if clash := set(_OWN) & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} must be renamed first")
+    cell = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(F.col(text_col))), F.lit(CELLS))
+    # one pass for sizes and counts; it is read again, so it must not change
+    cells = materialise(docs.groupBy(cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"), F.sum(row_size(F.col(text_col))).alias("_bytes")), "cells")
+    n_buckets = max(1, math.ceil((cells.agg(F.sum("_bytes")).first()[0] or 0) / bucket_bytes))
+    bucket = lambda cell: (F.shiftrightunsigned(cell * n_buckets, 24)).cast("int").alias("_bucket")
+    scattered = docs.drop("shard", "slot").select("*", bucket(cell)).repartition(min(n_buckets, TASKS), "_bucket")
+    starts = _prefix_sums(cells.groupBy(bucket(F.col("_cell"))).agg(F.sum("_n").alias("_n"))).repartition(min(n_buckets, TASKS), "_of")
     out = T.StructType([*(f for f in scattered.schema.fields if f.name not in _OWN), T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
     # a task that is run again may get its rows in another order: these columns put them in one
     ties = [f.name for f in out.fields if pa.types.is_primitive(_arrow(f.dataType)) or isinstance(f.dataType, T.StringType)]
@@ -74,9 +83,9 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def write_shards(sharded: DataFrame, path: str, n_shards: int) -> None:
-    """One folder per shard, rows in slot order; a shard is cut into files of a
-    bounded number of rows, whose names keep the order."""
-    width = 1 << 16
+def write_shards(sharded: DataFrame, path: str, width: int = 1 << 16) -> None:
+    """One folder per shard, rows in slot order; a shard is cut into files of at
+    most ``width`` rows, whose names keep the order."""
     piece = F.expr(f"slot div {width}")
-    (sharded.withColumn("_piece", piece).repartition(F.col("shard"), F.col("_piece")).sortWithinPartitions("shard", "slot").drop("_piece").write.partitionBy("shard").option("maxRecordsPerFile", width).parquet(path))
+    ranged = sharded.withColumn("_piece", piece).repartitionByRange(F.col("shard"), F.col("_piece"))
+    ranged.sortWithinPartitions("shard", "slot").drop("_piece").write.partitionBy("shard").option("maxRecordsPerFile", width).parquet(path)

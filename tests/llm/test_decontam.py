@@ -1,6 +1,7 @@
 import random
 
 from redactory.llm.decontam import bands_for, decontaminate, find_contamination
+from redactory.llm.queries import op6_decontamination
 from tests.llm.common import edge_rows, sentence, shingles
 
 
@@ -18,8 +19,8 @@ def test_matches_brute_force(spark):
             at = rng.randrange(len(body))
             body[at:at] = cut
         docs.append((i, " ".join(body)))
-    docs += [(100, "one two"), (101, None), (102, "")]
-    want = {(d, i) for d, t in docs for i, s in items if (x := shingles(s, 5)) and len(x & shingles(t, 5)) >= 0.8 * len(x) - 1e-9}
+    docs += [(100, "one two"), (101, None), (102, ""), (103, "say One Two three"), (104, "one, two two one")]
+    want = {(d, 92) for d in (100, 103)} | {(d, i) for d, t in docs for i, s in items if (x := shingles(s, 5)) and len(x & shingles(t, 5)) >= 0.8 * len(x) - 1e-9}
     a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in find_contamination(a, b).collect()}
     assert got == want and len(want) > 15 and (100, 92) in want
@@ -38,3 +39,16 @@ def test_edges(spark):
 
 def test_bands_follow_the_miss_probability():
     assert bands_for(0.8, 1e-4) < bands_for(0.8, 1e-8) and bands_for(0.8, 1e-4) < bands_for(0.5, 1e-4)
+
+
+def test_query_equals_brute_force(spark, sf):
+    docs, items = ([tuple(r) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(k, "text").collect()] for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    sets = [(i, x) for i, t in items if (x := shingles(t, 5))]
+    want = {(d, i, len(x & y), len(x)) for d, t in docs for y in [shingles(t, 5)] for i, x in sets if len(x & y) >= 0.8 * len(x) - 1e-9}
+    assert {(r.doc_id, r.item_id, r.shared, r.item_shingles) for r in op6_decontamination(spark, sf).collect()} == want and want
+
+
+def test_ids_of_other_types(spark):
+    docs = spark.createDataFrame([("d", "a b c d e f g")], "doc_id string, text string")
+    items = spark.createDataFrame([("i", "b c d e f")], "item_id string, text string")
+    assert [tuple(r) for r in find_contamination(docs, items).collect()] == [("d", "i", 1, 1)]

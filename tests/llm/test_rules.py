@@ -1,7 +1,10 @@
 import random
 from collections import defaultdict
 
-from redactory.llm.rules import judge, plan_cascade, standard_rules
+from pyspark.sql import functions as F
+
+from redactory.llm.queries import op9_quality_rules
+from redactory.llm.rules import Rule, judge, plan_cascade, standard_rules
 from tests.llm.common import WORD, edge_rows
 
 
@@ -48,3 +51,15 @@ def test_order_does_not_change_the_verdict(spark):
     assert one == {(r.doc_id, r.kept) for r in judge(df, rules[::-1]).collect()}
     assert judge(df.limit(0)).count() == 0
     assert {r.name for r in plan_cascade(judge(df), rules)} == {r.name for r in rules}
+
+
+def test_slow_rules_run_late_and_strict_ones_early(spark):
+    df = spark.createDataFrame([(i, "word " * 20 + str(i)) for i in range(400)], "doc_id long, text string")
+    slow = F.aggregate(F.sequence(F.lit(1), F.lit(3000)), F.length("text"), lambda a, x: (a * 31 + x) % 1009) >= 0
+    rules = [Rule("slow", slow), Rule("never", F.col("text") == ""), Rule("strict", F.length("text") > 3)]
+    assert [r.name for r in plan_cascade(df, rules)] == ["strict", "slow", "never"]
+
+
+def test_no_python_in_the_plan(spark, sf):
+    plan = op9_quality_rules(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
