@@ -7,7 +7,8 @@ summed per document. Rows of both relations are packed in sorted arrays:
 1. Documents are dealt by hash into blocks of about ``block_bytes``. A block
    sends every distinct n-gram it holds, with its count, to the n-gram's hash
    partition, so a frequent n-gram arrives once for each block, not each row.
-   Sorted hashes are sent as their differences, counts compressed; none is left out.
+   Sorted hashes are sent as their differences, as many bits of each as tell the
+   n-grams of this corpus apart (``hash_bits``), counts compressed; none is left out.
 2. A hash partition sums the counts (the count table) and answers each block with
    what other blocks add; n-grams of one block alone need no answer.
 3. A block joins the answers to its exploded n-grams and sums per document.
@@ -77,11 +78,19 @@ def unpack(data: bytes, raw: int = 0) -> np.ndarray:
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
-    return pack(np.diff(keys, prepend=np.uint64(0)), 5)
+    steps = np.diff(keys, prepend=np.uint64(0))
+    raw = int(np.median(steps)).bit_length() // 8 if len(steps) else 0
+    return bytes([raw]) + pack(steps, raw)
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(unpack(data, 5), dtype=np.uint64)
+    return np.cumsum(unpack(data[1:], data[0]), dtype=np.uint64)
+
+
+def hash_bits(total_bytes: int, order: int) -> int:
+    """High bits of an n-gram's hash that are compared: as many as leave about one
+    n-gram in a million of a corpus of this size sharing them with another."""
+    return min(64, math.ceil(math.log2(max(2, total_bytes * order / 4))) + 20)
 
 
 def score_documents(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -89,6 +98,7 @@ def score_documents(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_b
     per_word is the mean natural log of S."""
     total = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
     n_blocks, n_parts = (max(1, math.ceil(total * k / size)) for k, size in ((1, block_bytes), (order, part_bytes)))
+    shift = np.uint64(64 - hash_bits(total, order))
     block = F.pmod(F.xxhash64(F.lit(order), "doc_id", F.xxhash64("text")), F.lit(n_blocks)).cast("int")
     dealt = docs.select("doc_id", "text", block.alias("block")).repartition(n_blocks, "block")
 
@@ -96,8 +106,8 @@ def score_documents(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_b
         words, rows = word_hashes(table["text"])
         out: dict[str, list] = {c: [] for c in ("part", "block", "n", "keys", "counts")}
         for n in range(1, order + 1):
-            found, counts = np.unique(ngrams(words, rows, n)[0], return_counts=True)
-            for p, start, stop in _runs(_part(found, n_parts)):
+            found, counts = np.unique(ngrams(words, rows, n)[0] >> shift, return_counts=True)
+            for p, start, stop in _runs(_part(found << shift, n_parts)):
                 for c, v in zip(out, (p, key[0].as_py(), n, pack_sorted(found[start:stop]), pack(counts[start:stop])), strict=True):
                     out[c].append(v)
         return pa.table({"part": pa.array(out["part"], pa.int32()), "block": pa.array(out["block"], pa.int32()), "n": pa.array(out["n"], pa.int32()), "keys": pa.array(out["keys"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
@@ -134,9 +144,10 @@ def score_documents(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_b
         for n in range(1, order + 1):
             hashes, at = ngrams(words, rows, n)
             seen = np.zeros(len(words))
+            hashes >>= shift
             if len(hashes):
                 found, which, totals = np.unique(hashes, return_inverse=True, return_counts=True)
-                first = {p: start for p, start, _ in _runs(_part(found, n_parts))}
+                first = {p: start for p, start, _ in _runs(_part(found << shift, n_parts))}
                 for _, part, places, more in (x for x in got if x[0] == n):
                     totals[first[part] + np.cumsum(unpack(places)).astype(np.int64)] += unpack(more).astype(np.int64)
                 _, mine, own = np.unique(row[at] * len(found) + which, return_inverse=True, return_counts=True)
@@ -155,7 +166,7 @@ def score_documents(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_b
         return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(np.diff(rows).astype(np.int64)), "partial": pa.array(np.bincount(row, score, n_rows)), "bare": pa.array(np.bincount(row, bare, n_rows).astype(np.int64))})
 
     asked = dealt.groupBy("block").applyInArrow(send, "part int, block int, n int, keys binary, counts binary")
-    answers = asked.groupBy("part").applyInArrow(answer, "home int, n int, part int, places binary, more binary")
+    answers = asked.repartition(2 * n_parts, "part").groupBy("part").applyInArrow(answer, "home int, n int, part int, places binary, more binary")
     parts = dealt.groupBy("block").cogroup(answers.groupBy("home")).applyInArrow(join, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, partial double, bare long")
     parts = materialise(parts, "partial_scores")
     corpus = parts.agg(F.sum("n_words")).first()[0] or 0
