@@ -115,6 +115,11 @@ class Lexicon:
             return False
         return bool(one) and one in self.literals
 
+    def known(self, word: str) -> bool:
+        """The word itself, determiners included, is a literal or matches a pattern."""
+        word = word.strip()
+        return self.has(self.key(word)) or any(p.match(word) for p in self._shapes)
+
     def excluded(self, text: str) -> bool:
         """F4 for one phrase."""
         bare = self.bare(text)

@@ -1,6 +1,7 @@
 """Organisation names: tidying, and telling specific names from defined terms.
 
-The helpers see distinct candidate strings only; ``settle_organisations`` runs
+A word is a link, a legal form, marked, or an excluded term; the rules are stated
+over these kinds. The helpers see distinct candidate strings only; ``settle_organisations`` runs
 them once for each string and joins the answer back to the spans.
 """
 
@@ -20,19 +21,18 @@ from redactory.plans.rules import DOTTED_FORMS, JURISDICTION, JURISDICTION_TAIL,
 MAX_ORG_CHARS = 60
 # fixed values
 WORD_EDGES = ".,;:()[]{}\"'“”‘’"
-LEAD_IN = regex.compile(r"(?i)^\s*(?:,?\s*)?(?:and|or|by|between|with|from|to)\s+")
+LEAD_IN = regex.compile(r"\s*(?:,?\s*)?(?:and|or|by|between|with|from|to)\s+", regex.IGNORECASE)
+LINKS = frozenset({"and", "or", "of", "the", "for", "a", "an", "de", "la"})
+GENERIC_LINKS = frozenset(DETERMINERS) | {"and", "of", "for", "de", "la", "if"}
+SEPARATORS = ",;:/–—"
 _FORM = regex.compile(ORG_FORM_ANYWHERE)
 _TAIL = regex.compile(JURISDICTION_TAIL)
 _PLACE = regex.compile(JURISDICTION)
 _BREAK = regex.compile(SENTENCE_END)
 _DOTTED = regex.compile(DOTTED_FORMS)
-
-
-def settle(step: Callable[[str], str], text: str) -> str:
-    """Apply ``step`` until nothing changes."""
-    while (changed := step(text)) != text:
-        text = changed
-    return text
+_PLAIN_WORD = regex.compile(r"[A-Za-z0-9.']+")
+_ANY_WORD = regex.compile(r"[A-Za-z0-9&.'-]+")
+_MARK = regex.compile(r"\d|-|&")
 
 
 def has_form(text: str) -> bool:
@@ -40,48 +40,76 @@ def has_form(text: str) -> bool:
 
 
 def _marked(word: str) -> bool:
-    """An acronym, or a word with a digit, hyphen or ampersand."""
-    return (word.isupper() and len(regex.sub("[^A-Z0-9]", "", word)) >= 2) or any(c.isdigit() for c in word) or "-" in word or "&" in word
+    """A digit, hyphen or ampersand, or an acronym of two characters or more."""
+    return bool(_MARK.search(word)) or (word.isupper() and sum(c.isascii() and c.isalnum() for c in word) > 1)
+
+
+def _nested(text: str, stop: int) -> list[tuple[int, str, int]]:
+    """(place, character, brackets open around it) from the right of ``text[:stop]``."""
+    out, depth = [], 0
+    for i in range(stop - 1, -1, -1):
+        inner = text[i] == ")"
+        out.append((i, text[i], depth))
+        depth = max(0, depth + inner - (text[i] == "("))
+    return out
 
 
 class OrgCleaner:
-    """E2, E3, E4, F7 and F8 under one list of excluded terms."""
+    """E2, E3, E4, F7 and F8 under one list of excluded terms.
+
+    A name is a range of the string it was found in; tidying only moves the two
+    ends of the range towards each other, so offsets need no second search."""
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
 
     def noise(self, segment: str) -> bool:
         """Nothing but excluded phrases or words of legal forms."""
-        words = [w for w in (x.strip(WORD_EDGES).lower() for x in regex.findall(r"[A-Za-z0-9.']+", segment)) if w]
-        return not words or self.lexicon.combination(segment) or self.lexicon.excluded(segment) or all(w in ORG_FORM_WORDS for w in words)
-
-    def distinctive(self, text: str) -> bool:
-        for word in (x.strip(WORD_EDGES) for x in regex.findall(r"[A-Za-z0-9&.'-]+", text)):
-            plain = word.lower().replace(".", "")
-            if word and plain not in {"and", "or", "of", "the", "for", "a", "an", "de", "la"} and plain not in ORG_FORM_WORDS and (_marked(word) or not self.lexicon.excluded(word)):
-                return True
-        return False
-
-    def _front(self, text: str) -> str:
-        head, comma, rest = text.partition(",")
-        rest = rest.lstrip()
-        if comma and self.distinctive(rest) and self.noise(head):
-            text = rest.strip()
-        return LEAD_IN.sub("", text).strip()
-
-    def _back(self, text: str) -> str:
-        cut = max(text.rfind(c) for c in ",;:")
-        if cut >= 0:
-            head, tail = text[:cut].rstrip(), text[cut + 1 :].strip()
-            if head and tail and has_form(head) and self.noise(tail):
-                text = head
-        if text.endswith(")") and (at := text.rfind("(")) >= 0 and self.noise(text[at + 1 : -1].strip()):
-            text = text[:at].rstrip()
-        return text
+        words = {w.strip(WORD_EDGES).lower() for w in _PLAIN_WORD.findall(segment)} - {""}
+        return words <= ORG_FORM_WORDS or self.lexicon.combination(segment) or self.lexicon.excluded(segment)
+
+    def _tells(self, word: str) -> bool:
+        """Whether a word can make a name distinct: no link, no legal form, and
+        either marked or not an excluded term."""
+        plain = word.lower().replace(".", "")
+        return bool(word) and plain not in LINKS | ORG_FORM_WORDS and (_marked(word) or not self.lexicon.excluded(word))
+
+    def _after_front(self, text: str, lo: int) -> int:
+        """``lo`` moved over a noise segment before a comma, then over a lead-in."""
+        comma = text.find(",", lo)
+        if comma >= 0 and self.noise(text[lo:comma]) and any(self._tells(w.strip(WORD_EDGES)) for w in _ANY_WORD.findall(text, comma + 1)):
+            lo = comma + 1
+        lead = LEAD_IN.match(text, lo)
+        lo = lead.end() if lead else lo
+        return lo + len(text[lo:]) - len(text[lo:].lstrip())
+
+    def _before_back(self, text: str, lo: int, hi: int) -> int:
+        """``hi`` moved over a noise segment behind a name with a legal form, then
+        over a noise parenthesis."""
+        cut = max(text.rfind(c, lo, hi) for c in ",;:")
+        if cut > lo and text[cut + 1 : hi].strip() and has_form(text[lo:cut]) and self.noise(text[cut + 1 : hi]):
+            hi = cut
+        hi = lo + len(text[lo:hi].rstrip())
+        opening = text.rfind("(", lo, hi)
+        if opening >= 0 and text[hi - 1] == ")" and self.noise(text[opening + 1 : hi - 1].strip()):
+            hi = lo + len(text[lo:opening].rstrip())
+        return hi
+
+    def bounds(self, text: str, lo: int = 0, hi: int | None = None) -> tuple[int, int]:
+        """The range of the name inside ``text[lo:hi]``; empty if none is left."""
+        hi = lo + len(text[lo:hi].rstrip())
+        lo = hi - len(text[lo:hi].lstrip())
+        text = text[:hi]
+        while (front := self._after_front(text, lo)) != lo:
+            lo = front
+        while lo < hi and (back := self._before_back(text, lo, hi)) != hi:
+            hi = back
+        hi = lo + len(text[lo:hi].rstrip(" ,;:"))
+        return hi - len(text[lo:hi].lstrip(" ,;:")), hi
 
     def clean(self, text: str) -> str:
-        """E2"""
-        return settle(self._back, settle(self._front, text.strip())).strip(" ,;:")
+        lo, hi = self.bounds(text)
+        return text[lo:hi]
 
     @staticmethod
     def without_jurisdiction(text: str) -> str:
@@ -89,21 +117,23 @@ class OrgCleaner:
         found = _TAIL.search(text)
         return text[: found.start()].rstrip(" ,;") if found else text
 
+    def _ordinary(self, word: str, formed: bool) -> bool:
+        """A word that any defined term may have; beside a legal form a marked
+        word is not one, unless it is a link or a form itself."""
+        bare = word.strip(WORD_EDGES)
+        low = bare.lower()
+        if low.rstrip(",") in GENERIC_LINKS or word.lower().rstrip(",") in GENERIC_LINKS:
+            return True
+        return not (formed and low not in ORG_FORM_WORDS and bare and (_marked(bare) or not self.lexicon.known(bare))) and self.lexicon.known(word)
+
     def generic(self, text: str) -> bool:
         """F8: a defined term such as "the Company", not a name."""
         text = self.clean(text)
-        *name, _ = text.split() or [""]
+        name = text.split()[:-1]
         if not name:
             return False
-        if _PLACE.search(" ".join(name)):
-            return True
-        connectors = set(DETERMINERS) | {"and", "of", "for", "de", "la", "if"}
-        known = lambda w: self.lexicon.has(self.lexicon.key(w.strip())) or any(p.match(w.strip()) for p in self.lexicon._shapes)
-        if has_form(text):
-            for word in filter(None, (w.strip(WORD_EDGES) for w in name)):
-                if word.lower() not in connectors and word.lower() not in ORG_FORM_WORDS and (_marked(word) or not known(word)):
-                    return False
-        return all(w.lower().rstrip(",") in connectors or known(w) for w in name)
+        formed = has_form(text)
+        return bool(_PLACE.search(" ".join(name))) or all(self._ordinary(w, formed) for w in name)
 
     def specific(self, text: str) -> bool:
         text = self.clean(text)
@@ -116,69 +146,42 @@ class OrgCleaner:
 
     def settle_scanned(self, text: str) -> tuple[int, str] | None:
         """What a raw scan match becomes: (offset in it, name), or None."""
-        at, name = 0, text
-        for change in (self.clean, self.without_jurisdiction, self.clean):
-            new = change(name)
-            if new == name:
-                continue
-            if not new or (step := name.find(new)) < 0:
-                return None
-            at, name = at + step, new
-        if len(name) > MAX_ORG_CHARS or self.crosses_sentence(name) or self.generic(name) or self.lexicon.excluded(name):
+        lo, hi = self.bounds(text)
+        lo, hi = self.bounds(text, lo, lo + len(self.without_jurisdiction(text[lo:hi])))
+        name, defined = text[lo:hi], lambda x: self.generic(x) or self.lexicon.excluded(x)
+        if not name or len(name) > MAX_ORG_CHARS or self.crosses_sentence(name) or defined(name):
             return None
-        parts = regex.split(r",\s*", name)
-        drop = 0
-        while drop < len(parts) - 1 and parts[drop].strip() and self.lexicon.excluded(parts[drop].strip()):
-            drop += 1
-        if drop:
-            step = name.find(parts[drop])
-            if step > 0:
-                kept = ", ".join(parts[drop:])
-                at, name = at + step, name[step : step + len(kept)]
-            if self.generic(name) or self.lexicon.excluded(name):
+        # excluded segments in front of the last one go
+        starts = [lo, *(lo + m.end() for m in regex.finditer(r",\s*", name))]
+        first = next((i for i, (a, b) in enumerate(zip(starts, starts[1:], strict=False)) if not self._dropped(text[a:b])), len(starts) - 1)
+        if first:
+            lo, name = starts[first], text[starts[first] : hi]
+            if defined(name):
                 return None
-        return at, name
+        return lo, name
+
+    def _dropped(self, segment: str) -> bool:
+        term = segment.rstrip().rstrip(",").strip()
+        return bool(term) and self.lexicon.excluded(term)
 
     def drop_tail(self, text: str) -> str:
         """Cut trailing parentheses and segments that are excluded combinations."""
-
-        def step(t: str) -> str:
-            if t.endswith(")") and (at := _opening(t)) is not None:
-                inner = t[at + 1 : -1].strip()
-                if not inner or self.lexicon.combination(inner):
-                    t = t[:at].rstrip()
-            cut = _last_separator(t)
-            if cut is not None and (tail := t[cut + 1 :].strip()) and self.lexicon.combination(tail):
-                t = t[:cut].rstrip()
-            return t
-
-        text = text.rstrip()
-        return settle(step, text)
-
-
-def _opening(text: str) -> int | None:
-    """The bracket that the last one closes."""
-    depth = 0
-    for i in range(len(text) - 1, -1, -1):
-        depth += (text[i] == ")") - (text[i] == "(")
-        if depth == 0:
-            return i
-    return None
-
-
-def _last_separator(text: str) -> int | None:
-    """The last comma, semicolon, colon, slash, dash or spaced hyphen outside
-    parentheses that close after it."""
-    depth = 0
-    for i in reversed(range(len(text))):
-        c = text[i]
-        if c == ")":
-            depth += 1
-        elif c == "(":
-            depth = max(0, depth - 1)
-        elif depth == 0 and (c in ",;:/–—" or (c == "-" and text[i - 1 : i].isspace() and text[i + 1 : i + 2].isspace())):
-            return i
-    return None
+        hi = len(text.rstrip())
+        while hi and (cut := self._tail(text, hi)) is not None:
+            hi = len(text[:cut].rstrip())
+        return text[:hi]
+
+    def _tail(self, text: str, hi: int) -> int | None:
+        """Where the excluded tail of ``text[:hi]`` begins, if it has one."""
+        around = _nested(text, hi)
+        if text[hi - 1] == ")":
+            opening = next((i for i, c, depth in around if c == "(" and depth == 1), None)
+            if opening is not None and (not (inner := text[opening + 1 : hi - 1].strip()) or self.lexicon.combination(inner)):
+                return opening
+        spaced = lambda i: text[i] == "-" and text[i - 1 : i].isspace() and text[i + 1 : i + 2].isspace()
+        cut = next((i for i, c, depth in around if depth == 0 and (c in SEPARATORS or spaced(i))), None)
+        tail = text[cut + 1 : hi].strip() if cut is not None else ""
+        return cut if tail and self.lexicon.combination(tail) else None
 
 
 def per_string(spans: DataFrame, lexicon: Lexicon, schema: str, answer: Callable[[OrgCleaner, str], tuple]) -> DataFrame:

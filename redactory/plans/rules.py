@@ -177,10 +177,11 @@ ORG_FORM_ANYWHERE = (
     r"trust\s+company|statutory\s+trust|business\s+trust)\b|\b(?:capital|holdings|group|fund|management|ventures|partners)\b"
 )
 ORG_FORM_AT_END = rf"(?i)(?:{LEGAL_FORMS})\s*$"
-ORG_FORM_WORDS = frozenset(
-    "inc incorporated corp corporation co company ltd limited liability llc l c llp lp pllc plc partnership general professional association bank "
-    "trust capital holdings group fund management ventures partners statutory business foundation society institute national federal savings".split()
-)
+ORG_FORM_WORDS = frozenset({
+    "inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "limited", "liability", "llc", "l", "c", "llp", "lp", "pllc", "plc",
+    "partnership", "general", "professional", "association", "bank", "trust", "capital", "holdings", "group", "fund", "management", "ventures",
+    "partners", "statutory", "business", "foundation", "society", "institute", "national", "federal", "savings",
+})
 ORG_TAIL_SCAN = (
     r"^(?:[^\S\n]|,)+(?:(?i)inc\.?|corp\.?|co\.?|ltd\.?|llc|l\.l\.c\.|llp|l\.l\.p\.|lp|l\.p\.|pllc|plc|p\.l\.c\.|gmbh|s\.a\.s\.|s\.a\.|s\.r\.l\.|b\.v\.|n\.v\.?)"
     r"\.?(?=$|[\s,;:\)\]\}])"
