@@ -125,6 +125,16 @@ class Lexicon:
         bare = self.bare(text)
         return self.has(self.key(text)) or self.has(self.key(bare)) or any(p.match(bare) for p in self._shapes)
 
+    def split_clean(self, text: str) -> str | None:
+        """A phrase without its excluded segments; what parted two segments
+        stays only where both stay. None if nothing is left."""
+        cuts = [(0, 0), *(m.span() for m in regex.finditer(r"[,:;]\s*|\n", text)), (len(text), len(text))]
+        segments = [(a, b) for (_, a), (b, _) in zip(cuts, cuts[1:], strict=False)]
+        kept = [i for i, (a, b) in enumerate(segments) if (part := text[a:b].strip()) and not self.excluded(part)]
+        # a segment takes its separator along where its left neighbour stays as well
+        pieces = (text[segments[i - 1][1] if i - 1 in kept else segments[i][0] : segments[i][1]] for i in kept)
+        return "".join(pieces).strip() or None
+
     def combination(self, text: str) -> bool:
         """a sentence break, connectors alone, or a row of excluded phrases
         and connectors: can the end be reached from the start by such steps?"""

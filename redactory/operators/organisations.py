@@ -230,3 +230,8 @@ def drop_excluded_combinations(spans: DataFrame, lexicon: Lexicon) -> tuple[Data
 def classify_organisations(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
     """F8: (text, cleaned, generic, specific) for distinct texts."""
     return per_string(texts, lexicon, "cleaned string, generic boolean, specific boolean", lambda c, t: (c.clean(t), c.generic(t), c.specific(t)))
+
+
+def split_clean(phrases: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(text, cleaned) for distinct phrases; null where every segment goes."""
+    return per_string(phrases, lexicon, "cleaned string", lambda c, t: (c.lexicon.split_clean(t),))

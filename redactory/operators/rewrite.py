@@ -26,7 +26,7 @@ def replacement(text: Column, s: Column) -> Column:
 
 
 def build_replacements(text: Column, spans: Column) -> Column:
-    """Replacements of the spans that are to be redacted (the default)."""
+    """Replacements of spans, all of which are to be redacted (see F16)."""
     return F.transform(spans, lambda s: replacement(text, s)).cast(f"array<{REPLACEMENT}>")
 
 
@@ -78,12 +78,16 @@ def reject_edits(segments: Column) -> Column:
     return F.array_join(F.transform(F.filter(segments, lambda s: s["kind"] != "insert"), lambda s: s["text"]), "")
 
 
+def keep_redactable(spans: DataFrame) -> DataFrame:
+    """F16: spans that no decision has released; without a word on it they stay."""
+    return spans.where("coalesce(needs_redaction, true)") if "needs_redaction" in spans.columns else spans
+
+
 def redact_text(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """E10 and E11 on the long form: (doc_id, redacted_text, n_redactions, n_entities)."""
     columns = [c for c in ("start", "end", "label", "confidence", "entity_id") if c in spans.columns]
     extra = [F.lit(None).cast("string").alias("entity_id")] if "entity_id" not in columns else []
-    due = spans.where("coalesce(needs_redaction, true)") if "needs_redaction" in spans.columns else spans
-    packed = due.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*columns, *extra))).alias("spans"))
+    packed = keep_redactable(spans).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*columns, *extra))).alias("spans"))
     text, found = F.col("text"), F.col("spans")
     out = docs.select("doc_id", "text").join(packed, "doc_id", "left")
     done = F.when(found.isNull(), text).otherwise(apply_replacements(text, build_replacements(text, found)))

@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 
 from redactory.functions.let import let, let_all
 from redactory.functions.text import fold_quotes, normalize_mode
-from redactory.operators.consistency import candidates, exact_occurrences, fuzzy_occurrences
+from redactory.operators.consistency import Budget, candidates, exact_occurrences, fuzzy_occurrences
 from redactory.operators.entities import cluster_mentions
 from redactory.operators.lexicon import Lexicon
 from redactory.operators.merge import merge_spans
 from redactory.operators.organisations import OrgCleaner
 from redactory.operators.reshape import alias_spans, drop_generic_counties, drop_overlong_orgs, extend_addresses, extend_org_suffix, snap_to_tokens, trim_jurisdiction
-from redactory.operators.rewrite import apply_replacements, build_replacements
+from redactory.operators.rewrite import apply_replacements, build_replacements, keep_redactable
 from redactory.operators.scan import between, scan_arrays
 from redactory.plans import rules as R
 from redactory.schemas import SPANS
@@ -132,7 +132,7 @@ def invalid_reason(text: Column, s: Column) -> Column:
     )
 
 
-def post_process(df: DataFrame, lexicon: Lexicon, guarded: bool = True) -> DataFrame:
+def post_process(df: DataFrame, lexicon: Lexicon, guarded: bool = True, budget: Budget = Budget()) -> DataFrame:
     """E1, E4, E5, E7, J4, J5, E3, E6, F6, F9, W1, F6 and F10, in this order, on
     columns ``text``, ``spans`` and ``suppressed``."""
     helpers, text, spans = NameHelpers(lexicon), F.col("text"), F.col("spans")
@@ -149,13 +149,13 @@ def post_process(df: DataFrame, lexicon: Lexicon, guarded: bool = True) -> DataF
     df = df.withColumn("_more", on(alias_spans)).withColumn("_bad", helpers.excluded(_texts(F.col("_more"))))
     fine = F.filter(F.transform(F.col("_more"), lambda s, i: F.when((s["label"] == "ORG") | ~F.get(F.col("_bad"), i), s)), lambda s: s.isNotNull())
     df = df.withColumn("spans", F.concat(spans, fine).cast(SPANS)).drop("_more", "_bad")
-    df = df.withColumn("_terms", let(spans, candidates))
+    df = df.withColumn("_terms", let(spans, lambda s: candidates(s, budget)))
     if guarded:
         names = F.transform(F.col("_terms"), lambda t: t["text"])
         df = df.withColumn("_combo", helpers.combination(names)).withColumn("_spec", helpers.specific(names))
         good = lambda t, i: ~F.get(F.col("_combo"), i) | ((t["label"] == "ORG") & F.get(F.col("_spec"), i))
         df = df.withColumn("_terms", F.filter(F.transform(F.col("_terms"), lambda t, i: F.when(good(t, i), t)), lambda t: t.isNotNull())).drop("_combo", "_spec")
-    again = lambda spans, text, terms: F.concat(spans, exact_occurrences(spans, text, terms), fuzzy_occurrences(spans, text, terms))
+    again = lambda spans, text, terms: F.concat(spans, exact_occurrences(spans, text, terms, budget), fuzzy_occurrences(spans, text, terms, budget))
     df = df.withColumn("spans", let_all(again, spans=spans, text=text, terms=F.col("_terms")).cast(SPANS)).drop("_terms")
     df = df.withColumn("spans", let(spans, trim_jurisdiction).cast(SPANS))
     df = df.withColumn("spans", on(extend_addresses))
@@ -203,7 +203,7 @@ def rewrite(df: DataFrame) -> DataFrame:
     return df.withColumns({"redacted_text": let_all(apply_replacements, text=F.col("text"), replacements=F.col("replacements")), "n_redactions": F.size("replacements"), "n_entities": n_ids})
 
 
-def redact(docs: DataFrame, mode: str = "rules", labels: Iterable[str] | None = None, exclusions: str | None = None, model_spans: DataFrame | None = None, decisions: DataFrame | None = None, rules=R.RULES) -> DataFrame:
+def redact(docs: DataFrame, mode: str = "rules", labels: Iterable[str] | None = None, exclusions: str | None = None, model_spans: DataFrame | None = None, decisions: DataFrame | None = None, rules=R.RULES, budget: Budget = Budget()) -> DataFrame:
     """Q1 to Q3: ``docs`` (doc_id, text, ...) with ``spans``, ``suppressed``,
     ``replacements``, ``redacted_text``, ``n_redactions`` and ``n_entities``.
 
@@ -211,7 +211,9 @@ def redact(docs: DataFrame, mode: str = "rules", labels: Iterable[str] | None =
     (doc_id, start, end, label, text, confidence, source) joined by document.
     ``constrained_overrides`` and ``llm_overrides`` first let ``decisions``
     (doc_id, start, end, label, keep) drop rule spans of ORG, NAME and LOC, or of
-    any label. A null text counts as empty."""
+    any label. Model spans whose ``needs_redaction`` is false are left out (F16).
+    ``budget`` bounds the search for further occurrences; by default it is whole.
+    A null text counts as empty."""
     mode = normalize_mode(mode)
     if mode not in ("rules", "rules_override", "constrained_overrides", "llm_overrides"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -223,7 +225,7 @@ def redact(docs: DataFrame, mode: str = "rules", labels: Iterable[str] | None =
         df = _with_model(df, model_spans, decisions, mode)
     if guarded:
         df = drop_combinations(df, NameHelpers(lexicon))
-    return rewrite(identify(post_process(df, lexicon, guarded)))
+    return rewrite(identify(post_process(df, lexicon, guarded, budget)))
 
 
 def _with_model(df: DataFrame, model_spans: DataFrame | None, decisions: DataFrame | None, mode: str) -> DataFrame:
@@ -238,6 +240,6 @@ def _with_model(df: DataFrame, model_spans: DataFrame | None, decisions: DataFra
         df = df.withColumn("suppressed", F.concat("suppressed", F.transform(F.filter(spans, drop), lambda s: _suppressed(F.lit("llm_override_skip"), s))))
         df = df.withColumn("spans", F.filter(spans, lambda s: ~drop(s))).drop("_skip")
     if model_spans is not None:
-        packed = model_spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "label", "text", "confidence", "source"))).cast(SPANS).alias("_model"))
+        packed = keep_redactable(model_spans).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "label", "text", "confidence", "source"))).cast(SPANS).alias("_model"))
         df = df.join(packed, "doc_id", "left").withColumn("spans", F.concat(spans, F.coalesce("_model", F.array().cast(SPANS)))).drop("_model")
     return df

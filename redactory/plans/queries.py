@@ -48,8 +48,12 @@ BASE = (("EMAIL", R.EMAIL, 0.98), ("URL", r"[A-Za-z0-9-]+\.example\.[a-z]+", 0.9
 
 
 def base_spans(spark: SparkSession, sf_dir: str, kinds=BASE) -> DataFrame:
-    d = docs(spark, sf_dir)
-    return reduce(DataFrame.unionByName, (scan.scan_regex(d, *kind) for kind in kinds))
+    """One pass over the texts for all patterns."""
+
+    def found(label: str, pattern: str, confidence: float):
+        return F.transform(scan.matches(F.col("text"), pattern), lambda m: scan.span(m["start"], m["end"], label, m["text"], confidence, "rule"))
+
+    return docs(spark, sf_dir).select("doc_id", F.inline(F.concat(*(found(*kind) for kind in kinds))))
 
 
 def span_sql(label: str, pattern: str, confidence: float, source: str = "documents") -> str:
@@ -76,11 +80,24 @@ def columns(name: str, sql: str | None, fn):
     return run
 
 
-def first_line():
-    return F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
+LINE_SQL = "line"
+LINES_SQL = "(SELECT doc_id, i - 1 AS line_no, ls[i] AS line, n_chars FROM (SELECT doc_id, ls, n_chars, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, n_chars, string_split(text, chr(10)) AS ls FROM documents)))"
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every text is a phrase: (doc_id, line_no, line, n_chars)."""
+    return docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"), "n_chars").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line", "n_chars")
+
 
+def line_columns(name: str, sql: str, fn):
+    """A query that is a projection of all lines."""
+
+    @query(name, f"SELECT doc_id, line_no, {sql} FROM {LINES_SQL}")
+    def run(spark, sf_dir):
+        return lines(spark, sf_dir).select("doc_id", "line_no", *fn(F.col("line")))
+
+    return run
 
-FIRST_SQL = "split_part(text, chr(10), 1)"
 
 # --- S1, S2 -----------------------------------------------------------------------------
 query("s1_read_documents", "SELECT doc_id, coalesce(text, '') AS text, lang, source, n_chars FROM documents")(docs)
@@ -136,12 +153,12 @@ columns("x1_scan_normalize", f"translate(text, {q(X.APOSTROPHES + X.DASHES)}, {q
 columns("x2_ascii_fold", reduce(lambda a, kv: f"replace({a}, {q(kv[0])}, {q(kv[1])})", X.ASCII_FORMS.items(), "text") + " AS folded", lambda t: [X.ascii_fold(t).alias("folded")])
 columns("x3_fold_quotes", "translate(text, '‘’', '''''') AS folded", lambda t: [X.fold_quotes(t).alias("folded")])
 DET = "|".join(X.DETERMINERS)
-BARE_SQL = rf"regexp_replace(regexp_replace({FIRST_SQL}, '^\s+|\s+$', '', 'g'), '(?i)^(?:{DET})\s+', '')"
+BARE_SQL = rf"regexp_replace(regexp_replace({LINE_SQL}, '^\s+|\s+$', '', 'g'), '(?i)^(?:{DET})\s+', '')"
 KEY_SQL = rf"""regexp_replace(regexp_replace(regexp_replace(lower(trim({BARE_SQL})), '[''’]s\s*$|[''’]\s*$', ''), '[.,;:!?"'']+$', ''), '\s+', ' ', 'g')"""
-columns("x4_exclusion_key", f"{KEY_SQL} AS key", lambda t: [X.exclusion_key(first_line()).alias("key")])
-columns("x5_singular_keys", rf"""len(list_filter([{KEY_SQL}, CASE WHEN {KEY_SQL} LIKE '%ies' AND length({KEY_SQL}) > 3 THEN {KEY_SQL}[:-4] || 'y' WHEN {KEY_SQL} LIKE '%s' AND length({KEY_SQL}) > 1 THEN rtrim({KEY_SQL}[:-2]) END], lambda x: x IS NOT NULL AND x <> ''))::INTEGER AS n_keys""", lambda t: [F.size(X.singular_keys(X.exclusion_key(first_line()))).alias("n_keys")])
-columns("x6_cluster_key", rf"regexp_replace(trim(regexp_replace(replace(lower({FIRST_SQL}), '&', 'and'), '[^\p{{L}}\p{{N}}\s]', '', 'g')), ' {{2,}}', ' ', 'g') AS key", lambda t: [X.cluster_key(first_line()).alias("key")])
-columns("x7_org_key", rf"""lower(trim(regexp_replace(regexp_replace({FIRST_SQL}, '[^\p{{L}}\p{{N}}\p{{M}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS key, list_filter(regexp_extract_all({FIRST_SQL}, '[A-Za-z0-9]+'), lambda x: length(x) >= 2) AS tokens""", lambda t: [X.org_key(first_line()).alias("key"), X.org_tokens(first_line()).alias("tokens")])
+line_columns("x4_exclusion_key", f"{KEY_SQL} AS key", lambda t: [X.exclusion_key(F.col("line")).alias("key")])
+line_columns("x5_singular_keys", rf"""len(list_filter([{KEY_SQL}, CASE WHEN {KEY_SQL} LIKE '%ies' AND length({KEY_SQL}) > 3 THEN {KEY_SQL}[:-4] || 'y' WHEN {KEY_SQL} LIKE '%s' AND length({KEY_SQL}) > 1 THEN rtrim({KEY_SQL}[:-2]) END], lambda x: x IS NOT NULL AND x <> ''))::INTEGER AS n_keys""", lambda t: [F.size(X.singular_keys(X.exclusion_key(F.col("line")))).alias("n_keys")])
+line_columns("x6_cluster_key", rf"regexp_replace(trim(regexp_replace(replace(lower({LINE_SQL}), '&', 'and'), '[^\p{{L}}\p{{N}}\s]', '', 'g')), ' {{2,}}', ' ', 'g') AS key", lambda t: [X.cluster_key(F.col("line")).alias("key")])
+line_columns("x7_org_key", rf"""lower(trim(regexp_replace(regexp_replace({LINE_SQL}, '[^\p{{L}}\p{{N}}\p{{M}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS key, list_filter(regexp_extract_all({LINE_SQL}, '[A-Za-z0-9]+'), lambda x: length(x) >= 2) AS tokens""", lambda t: [X.org_key(F.col("line")).alias("key"), X.org_tokens(F.col("line")).alias("tokens")])
 DIGITS_SQL = "regexp_replace(text, '[^0-9]', '', 'g')"
 LUHN_SQL = "list_sum(list_transform(range(1, length(d) + 1), lambda k: CASE WHEN (length(d) - k) % 2 = 1 THEN (CASE WHEN d[k]::INT > 4 THEN d[k]::INT * 2 - 9 ELSE d[k]::INT * 2 END) ELSE d[k]::INT END)) % 10 = 0"
 CARD_RUN = r"[0-9](?:[ -]?[0-9]){12,18}"
@@ -153,7 +170,7 @@ def x8_luhn(spark, sf_dir):
 
 
 STOP_SQL = ", ".join(q(w) for w in X.ACRONYM_STOP_WORDS)
-columns("x9_org_acronym", f"array_to_string(list_transform(list_filter(regexp_extract_all({FIRST_SQL}, '[A-Za-z]+'), lambda x: (lower(x) NOT IN ({STOP_SQL}) OR (lower(x) = 'a' AND x[1] = 'A')) AND lower(x) NOT IN ({', '.join(q(s) for s in X.ACRONYM_SUFFIXES)})), lambda x: upper(x[1])), '') AS acronym", lambda t: [X.org_acronym(F.regexp_extract_all(first_line(), F.lit("[A-Za-z]+"), F.lit(0))).alias("acronym")])
+line_columns("x9_org_acronym", f"array_to_string(list_transform(list_filter(regexp_extract_all({LINE_SQL}, '[A-Za-z]+'), lambda x: (lower(x) NOT IN ({STOP_SQL}) OR (lower(x) = 'a' AND x[1] = 'A')) AND lower(x) NOT IN ({', '.join(q(s) for s in X.ACRONYM_SUFFIXES)})), lambda x: upper(x[1])), '') AS acronym", lambda t: [X.org_acronym(F.regexp_extract_all(F.col("line"), F.lit("[A-Za-z]+"), F.lit(0))).alias("acronym")])
 NAMES = ("person", "Company", " gpe ", "PRODUCT", "currency", "quantity", "date", "weapon", "HUMAN", "brand", "place", "")
 columns("x10_canonical_label", f"CASE upper(trim([{', '.join(q(n) for n in NAMES)}][doc_id % 12 + 1])) " + " ".join(f"WHEN {q(a)} THEN {q(label)}" for label, names in X.LABEL_NAMES.items() for a in names) + " END AS label", lambda t: [X.canonical_label(F.get(F.array(*(F.lit(n) for n in NAMES)), (F.col("doc_id") % 12).cast("int"))).alias("label")])
 
@@ -166,7 +183,7 @@ def x11_rank(spark, sf_dir):
 columns("x12_combine_confidence", "greatest(0.0, least(1.0, n_chars / 10000.0::DOUBLE + (doc_id % 3) * 0.07::DOUBLE + 0.0 - 0.05::DOUBLE)) < 0.88::DOUBLE AS low", lambda t: [X.is_low_confidence(X.combine_confidence(F.col("n_chars") / 10000.0, F.col("doc_id") % 3, 0.0, 0.05)).alias("low")])
 columns("x13_confidence_band", "CASE WHEN n_chars / 5000.0::DOUBLE >= 0.9 THEN 'high' WHEN n_chars / 5000.0::DOUBLE >= 0.7 THEN 'medium' ELSE 'low' END AS band", lambda t: [X.confidence_band(F.col("n_chars") / 5000.0).alias("band")])
 columns("x15_doc_type", "CASE WHEN contains(lower(left(text, 1000)), 'shareholder') AND contains(lower(left(text, 1000)), 'consent') THEN 'shareholder_consent' WHEN contains(lower(left(text, 1000)), 'purchase agreement') THEN 'purchase_agreement' WHEN contains(lower(left(text, 1000)), 'employment agreement') THEN 'employment_agreement' ELSE 'legal_document' END AS kind", lambda t: [X.doc_type(t).alias("kind")])
-columns("x16_looks_like_title", rf"regexp_matches({FIRST_SQL}, {q(X.TITLE_WORDS)}) AND NOT regexp_matches({FIRST_SQL}, {q(X.COMPANY_HINTS)}) AND len(list_filter(string_split_regex({FIRST_SQL}, '\s+'), lambda x: trim(x, ',.;:()[]{{}}') <> '')) >= 2 AS title", lambda t: [X.looks_like_title(first_line()).alias("title")])
+line_columns("x16_looks_like_title", rf"regexp_matches({LINE_SQL}, {q(X.TITLE_WORDS)}) AND NOT regexp_matches({LINE_SQL}, {q(X.COMPANY_HINTS)}) AND len(list_filter(string_split_regex({LINE_SQL}, '\s+'), lambda x: trim(x, ',.;:()[]{{}}') <> '')) >= 2 AS title", lambda t: [X.looks_like_title(F.col("line")).alias("title")])
 WORDS_SQL = r"list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')"
 SCORE_SQL = f"greatest(0.3, least(3.0, (CASE WHEN len({WORDS_SQL}) < 500 THEN 0.6 WHEN len({WORDS_SQL}) < 2000 THEN 1.0 WHEN len({WORDS_SQL}) < 5000 THEN 1.4 ELSE 2.0 END)::DOUBLE * (1 + (" + " + ".join(f"contains(lower(text), '{t}')::INT" for t in X.LEGAL_TERMS) + f") / 6.0::DOUBLE * 0.3::DOUBLE + len(list_filter({WORDS_SQL}, lambda x: regexp_matches(x, '^[A-Z]') AND length(x) > 2)) / greatest(len({WORDS_SQL}), 1)::DOUBLE * 0.2::DOUBLE)))"
 columns("x17_complexity_score", f"round({SCORE_SQL}, 6) AS score", lambda t: [F.round(X.complexity_score(t), 6).alias("score")])
@@ -274,11 +291,11 @@ def f23_context(spark, sf_dir):
 
 
 
-@query("f4_excluded_phrases", f"""WITH k AS (SELECT DISTINCT {FIRST_SQL} AS text, {KEY_SQL} AS key FROM documents) SELECT text FROM k WHERE key IN (SELECT unnest([{', '.join(q(t) for t in lexicon.base_terms())}])) OR (key LIKE '%s' AND rtrim(key[:-2]) IN (SELECT unnest([{', '.join(q(t) for t in lexicon.base_terms())}]))) OR regexp_matches({BARE_SQL.replace(FIRST_SQL, 'text')}, '^(?i:t[a-z]+\\.$)')""")
+@query("f4_excluded_phrases", f"""WITH k AS (SELECT DISTINCT {LINE_SQL} AS text, {KEY_SQL} AS key FROM {LINES_SQL}) SELECT text FROM k WHERE key IN (SELECT unnest([{', '.join(q(t) for t in lexicon.base_terms())}])) OR (key LIKE '%s' AND rtrim(key[:-2]) IN (SELECT unnest([{', '.join(q(t) for t in lexicon.base_terms())}]))) OR regexp_matches({BARE_SQL.replace(f'({LINE_SQL},', '(text,')}, '^(?i:t[a-z]+\\.$)')""")
 def f4_excluded(spark, sf_dir):
     literals, _ = lexicon.read_exclusions(spark)
     patterns = spark.createDataFrame([(r"t[a-z]+\.$",)], "pattern string")
-    return lexicon.excluded_phrases(docs(spark, sf_dir).select(first_line().alias("text")), literals, patterns)
+    return lexicon.excluded_phrases(lines(spark, sf_dir).select(F.col("line").alias("text")), literals, patterns)
 
 
 def _orgs(spark, sf_dir):
@@ -297,6 +314,11 @@ def f8_generic(spark, sf_dir):
     return organisations.classify_organisations(_orgs(spark, sf_dir), lexicon.Lexicon.read(spark))
 
 
+@query("x14_smart_split_clean")
+def x14_split(spark, sf_dir):
+    return organisations.split_clean(lines(spark, sf_dir).select(F.col("line").alias("text")), lexicon.Lexicon.read(spark))
+
+
 LINE = r"[A-Z][^\n.]{40,80}"
 
 
@@ -321,10 +343,10 @@ def f10_invalid(spark, sf_dir):
 
 
 def _candidates(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", first_line().alias("text"), F.when(F.col("doc_id") % 2 == 0, "NAME").otherwise("ORG").alias("label"), (F.col("n_chars") % 100 / 100.0).alias("confidence"))
+    return lines(spark, sf_dir).select("doc_id", F.col("line").alias("text"), F.when(F.col("doc_id") % 2 == 0, "NAME").otherwise("ORG").alias("label"), (F.col("n_chars") % 100 / 100.0).alias("confidence"))
 
 
-CAND_SQL = f"SELECT doc_id, {FIRST_SQL} AS text, CASE WHEN doc_id % 2 = 0 THEN 'NAME' ELSE 'ORG' END AS label, (n_chars % 100 / 100.0)::DOUBLE AS confidence FROM documents"
+CAND_SQL = f"SELECT doc_id, {LINE_SQL} AS text, CASE WHEN doc_id % 2 = 0 THEN 'NAME' ELSE 'ORG' END AS label, (n_chars % 100 / 100.0)::DOUBLE AS confidence FROM {LINES_SQL}"
 
 
 @query("f11_drop_titles_and_generics")
@@ -332,9 +354,10 @@ def f11_titles(spark, sf_dir):
     return model.drop_titles_and_generics(_candidates(spark, sf_dir), *lexicon.read_exclusions(spark))[0].select("doc_id", "text")
 
 
+# accented letters are letters to a word boundary here, but not to one of DuckDB's
 @query("f12_valid_shape", rf"""WITH c AS ({CAND_SQL}), w AS (SELECT *, list_filter(string_split_regex(trim(text), '\s+'), lambda x: x <> '') AS w FROM c)
 SELECT doc_id, CASE WHEN trim(text) = '' THEN false WHEN label = 'NAME' THEN len(w) >= 2 AND len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z][a-z''’.-]*$'))) >= greatest(2, len(w) - 1)
-ELSE len(w) >= 2 AND (regexp_matches(text, {q(model.DESIGNATORS)}) OR len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z][A-Za-z&''’.-]*$'))) >= 2) END AS valid FROM w""")
+ELSE len(w) >= 2 AND (regexp_matches(regexp_replace(text, '[À-ÿ]', 'x', 'g'), {q(model.DESIGNATORS)}) OR len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z][A-Za-z&''’.-]*$'))) >= 2) END AS valid FROM w""")
 def f12_valid(spark, sf_dir):
     return _candidates(spark, sf_dir).select("doc_id", model.valid_shape(F.col("text"), F.col("label")).alias("valid"))
 

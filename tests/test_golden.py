@@ -6,7 +6,11 @@ from pyspark.sql import functions as F
 from redactory.functions.let import let_all
 from redactory.functions.text import cluster_key, luhn_ok, normalize_mode
 from redactory.operators import entities, lexicon, merge, metadata, model, organisations, report, reshape, rewrite, scan, score
+from redactory.operators.consistency import Budget, candidates, exact_occurrences
+from redactory.operators.lexicon import Lexicon
+from redactory.operators.model import tolerant_json
 from redactory.plans import rules as R
+from redactory.plans.pipeline import redact
 from redactory.schemas import SPANS
 from redactory.sources import tables
 
@@ -199,3 +203,30 @@ def test_sources(spark, tmp_path):
     assert tables.failure_rows(bad).first().details == "open <path> failed, user=<user>"
     out = tables.write_redacted(df, str(tmp_path / "out"), "r1")
     assert out.endswith("run_id=r1") and spark.read.parquet(out).count() == 3
+
+
+def test_split_clean_keeps_separators_between_kept_segments():
+    lex = Lexicon(frozenset({"for value received", "title", "company"}))
+    assert lex.split_clean("FOR VALUE RECEIVED, Sample 123 Holdings, Inc.") == "Sample 123 Holdings, Inc."
+    assert lex.split_clean("Title: Jane Doe") == "Jane Doe" and lex.split_clean("A; the Company; B") == "AB"
+    assert lex.split_clean("Company, , title") is None and lex.split_clean("") is None and lex.split_clean("x\ny") == "x\ny"
+
+
+def test_tolerant_json_closes_what_is_cut_off():
+    assert tolerant_json('{"entities":[{"text":"Jane","type":"NAME"},]} // done') == {"entities": [{"text": "Jane", "type": "NAME"}]}
+    assert tolerant_json('{"a": [1, {"b": "c // d') == {"a": [1, {"b": "c // d"}]} and tolerant_json("```json\n{\"a\": true}\n```") == {"a": True}
+    assert tolerant_json('{"a": 1 "b": 2}') is None and tolerant_json("none") is None and tolerant_json('{"a": [1}') is None and tolerant_json(None) is None
+
+
+def test_budgets_bound_the_search_and_zero_lifts_them(spark):
+    text = " ".join(f"mail{i}@x.org" for i in range(9)) + " and again " + " ".join(f"mail{i}@x.org" for i in range(9))
+    spans = [(i * 12, i * 12 + 11, "EMAIL", f"mail{i}@x.org", 0.9, "rule") for i in range(9)]
+    df = spark.createDataFrame([(text, spans)], f"text string, spans {SPANS}")
+    count = lambda b: df.select(F.size(exact_occurrences(F.col("spans"), F.col("text"), candidates(F.col("spans"), b), b))).first()[0]
+    assert count(Budget()) == 9 and count(Budget(candidates=4)) == 4 and 0 < count(Budget(pattern_chars=30)) < 9
+
+
+def test_released_model_spans_stay_in_the_text(spark):
+    docs = spark.createDataFrame([(1, "Ann Lee met Bob Ray.")], "doc_id long, text string")
+    found = spark.createDataFrame([(1, 0, 7, "NAME", "Ann Lee", 0.9, "model", True), (1, 12, 19, "NAME", "Bob Ray", 0.9, "model", False)], "doc_id long, start int, end int, label string, text string, confidence double, source string, needs_redaction boolean")
+    assert redact(docs, "rules_override", model_spans=found).first()["redacted_text"] == "[NAME_1] met Bob Ray."
