@@ -28,3 +28,15 @@ def test_pipeline_stages(spark, sf):
         if i < 4:
             assert docs.columns == columns
     assert 0 < docs.count() <= 200
+
+
+def test_pipeline_stages_take_odd_rows(spark, sf):
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    clean = "Anea of the ring was in the of eran over them and they were under that which is not here."
+    rows = [(1, None, "en", None, None), (2, "", None, "s", 0), (None, clean, "en", "s", 90), (5, clean, "en", "s", 90), (5, clean, "en", "s", 90), (6, clean, None, None, 90)]
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, columns)
+        for _, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, sf)
+        left = [r.doc_id for r in docs.collect()]
+        assert sorted(x for x in left if x) == ([5] if given else []) and left.count(None) == (1 if given else 0)
