@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 and read again as the next stage's ``docs``; all but the last keep the columns
 of documents.
+
+Nulls, long texts, ties, repeats and empty tables are as the stages' operators
+define them: a null or letterless text goes in ``language`` (it is ``und``); rows
+without an id pass the later stages unchanged; of rows equal in id and text one
+stays after ``near_duplicates``; an empty table stays empty through all stages.
 """
 
 from __future__ import annotations
