@@ -3,6 +3,7 @@ can express it. Names are those of the operators."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -157,7 +158,19 @@ BARE_SQL = rf"regexp_replace(regexp_replace({LINE_SQL}, '^\s+|\s+$', '', 'g'), '
 KEY_SQL = rf"""regexp_replace(regexp_replace(regexp_replace(lower(trim({BARE_SQL})), '[''’]s\s*$|[''’]\s*$', ''), '[.,;:!?"'']+$', ''), '\s+', ' ', 'g')"""
 line_columns("x4_exclusion_key", f"{KEY_SQL} AS key", lambda t: [X.exclusion_key(F.col("line")).alias("key")])
 line_columns("x5_singular_keys", rf"""len(list_filter([{KEY_SQL}, CASE WHEN {KEY_SQL} LIKE '%ies' AND length({KEY_SQL}) > 3 THEN {KEY_SQL}[:-4] || 'y' WHEN {KEY_SQL} LIKE '%s' AND length({KEY_SQL}) > 1 THEN rtrim({KEY_SQL}[:-2]) END], lambda x: x IS NOT NULL AND x <> ''))::INTEGER AS n_keys""", lambda t: [F.size(X.singular_keys(X.exclusion_key(F.col("line")))).alias("n_keys")])
-line_columns("x6_cluster_key", rf"regexp_replace(trim(regexp_replace(replace(lower({LINE_SQL}), '&', 'and'), '[^\p{{L}}\p{{N}}\s]', '', 'g')), ' {{2,}}', ' ', 'g') AS key", lambda t: [X.cluster_key(F.col("line")).alias("key")])
+
+
+# every line with and without legal forms behind it: each suffix goes once, in list order
+FORMED_SQL = "line || CASE doc_id % 4 WHEN 0 THEN ' co inc' WHEN 1 THEN ' Inc.' WHEN 2 THEN ' L.L.C.' ELSE '' END"
+TAILLESS_SQL = reduce(lambda x, suffix: f"regexp_replace({x}, ' {re.escape(suffix)}$', '')", X.LEGAL_SUFFIXES, f"replace(lower({FORMED_SQL}), '&', 'and')")
+
+
+@query("x6_cluster_key", rf"SELECT doc_id, line_no, regexp_replace(trim(regexp_replace({TAILLESS_SQL}, '[^\p{{L}}\p{{N}}\s]', '', 'g')), ' {{2,}}', ' ', 'g') AS key FROM {LINES_SQL}")
+def x6_key(spark, sf_dir):
+    formed = F.concat("line", F.expr("CASE doc_id % 4 WHEN 0 THEN ' co inc' WHEN 1 THEN ' Inc.' WHEN 2 THEN ' L.L.C.' ELSE '' END"))
+    return lines(spark, sf_dir).select("doc_id", "line_no", X.cluster_key(formed).alias("key"))
+
+
 line_columns("x7_org_key", rf"""lower(trim(regexp_replace(regexp_replace({LINE_SQL}, '[^\p{{L}}\p{{N}}\p{{M}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS key, list_filter(regexp_extract_all({LINE_SQL}, '[A-Za-z0-9]+'), lambda x: length(x) >= 2) AS tokens""", lambda t: [X.org_key(F.col("line")).alias("key"), X.org_tokens(F.col("line")).alias("tokens")])
 DIGITS_SQL = "regexp_replace(text, '[^0-9]', '', 'g')"
 LUHN_SQL = "list_sum(list_transform(range(1, length(d) + 1), lambda k: CASE WHEN (length(d) - k) % 2 = 1 THEN (CASE WHEN d[k]::INT > 4 THEN d[k]::INT * 2 - 9 ELSE d[k]::INT * 2 END) ELSE d[k]::INT END)) % 10 = 0"
