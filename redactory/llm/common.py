@@ -193,6 +193,26 @@ def column_size(df: DataFrame, column: str) -> int:
     return df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
 
 
+#: A key's rows are dealt over this many tasks; its one answer goes only to those
+#: that have rows of it, so rare keys are not copied more often than they occur.
+SALTS = 32
+
+
+def salt(at: str) -> Column:
+    """The salt of a row named by column ``at``."""
+    return F.pmod(F.xxhash64(at), F.lit(SALTS)).cast("int")
+
+
+def salts() -> Column:
+    """The set of a group's salts, as bits; combined before the shuffle."""
+    return F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")
+
+
+def each_salt() -> Column:
+    """One row for each member of ``salts``."""
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.getbit("salts", s) == 1)).alias("salt")
+
+
 class Memo(dict):
     """Answers of ``make`` by key: those of the last ``bound`` to ``2 * bound``
     keys asked for; a key asked for again moves to the younger half."""

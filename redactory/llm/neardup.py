@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactory.llm.common import distinct_by_row, materialise, measured, mix, shingle_hashes, word_hashes
+from redactory.llm.common import distinct_by_row, each_salt, materialise, measured, mix, salt, salts, shingle_hashes, word_hashes
 
 PIECE = 4096
 
@@ -223,9 +223,10 @@ def _components(docs: DataFrame, words: int, num: int, den: int, bands: int, ban
     of = copies.select(F.col("first").alias("doc_id"), "h", "node")
     nodes = full.join(of, ["doc_id", "h"]).groupBy("doc_id", "h").agg(*(F.first(c).alias(c) for c in ("node", "n_shingles", "keys", "signature")))
     nodes = materialise(nodes.withColumnRenamed("n_shingles", "size"), "nodes")
-    members = nodes.select("node", "size", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n"))
-    members = materialise(members.join(shared.where("pivot < last"), "key").select("key", "node", "size", "pivot", "n"), "members")
+    members = nodes.select("node", "size", F.explode("keys").alias("key"), salt("node").alias("salt"))
+    # answers to a bucket go to each of its salts, so a large one is many tasks' work
+    shared = members.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n"), salts()).where("pivot < last").select("key", "pivot", "n", each_salt())
+    members = materialise(members.join(shared, ["key", "salt"]).select("key", "node", "size", "pivot", "n"), "members")
     # the only pass that moves texts; the join is the same at every size
     named = of.join(members.select("node").distinct(), "node", "left_semi")
     texts = docs.select("doc_id", text_hash(), "text").join(named.hint("merge"), ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.first("node").alias("node"), F.first("text").alias("text"))
@@ -247,8 +248,9 @@ def _components(docs: DataFrame, words: int, num: int, den: int, bands: int, ban
     often = held.groupBy("node").agg(F.count(F.lit(1)).alias("all")).join(cold, "node", "left").select("node", (F.col("all") - F.coalesce("cold", F.lit(0))).alias("hot"))
     open_ = materialise(open_.join(materialise(often, "often"), "node"), "ranked")
     # the text with the largest share of frequent shingles is the next pivot
-    pivot = open_.groupBy("key").agg(F.min(F.struct(-F.col("hot") / F.col("size"), "node", "component")).alias("p")).select("key", F.col("p.node").alias("far"), F.col("p.component").alias("home"))
-    at = open_.join(pivot, "key")
+    open_ = open_.withColumn("salt", salt("node"))
+    pivot = open_.groupBy("key").agg(F.min(F.struct(-F.col("hot") / F.col("size"), "node", "component")).alias("p"), salts()).select("key", F.col("p.node").alias("far"), F.col("p.component").alias("home"), each_salt())
+    at = open_.join(pivot, ["key", "salt"])
     found.append(links(materialise(_ordered(at.where("component != home")), "pairs")))
     known = components(reduce(DataFrame.unionByName, found))
     open_, some = _unsettled(at.where("node != far").select("key", "node", "size", "hot"), known, "open")
@@ -296,9 +298,9 @@ def _rest(open_: DataFrame, sets: DataFrame, large: int, num: int, den: int) ->
 def _unsettled(members: DataFrame, known: DataFrame, name: str) -> tuple[DataFrame, int]:
     """Members, with their component, of buckets that hold several components, and
     their number."""
-    placed = members.join(known, "node", "left").select(*members.columns, F.coalesce("component", "node").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
-    out, facts = measured(placed.join(split, "key", "left_semi"), name, F.count(F.lit(1)).alias("n"))
+    placed = members.join(known, "node", "left").select(*members.columns, F.coalesce("component", "node").alias("component"), salt("node").alias("salt"))
+    split = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), salts()).where("c0 < c1").select("key", each_salt())
+    out, facts = measured(placed.join(split, ["key", "salt"], "left_semi").drop("salt"), name, F.count(F.lit(1)).alias("n"))
     return out, facts["n"]
 
 
