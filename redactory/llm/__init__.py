@@ -1,4 +1,4 @@
-"""Training-data operators: sharding, classifiers, dedup, tokenisation, scoring.
+"""Training-data operators: sharding, classifiers, dedup, tokenisation, scoring, runs, mining.
 
 Nothing outside this package imports it; ``queries.py`` registers its queries.
 """

@@ -14,6 +14,7 @@ from redactory.llm.linededup import dedup_lines
 from redactory.llm.lmscore import score_documents
 from redactory.llm.neardup import near_duplicates
 from redactory.llm.rules import judge
+from redactory.llm.runs import find_runs, repeat_tail
 from redactory.llm.sharding import row_size, shuffle_into_shards
 from redactory.llm.tokencount import EditPattern, count_tokens
 
@@ -83,6 +84,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "n_tokens_edited", "n_edits", "n_reencoded")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_runs(read_documents(spark, sf_dir).select("doc_id", "text"), replace=repeat_tail, texts=False)
+    return out.drop("runs", "collapsed")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
