@@ -26,7 +26,7 @@ names. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -234,12 +234,21 @@ def _components(docs: DataFrame, words: int, num: int, den: int, bands: int, ban
     def links(pairs: DataFrame) -> DataFrame:
         return materialise(_verified(_survivors(pairs.distinct(), nodes, steps), sets, num, den), "links")
 
-    found = [links(members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))]
+    first = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    return _labelled(sig, copies, linked(links(first), members, sets, links, large, num, den))
+
+
+def linked(first: DataFrame, members: DataFrame, sets: DataFrame, links: Callable[[DataFrame], DataFrame], large: int, num: int, den: int) -> DataFrame:
+    """(node, component) of the nodes that link. ``members`` (key, node, size, pivot,
+    n) are the nodes of each bucket, ``first`` the links found between pivots and
+    their buckets; ``links`` confirms pairs. Every link between members of a bucket
+    counts, by whatever pairs are compared."""
+    found = [first]
     known = components(found[0])
     # a bucket of two has been compared in full, and every pivot with its bucket
     open_, some = _unsettled(members.where("n > 2 and node != pivot").select("key", "node", "size"), known, "open")
     if not some:
-        return _labelled(sig, copies, known)
+        return known
     held = materialise(_shingle_rows(open_.select("node").distinct(), sets), "held")
     rare = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= large)
     # the rare shingles of a text are few where a bucket is large, so those are joined and counted
@@ -253,9 +262,9 @@ def _components(docs: DataFrame, words: int, num: int, den: int, bands: int, ban
     known = components(reduce(DataFrame.unionByName, found))
     open_, some = _unsettled(at.where("node != far").select("key", "node", "size", "hot"), known, "open")
     if not some:
-        return _labelled(sig, copies, known)
+        return known
     found.append(links(materialise(_rest(open_, sets, large, num, den), "pairs")))
-    return _labelled(sig, copies, components(reduce(DataFrame.unionByName, found)))
+    return components(reduce(DataFrame.unionByName, found))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:

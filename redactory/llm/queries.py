@@ -14,6 +14,7 @@ from redactory.llm.hardneg import hard_negatives
 from redactory.llm.linededup import dedup_lines
 from redactory.llm.lmscore import score_documents
 from redactory.llm.neardup import near_duplicates
+from redactory.llm.ngramjoin import ngram_components
 from redactory.llm.rules import judge
 from redactory.llm.runs import find_runs, repeat_tail
 from redactory.llm.sharding import row_size, shuffle_into_shards
@@ -90,6 +91,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("runs", "collapsed")
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(read_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
