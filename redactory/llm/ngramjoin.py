@@ -13,9 +13,9 @@ Two sets of sizes m and n with similarity t or more share at least a = t / (1 +
    less than a) and by the suffix filter (the parts of both sets between some of
    their shingles differ in size too much). Each pair left is verified once, on
    full sets.
-4. A bucket of many nodes does not emit all its pairs: its pivot is compared with the
-   others, and what then still stands in different components is compared as in
-   ``neardup.linked``; no link between different texts is lost.
+4. A bucket of more than ``large`` nodes does not emit all its pairs: its pivot is
+   compared with the others, and what then still stands in different components is
+   compared as in ``neardup.linked``; no link between different texts is lost.
 
 Nulls, ties, repeats: a null or wordless text has the empty set and is linked with
 nothing; a text of fewer words than a shingle is one shingle. A row without an id
@@ -142,9 +142,14 @@ def ngram_components(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     met = met.join(group.select("key", "small", "reach"), "key").where("most >= small and size <= reach").drop("small", "reach")
     group = met.groupBy("key").agg(F.min(F.struct("node", "size", "left")).alias("p"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).where("p.node < last")
     members = materialise(met.join(group.select("key", "n", F.col("p.node").alias("pivot"), F.col("p.size").alias("its"), F.col("p.left").alias("remains")), "key"), "members")
+    its = members.select("key", F.col("node").alias("pivot"), F.col("size").alias("its"), F.col("left").alias("remains"))
+    paired = members.where(F.col("n") <= large).drop("pivot", "its", "remains").join(its, "key").where("node > pivot")
+    paired = paired.select(*members.columns).unionByName(members.where((F.col("n") > large) & (F.col("node") != F.col("pivot"))))
     need = (F.col("size") + F.col("its")) * num
-    near = members.where((F.col("node") != F.col("pivot")) & (F.least("size", "its") * den >= F.greatest("size", "its") * num) & (F.least("left", "remains") * (num + den) >= need))
-    named = copies.select(F.col("first").alias("doc_id"), "h", "node").join(members.select("node").distinct(), "node", "left_semi")
+    near = paired.where((F.least("size", "its") * den >= F.greatest("size", "its") * num) & (F.least("left", "remains") * (num + den) >= need))
+    near = materialise(near.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "near")
+    compared = near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.where(F.col("n") > large).select("node"))
+    named = copies.select(F.col("first").alias("doc_id"), "h", "node").join(compared.distinct(), "node", "left_semi")
     # the only pass that moves texts; the join is the same at every size
     texts = docs.select("doc_id", text_hash(), "text").join(named.hint("merge"), ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.first("node").alias("node"), F.first("text").alias("text"))
     sets = materialise(shingle_sets(texts, words), "sets")
@@ -152,8 +157,7 @@ def ngram_components(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     def links(pairs: DataFrame) -> DataFrame:
         return materialise(verified(pairs.distinct(), sets, num, den), "links")
 
-    first = links(near.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-    known = linked(first, members.select("key", "node", "size", "pivot", "n"), sets, links, large, num, den)
+    known = linked(links(near), members.where(F.col("n") > large).select("key", "node", "size", "pivot", "n"), sets, links, large, num, den)
     joined = known.join(copies.select("node", "first"), "node")
     least = joined.groupBy("component").agg(F.min("first").alias("label"))
     label = copies.join(known.join(least, "component").select("node", "label"), "node", "left").select("fp1", "fp2", F.coalesce("label", "first").alias("component_id"))
