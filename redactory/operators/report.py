@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from redactory.functions.text import confidence_band, content_hash
+from redactory.operators.model import decision_key
+from redactory.sources.commits import kept, write_run
 
 MODEL_SOURCES = ("llm", "model", "llm_enhanced")
+#: fixed values: how much of a report's lists a page shows; records hold all unless told otherwise
 SPAN_LIMIT, SUPPRESSED_LIMIT, WARNING_LIMIT, TEXT_LIMIT = 100, 200, 50, 120
+WARNING = "struct<code:string,message:string,details:string,start:int,end:int>"
 
 
 def audit_summary(spans: DataFrame) -> DataFrame:
@@ -82,12 +86,35 @@ def order_spans(spans: DataFrame) -> DataFrame:
     return spans.repartition("doc_id").sortWithinPartitions("doc_id", "start", "end", "label", "text")
 
 
-def audit_records(redacted: DataFrame, settings: dict[str, str] | None = None, created_at: str = "1970-01-01T00:00:00Z", model: str = "rules") -> DataFrame:
-    """One nested record a document from the pipeline's output columns; texts
-    are cut to 120 characters, lists to their report limits with their full counts."""
-    short = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), s["entity_id"].alias("entity_id"), s["confidence"].alias("confidence"), s["source"].alias("source"), F.substring(s["text"], 1, TEXT_LIMIT).alias("text"))
+def audit_records(redacted: DataFrame, settings: dict[str, str] | None = None, created_at: str = "1970-01-01T00:00:00Z", model: str = "rules", warnings: DataFrame | None = None, suppressed_limit: int | None = None, warning_limit: int | None = None) -> DataFrame:
+    """One nested record a document from the pipeline's output columns.
+
+    Spans carry ``validated`` and ``validation_result`` where the column
+    ``validations`` (decision key to result) of the model chain is there. ``warnings``
+    (doc_id, code, message, details and perhaps start, end) are listed with their
+    document. Texts are cut to 120 characters; lists are whole, or cut to the limits
+    given, always with their full counts."""
+    checked = "validations" in redacted.columns
+
+    def short(s):
+        result = F.col("validations")[decision_key(s["text"], s["label"])] if checked else F.lit(None).cast("string")
+        validated = F.when(result.isNotNull(), F.lit(True)) if checked else F.lit(None).cast("boolean")
+        kept = (s[c].alias(c) for c in ("start", "end", "label", "entity_id", "confidence", "source"))
+        return F.struct(*kept, F.substring(s["text"], 1, TEXT_LIMIT).alias("text"), validated.alias("validated"), result.alias("validation_result"))
+
+    cut = lambda c, n: F.col(c) if n is None else F.slice(c, 1, n)
     options = F.create_map(*(F.lit(x) for kv in (settings or {"rules": "default"}).items() for x in kv))
-    return redacted.select("doc_id", F.lit(created_at).alias("created_at"), content_hash(F.col("text")).alias("input_sha256"), F.lit(model).alias("model"), F.transform("spans", short).alias("spans"), F.slice("suppressed", 1, SUPPRESSED_LIMIT).alias("suppressed"), F.size("suppressed").alias("n_suppressed"), options.alias("settings"))
+    told = redacted
+    if warnings is not None:
+        place = [F.col(c) if c in warnings.columns else F.lit(None).cast("int").alias(c) for c in ("start", "end")]
+        listed = warnings.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("code", "message", "details", *place))).cast(f"array<{WARNING}>").alias("warnings"))
+        told = redacted.join(listed, "doc_id", "left")
+    none = F.array().cast(f"array<{WARNING}>")
+    told = told.withColumn("warnings", F.coalesce("warnings", none) if warnings is not None else none)
+    return told.select(
+        "doc_id", F.lit(created_at).alias("created_at"), content_hash(F.col("text")).alias("input_sha256"), F.lit(model).alias("model"), F.transform("spans", short).alias("spans"),
+        cut("suppressed", suppressed_limit).alias("suppressed"), F.size("suppressed").alias("n_suppressed"), cut("warnings", warning_limit).alias("warnings"), F.size("warnings").alias("n_warnings"), options.alias("settings"),
+    )
 
 
 def write_audit(redacted: DataFrame, path: str, **how) -> None:
@@ -95,6 +122,18 @@ def write_audit(redacted: DataFrame, path: str, **how) -> None:
     audit_records(redacted, **how).write.mode("errorifexists").json(path)
 
 
+def write_redaction(redacted: DataFrame, path: str, run_id: str, quarantine: DataFrame | None = None, warnings: DataFrame | None = None, settings: dict[str, str] | None = None, **how) -> dict:
+    """One run's redacted texts, audit records, failures and warnings, all or
+    none; the manifest is returned. Documents in ``quarantine`` are failures and
+    have no redacted text."""
+    spark, full = redacted.sparkSession, kept(redacted)
+    failures = quarantine if quarantine is not None else spark.createDataFrame([], f"doc_id {redacted.schema['doc_id'].dataType.simpleString()}, code string, message string, details string")
+    told = warnings if warnings is not None else failures.select("doc_id", "code", "message", "details").limit(0)
+    shown = full.drop("text", "spans", "suppressed", "replacements", "validations")
+    tables = {"redacted": shown, "audit": audit_records(full, settings, warnings=warnings, **how), "failures": failures, "warnings": told}
+    return write_run(spark, path, run_id, tables, settings)
+
+
 def invalid_spans(spans: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """F10 on the long form: (valid, suppressed, warnings)."""
     from redactory.plans.pipeline import invalid_reason

@@ -203,7 +203,7 @@ def rewrite(df: DataFrame) -> DataFrame:
     return df.withColumns({"redacted_text": let_all(apply_replacements, text=F.col("text"), replacements=F.col("replacements")), "n_redactions": F.size("replacements"), "n_entities": n_ids})
 
 
-def redact(docs: DataFrame, mode: str = "rules", labels: Iterable[str] | None = None, exclusions: str | None = None, model_spans: DataFrame | None = None, decisions: DataFrame | None = None, rules=R.RULES, budget: Budget = Budget()) -> DataFrame:
+def redact(docs: DataFrame, mode: str = "rules", labels: Iterable[str] | None = None, exclusions: str | None = None, model_spans: DataFrame | None = None, decisions: DataFrame | None = None, rules=R.RULES, budget: Budget = Budget(), extractor=None, validator=None, store=None, **model):
     """Q1 to Q3: ``docs`` (doc_id, text, ...) with ``spans``, ``suppressed``,
     ``replacements``, ``redacted_text``, ``n_redactions`` and ``n_entities``.
 
@@ -213,7 +213,15 @@ def redact(docs: DataFrame, mode: str = "rules", labels: Iterable[str] | None =
     (doc_id, start, end, label, keep) drop rule spans of ORG, NAME and LOC, or of
     any label. Model spans whose ``needs_redaction`` is false are left out (F16).
     ``budget`` bounds the search for further occurrences; by default it is whole.
-    A null text counts as empty."""
+    A null text counts as empty.
+
+    With an ``extractor`` (and a ``validator`` and a ``DecisionStore`` as ``store``)
+    the model side is run as well, and a ``model_chain.Redaction`` is returned: the
+    redacted documents, the quarantined ones, warnings and new decisions."""
+    if extractor is not None:
+        from redactory.plans.model_chain import redact_with_model
+
+        return redact_with_model(docs, "rules_override" if mode == "rules" else mode, extractor, validator, store, exclusions, labels=labels, rules=rules, budget=budget, **model)
     mode = normalize_mode(mode)
     if mode not in ("rules", "rules_override", "constrained_overrides", "llm_overrides"):
         raise ValueError(f"unknown mode {mode!r}")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from redactory.sources.commits import read_run, write_run
+
 PART_RANKS = {"header": 0, "footer": 1, "footnote": 2, "endnote": 3, "body": 4}
 
 
@@ -47,20 +49,15 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("doc", F.inline(F.coalesce("entities", "expected_entities")))
 
 
-def write_redacted(redacted: DataFrame, path: str, run_id: str) -> str:
-    """One folder for each run; readers take runs whose commit marker is there."""
-    out = f"{path}/run_id={run_id}"
-    redacted.write.mode("errorifexists").parquet(out)
-    return out
+def write_redacted(redacted: DataFrame, path: str, run_id: str) -> dict:
+    """S7 for one table: seen once its manifest is there (see ``sources.commits``;
+    ``report.write_redaction`` writes all tables of a run)."""
+    return write_run(redacted.sparkSession, path, run_id, {"redacted": redacted})
 
 
 def read_redacted(spark: SparkSession, path: str, run_id: str) -> DataFrame:
-    """A run's result, only if it was committed as a whole."""
-    out = f"{path}/run_id={run_id}"
-    marker = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").option("recursiveFileLookup", True).load(f"{out}/_SUCCESS")
-    if not marker.take(1):
-        raise FileNotFoundError(f"run {run_id} is not committed")
-    return spark.read.parquet(out)
+    """A run's redacted texts, only if it was committed as a whole."""
+    return read_run(spark, path, run_id)["redacted"]
 
 
 def failure_rows(errors: DataFrame) -> DataFrame:
