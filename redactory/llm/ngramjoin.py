@@ -131,24 +131,27 @@ def ngram_components(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     counts = slot_counts(docs, words)
     table = materialise(prefixes(docs, words, num, den, counts).withColumn("node", F.monotonically_increasing_id()), "prefixes")
     full = table.where("size > 0 and doc_id is not null")
-    copies = materialise(full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("first"), F.min_by(F.struct("h", "node"), F.struct("doc_id", "node")).alias("r")).select("fp1", "fp2", "first", "r.h", "r.node"), "copies")
-    placed = full.select("node", "size", F.posexplode("prefix").alias("place", "key"))
+    copies = full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.min_by(F.struct("h", "node"), F.struct("doc_id", "node")).alias("r"))
+    copies = materialise(copies.select("fp1", "fp2", "first", "size", "r.h", "r.node"), "copies")
+    placed = full.select("node", F.posexplode("prefix").alias("place", "key"))
     often = placed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key")
-    met = placed.join(often, "key").join(copies.select("node"), "node", "left_semi")
+    met = materialise(placed.join(often, "key").join(copies.select("node", "size"), "node").select("key", "node", "size", (F.col("size") - F.col("place")).alias("left")), "met")
     # what is left from the shared shingle on bounds the partner's size as well
-    met = materialise(met.withColumn("left", F.col("size") - F.col("place")).withColumn("most", F.floor(F.col("left") * (num + den) / num - F.col("size"))), "met")
-    group = met.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n"), F.min("size").alias("small"), F.max("most").alias("reach")).where("pivot < last")
+    most = F.floor(F.col("left") * (num + den) / num - F.col("size"))
+    group = met.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n"), F.min("size").alias("small"), F.max(most).alias("reach")).where("pivot < last")
     # nodes that no node of their bucket can link with leave it
-    met = met.join(group.select("key", "small", "reach"), "key").where("most >= small and size <= reach").drop("small", "reach")
-    group = met.groupBy("key").agg(F.min(F.struct("node", "size", "left")).alias("p"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).where("p.node < last")
-    members = materialise(met.join(group.select("key", "n", F.col("p.node").alias("pivot"), F.col("p.size").alias("its"), F.col("p.left").alias("remains")), "key"), "members")
-    its = members.select("key", F.col("node").alias("pivot"), F.col("size").alias("its"), F.col("left").alias("remains"))
-    paired = members.where(F.col("n") <= large).drop("pivot", "its", "remains").join(its, "key").where("node > pivot")
-    paired = paired.select(*members.columns).unionByName(members.where((F.col("n") > large) & (F.col("node") != F.col("pivot"))))
+    members = met.join(group, "key").where((most >= F.col("small")) & (F.col("size") <= F.col("reach"))).select("key", "node", "size", "left", "pivot", "n")
+    members = materialise(members, "members")
+    small, wide = members.where(F.col("n") <= large), members.where(F.col("n") > large)
+    its = F.col("node").alias("other"), F.col("size").alias("its"), F.col("left").alias("remains")
+    pairs = small.drop("pivot").join(small.select("key", *its), "key").where("node > other")
+    pairs = pairs.select("node", "size", "left", "other", "its", "remains")
+    pivots = wide.join(wide.where("node = pivot").select("key", *its), "key").where("node != other")
+    pairs = pairs.unionByName(pivots.select(*pairs.columns))
     need = (F.col("size") + F.col("its")) * num
-    near = paired.where((F.least("size", "its") * den >= F.greatest("size", "its") * num) & (F.least("left", "remains") * (num + den) >= need))
-    near = materialise(near.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "near")
-    compared = near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.where(F.col("n") > large).select("node"))
+    near = pairs.where((F.least("size", "its") * den >= F.greatest("size", "its") * num) & (F.least("left", "remains") * (num + den) >= need))
+    near = materialise(near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "near")
+    compared = near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(wide.select("node"))
     named = copies.select(F.col("first").alias("doc_id"), "h", "node").join(compared.distinct(), "node", "left_semi")
     # the only pass that moves texts; the join is the same at every size
     texts = docs.select("doc_id", text_hash(), "text").join(named.hint("merge"), ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.first("node").alias("node"), F.first("text").alias("text"))
@@ -157,7 +160,7 @@ def ngram_components(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     def links(pairs: DataFrame) -> DataFrame:
         return materialise(verified(pairs.distinct(), sets, num, den), "links")
 
-    known = linked(links(near), members.where(F.col("n") > large).select("key", "node", "size", "pivot", "n"), sets, links, large, num, den)
+    known = linked(links(near), wide.select("key", "node", "size", "pivot", "n"), sets, links, large, num, den)
     joined = known.join(copies.select("node", "first"), "node")
     least = joined.groupBy("component").agg(F.min("first").alias("label"))
     label = copies.join(known.join(least, "component").select("node", "label"), "node", "left").select("fp1", "fp2", F.coalesce("label", "first").alias("component_id"))
