@@ -45,7 +45,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/redactory-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     _remove_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for ``df``, once all that reads it is written."""
+    _delete(df.sparkSession, df._written_to.rsplit("/", 1)[0])
 
 
 def measured(df: DataFrame, name: str, *facts: Column) -> tuple[DataFrame, dict]:
@@ -75,10 +82,13 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
 def sweep(spark: SparkSession) -> None:
     """Delete the intermediates written so far in this application; results that
     have not been written yet can no longer be computed."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for folder in _written.pop(spark.sparkContext.applicationId, []):
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

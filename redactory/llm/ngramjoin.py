@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactory.llm.common import distinct_by_row, materialise, mix, shingle_hashes, word_hashes
+from redactory.llm.common import discard, distinct_by_row, materialise, mix, shingle_hashes, word_hashes
 from redactory.llm.neardup import linked, shingle_sets, text_hash
 
 SLOTS = 1 << 18
@@ -129,19 +129,22 @@ def ngram_components(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     shingles; component_id is the smallest doc_id reachable. ``large`` only decides
     how what the pivots leave is paired, not what is found."""
     counts = slot_counts(docs, words)
-    table = materialise(prefixes(docs, words, num, den, counts).withColumn("node", F.monotonically_increasing_id()), "prefixes")
+    ordered = materialise(prefixes(docs, words, num, den, counts).withColumn("node", F.monotonically_increasing_id()), "prefixes")
+    table = materialise(ordered.drop("prefix"), "rows")
     full = table.where("size > 0 and doc_id is not null")
     copies = full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.min_by(F.struct("h", "node"), F.struct("doc_id", "node")).alias("r"))
     copies = materialise(copies.select("fp1", "fp2", "first", "size", "r.h", "r.node"), "copies")
-    placed = full.select("node", F.posexplode("prefix").alias("place", "key"))
+    placed = ordered.where("size > 0 and doc_id is not null").select("node", F.posexplode("prefix").alias("place", "key"))
     often = placed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key")
     met = materialise(placed.join(often, "key").join(copies.select("node", "size"), "node").select("key", "node", "size", (F.col("size") - F.col("place")).alias("left")), "met")
+    discard(ordered)
     # what is left from the shared shingle on bounds the partner's size as well
     most = F.floor(F.col("left") * (num + den) / num - F.col("size"))
     group = met.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n"), F.min("size").alias("small"), F.max(most).alias("reach")).where("pivot < last")
     # nodes that no node of their bucket can link with leave it
     members = met.join(group, "key").where((most >= F.col("small")) & (F.col("size") <= F.col("reach"))).select("key", "node", "size", "left", "pivot", "n")
     members = materialise(members, "members")
+    discard(met)
     small, wide = members.where(F.col("n") <= large), members.where(F.col("n") > large)
     its = F.col("node").alias("other"), F.col("size").alias("its"), F.col("left").alias("remains")
     pairs = small.drop("pivot").join(small.select("key", *its), "key").where("node > other")
