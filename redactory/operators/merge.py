@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from redactory.functions.let import fold_last
 from redactory.functions.text import label_rank
 from redactory.schemas import SPAN, SPANS
 
@@ -41,7 +42,7 @@ def merge_spans(spans: Column, text: Column) -> Column:
         union = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), pick("label"), last["text"].alias("text"), pick("confidence"), pick("source"))
         return F.when((F.size(out) > 0) & (s["start"] < last["end"]), _replace_last(out, union)).otherwise(F.concat(out, F.array(s)))
 
-    merged = F.aggregate(ordered, F.array().cast(SPANS), step)
+    merged = fold_last(ordered, SPAN, step)
     return F.transform(merged, lambda s: s.withField("text", between(text, s["start"], s["end"])))
 
 
@@ -85,4 +86,4 @@ def remove_overlaps_greedy(spans: Column) -> Column:
         better = (s["confidence"] > last["confidence"]) | ((s["end"] - s["start"]) > (last["end"] - last["start"]))
         return F.when(~clash, F.concat(out, F.array(s))).when(better, _replace_last(out, s)).otherwise(out)
 
-    return F.aggregate(ordered, F.array().cast(f"array<{SPAN}>"), step)
+    return fold_last(ordered, SPAN, step)

@@ -13,8 +13,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redactory.functions.let import let, let_all
+from redactory.functions.let import in_blocks, let, let_all
 from redactory.functions.text import scan_normalize
+from redactory.operators.dictionary import find_own_terms, find_terms
 from redactory.operators.lexicon import Lexicon
 from redactory.plans import rules as R
 from redactory.plans.rules import Rule
@@ -27,16 +28,20 @@ def matches(text: Column, pattern: str | Column) -> Column:
     """array<struct(start, end, text)> of all leftmost matches, in order."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     empty = F.array().cast(_PLACES)
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_PLACES}>").alias("out"))
 
     def step(acc, x):
         first = acc["at"] + x["gap"]
         last = first + F.length(x["m"])
         return F.struct(last.alias("at"), F.concat(acc["out"], F.array(F.struct(first.alias("start"), last.alias("end"), x["m"].alias("text")))).alias("out"))
 
+    def block(acc, part):
+        made = F.aggregate(part, F.struct(acc["at"].alias("at"), empty.alias("out")), step)
+        return let(made, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
     def placed(found, gaps):
         pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
-        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+        return F.aggregate(in_blocks(pairs), begin, block, lambda acc: F.flatten(acc["out"]))
 
     def of(text, pattern):
         found = F.regexp_extract_all(text, pattern, F.lit(0))
@@ -195,6 +200,7 @@ def scan_regex(docs: DataFrame, label: str, pattern: str, confidence: float, sou
 
 
 # --- terms and gazetteers ------------------------------------------------------
+# fixed values: words that are not searched in other case when they stand alone
 CASE_STOPS = ("may", "june", "july", "march", "april", "august", "september", "october", "november", "december", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "will", "shall", "must")
 
 
@@ -207,20 +213,7 @@ def scan_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
     not found, as substrings."""
     key = ["doc_id"] if "doc_id" in terms.columns else []
     terms = terms.withColumn("term", F.trim("term")).where("term != ''").select(*key, "term", "label").distinct()
-    texts = docs.select("doc_id", "text")
-    near = F.contains(F.lower("text"), F.lower("term"))
-    pairs = texts.join(terms, "doc_id").where(near) if key else texts.join(terms, near)
-    quoted = F.concat(F.lit("\\Q"), F.col("term"), F.lit("\\E"))
-    plain = F.col("term").rlike("^[A-Za-z0-9][A-Za-z0-9 '&.,-]*[A-Za-z0-9]$")
-    tokens = F.regexp_extract_all("term", F.lit("[A-Za-z0-9]+"), F.lit(0))
-    first = F.element_at(tokens, 1)
-    alone = (F.size(tokens) == 1) & (F.length(first) >= 5) & ~F.lower(first).isin(*CASE_STOPS) & (F.upper("term") == F.col("term"))
-    loose = F.col("label").isin("NAME", "ORG", "BRAND") & ((F.size(tokens) >= 2) | alone)
-    exact = matches(F.col("text"), F.concat(F.lit(r"(?U)\b"), quoted, F.lit(r"\b")))
-    folded = matches(F.col("text"), F.concat(F.lit(r"(?iU)\b"), quoted, F.lit(r"\b")))
-    raw = matches(F.col("text"), quoted)
-    found = F.when(plain & (F.size(exact) > 0), exact).when(plain & loose, folded).otherwise(raw)
-    return pairs.select("doc_id", "label", F.inline(found)).select("doc_id", "start", "end", "label", "text")
+    return find_own_terms(docs, terms, frozenset(CASE_STOPS)) if key else find_terms(docs, terms, frozenset(CASE_STOPS))
 
 
 # fixed values: lists of the built-in extractor, with the lower bound of its confidence

@@ -8,7 +8,7 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from redactory.functions import text as X
@@ -245,36 +245,94 @@ def _rule(name: str, label: str, pattern: str, confidence: float, portable: bool
         return docs(spark, sf_dir).select("doc_id", F.inline(scan.rule_spans(F.col("text"), rule)))
 
 
+# What a rule finds is too rare in the tables for these queries to show anything, so each
+# text is followed by a line of its document's own: forms that match, and near misses. One
+# expression, for both engines.
+_ID4 = "lpad(CAST(doc_id % 10000 AS STRING), 4, '0')"
+FORMS = {
+    "SSN": f"CASE doc_id % 3 WHEN 0 THEN 'No. 123-45-' || {_ID4} || '.' WHEN 1 THEN 'No. 123-456-7890 or 12-34-5678' ELSE 'x123-45-6789' END",
+    "MONEY": "CASE doc_id % 4 WHEN 0 THEN 'a fee of $' || CAST(doc_id AS STRING) || ',500.00 due' WHEN 1 THEN 'EUR ' || CAST(doc_id % 90 + 1 AS STRING) || ' million or so' WHEN 2 THEN 'twenty five dollars' ELSE '12 dollar' END",
+    "NUMBER": "CASE doc_id % 3 WHEN 0 THEN 'see [' || CAST(doc_id AS STRING) || '] and [1,234.5]' WHEN 1 THEN 'pay $[7] or [12,34]' ELSE '[x] [1' END",
+    "SWIFT": "CASE doc_id % 3 WHEN 0 THEN 'code DEUTDE' || lpad(CAST(doc_id % 100 AS STRING), 2, '0') || ' or ABCDEFGH1JK' WHEN 1 THEN 'DEUTDEFF and deutde12' ELSE 'ABCDEF123' END",
+    "IPV6": "CASE doc_id % 3 WHEN 0 THEN 'host 2001:db8:0:0:0:0:1:' || CAST(doc_id % 9999 AS STRING) || ' up' WHEN 1 THEN 'net fe80::1:' || CAST(doc_id % 9999 AS STRING) || ' up' ELSE 'at 10:45 or 1:2:3' END",
+    "DOCID": "CASE doc_id % 3 WHEN 0 THEN 'Document ID: AB' || CAST(100000 + doc_id AS STRING) || ' here' WHEN 1 THEN 'see REF-' || CAST(1000 + doc_id AS STRING) || ' and CASEX' ELSE 'Doc: a1' END",
+    "ADDRESS": "CASE doc_id % 3 WHEN 0 THEN 'at ' || CAST(doc_id % 900 + 1 AS STRING) || ' Evergreen Terrace, Springfield, IL 62704 now' WHEN 1 THEN 'to P.O. Box ' || CAST(doc_id AS STRING) || '; done' ELSE '12 Elm Street, Springfield' END",
+    "COUNTY": "CASE doc_id % 3 WHEN 0 THEN 'in Orange County' WHEN 1 THEN 'the Borough of Kent' ELSE 'counties' END",
+    "LABELLED": "CASE doc_id % 3 WHEN 0 THEN 'SSN: 1234' || lpad(CAST(doc_id % 100000 AS STRING), 5, '0') WHEN 1 THEN 'Social Security Number is 987654321' ELSE 'No. 123456789' END",
+    "DEFINED": "CASE doc_id % 3 WHEN 0 THEN 'Jane Anea (\"Anea\")' WHEN 1 THEN 'Mary B. Lorn (\"Lorn\")' ELSE 'Jane Anea (\"Bnea\")' END",
+    "SIGNED": "CASE doc_id % 3 WHEN 0 THEN 'Name:   Jane Anea' WHEN 1 THEN 'Name: Mary B. Lorn' ELSE 'Name: JANE' END",
+    "PLACE": "CASE doc_id % 6 WHEN 0 THEN 'said County' WHEN 1 THEN 'in Orange County' WHEN 2 THEN 'that County clerk' WHEN 3 THEN 'County clerk' WHEN 4 THEN 'the Parish of Kent' ELSE 'the County of Kent 3' END",
+}
+
+
+def formed(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
+    return docs(spark, sf_dir).withColumn("text", F.concat("text", F.lit("\n"), F.expr(FORMS[form])))
+
+
+def formed_sql(form: str) -> str:
+    return f"(SELECT doc_id, coalesce(text, '') || chr(10) || {FORMS[form]} AS text FROM documents)"
+
+
+def _formed_rule(name: str, form: str, label: str, pattern: str, confidence: float, sql: str):
+    """A rule over the formed texts; ``sql`` is its pattern without look-around."""
+
+    @query(name, sql)
+    def run(spark, sf_dir):
+        rule = next(r for r in R.RULES if r.pattern == pattern)
+        return formed(spark, sf_dir, form).select("doc_id", F.inline(scan.rule_spans(F.col("text"), rule)))
+
+
+def planted_sql(form: str, label: str, confidence: float, source: str, *places: tuple[str, str, str]) -> str:
+    """Spans on the formed line: (condition, offset in the line, text)."""
+    return " UNION ALL ".join(
+        f"SELECT doc_id, (length(coalesce(text, '')) + 1 + {at})::INTEGER AS \"start\", (length(coalesce(text, '')) + 1 + {at} + length({found}))::INTEGER AS \"end\", '{label}' AS label, {found} AS text, {confidence}::DOUBLE AS confidence, '{source}' AS source FROM documents WHERE {where}"
+        for where, at, found in places
+    )
+
+
 query("r0_scan_regex", span_sql("WORD", "[A-Z][a-z]{8,}", 0.5))(lambda spark, sf_dir: scan.scan_regex(docs(spark, sf_dir), "WORD", "[A-Z][a-z]{8,}", 0.5))
 _rule("r1_scan_email", "EMAIL", R.EMAIL, 0.98, True)
 _rule("r2_scan_phone", "PHONE", R.PHONE, 0.96, False)
-_rule("r3_scan_ssn", "SSN", R.SSN, 0.99, False)
-_rule("r5_scan_money", "MONEY", R.MONEY, 0.90, True)
+_formed_rule("r3_scan_ssn", "SSN", "SSN", R.SSN, 0.99, span_sql("SSN", R.SSN.replace("(?U)", ""), 0.99, formed_sql("SSN")))
+_formed_rule("r5_scan_money", "MONEY", "MONEY", R.MONEY, 0.90, span_sql("MONEY", R.MONEY, 0.90, formed_sql("MONEY")))
 _rule("r6_scan_percent", "PERCENT", R.PERCENT, 0.90, True)
-_rule("r7_scan_bracket_number", "NUMBER", R.BRACKET_NUMBER, 0.70, False)
+BRACKET_SQL = r"[$€£¥]?\[(?:\d{1,3}(?:,\d{3})*|\d+)(?:\.\d+)?\]"  # the look-behind as a condition
+_formed_rule("r7_scan_bracket_number", "NUMBER", "NUMBER", R.BRACKET_NUMBER, 0.70, f"SELECT * FROM ({span_sql('NUMBER', BRACKET_SQL, 0.70, formed_sql('NUMBER'))}) WHERE text[1] = '['")
 _rule("r8_scan_account", "ACCOUNT", R.ACCOUNT, 0.80, False)
-_rule("r9_scan_swift", "SWIFT", R.SWIFT, 0.92, False)
+SWIFT_SQL = r"\b[A-Z]{4}[A-Z]{2}[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b"  # without the look-ahead, which is a condition then
+_formed_rule("r9_scan_swift", "SWIFT", "SWIFT", R.SWIFT, 0.92, f"SELECT * FROM ({span_sql('SWIFT', SWIFT_SQL, 0.92, formed_sql('SWIFT'))}) WHERE regexp_matches(text, '[0-9]')")
 _rule("r10_scan_card", "CARD", R.CARD, 0.92, False)
 _rule("r11_scan_url", "URL", R.URL, 0.90, False)
 _rule("r12_scan_ipv4", "IP", R.IPV4, 0.90, True)
-_rule("r12_scan_ipv6", "IP", R.IPV6, 0.90, True)
-_rule("r13_scan_doc_id", "DOCID", R.DOCID, 0.95, False)
+_formed_rule("r12_scan_ipv6", "IPV6", "IP", R.IPV6, 0.90, span_sql("IP", R.IPV6, 0.90, formed_sql("IPV6")))
+_formed_rule("r13_scan_doc_id", "DOCID", "DOCID", R.DOCID, 0.95, planted_sql("DOCID", "DOCID", 0.95, "rule", ("doc_id % 3 = 0", "0", "'Document ID: AB' || CAST(100000 + doc_id AS STRING)"), ("doc_id % 3 = 1", "4", "'REF-' || CAST(1000 + doc_id AS STRING)")))
 _rule("r14_scan_date", "DATE", R.DATE, 0.88, False)
 _rule("r15_scan_org", "ORG", R.ORG, 0.75, False)
-_rule("r16_scan_address", "LOC", R.ADDRESS, 0.85, False)
-_rule("r17_scan_county", "LOC", R.COUNTY, 0.82, True)
+_formed_rule("r16_scan_address", "ADDRESS", "LOC", R.ADDRESS, 0.85, planted_sql("ADDRESS", "LOC", 0.85, "rule", ("doc_id % 3 = 0", "3", "CAST(doc_id % 900 + 1 AS STRING) || ' Evergreen Terrace, Springfield, IL 62704'"), ("doc_id % 3 = 1", "3", "'P.O. Box ' || CAST(doc_id AS STRING)")))
+_formed_rule("r17_scan_county", "COUNTY", "LOC", R.COUNTY, 0.82, span_sql("LOC", R.COUNTY, 0.82, formed_sql("COUNTY")))
 PLAIN_DATE = "(?i)" + "|".join(R.DATE_PLAIN)
 query("r14_scan_plain_date", span_sql("DATE", PLAIN_DATE, 0.88))(lambda spark, sf_dir: scan.scan_regex(docs(spark, sf_dir), "DATE", PLAIN_DATE, 0.88))
 
 
-@query("r4_scan_ssn_labelled")
+@query("r4_scan_ssn_labelled", planted_sql("LABELLED", "SSN", 0.93, "rule", ("doc_id % 3 = 0", "5", f"'1234' || lpad(CAST(doc_id % 100000 AS STRING), 5, '0')"), ("doc_id % 3 = 1", "26", "'987654321'")))
 def r4_ssn(spark, sf_dir):
     rule = next(r for r in R.RULES if r.label == "ACCOUNT")
-    return docs(spark, sf_dir).select("doc_id", F.inline(scan.rule_spans(F.col("text"), rule))).where("label = 'SSN'")
+    return formed(spark, sf_dir, "LABELLED").select("doc_id", F.inline(scan.rule_spans(F.col("text"), rule))).where("label = 'SSN'")
+
+
+_NAMED = ("doc_id % 3 = 0", "'Jane Anea'"), ("doc_id % 3 = 1", "'Mary B. Lorn'")
+
+
+@query("r18_scan_defined_name", planted_sql("DEFINED", "NAME", 0.90, "rule_defined_term", *((where, "0", name) for where, name in _NAMED)) + " UNION ALL " + planted_sql("DEFINED", "NAME", 0.88, "rule_defined_term", ("doc_id % 3 = 0", "12", "'Anea'"), ("doc_id % 3 = 1", "15", "'Lorn'")))
+def r18_defined(spark, sf_dir):
+    return formed(spark, sf_dir, "DEFINED").select("doc_id", F.inline(scan.defined_name_spans(F.col("text"))))
+
+
+@query("r19_scan_signature_name", planted_sql("SIGNED", "NAME", 0.95, "rule_signature", ("doc_id % 3 = 0", "8", "'Jane Anea'"), ("doc_id % 3 = 1", "6", "'Mary B. Lorn'")))
+def r19_signed(spark, sf_dir):
+    return formed(spark, sf_dir, "SIGNED").select("doc_id", F.inline(scan.signature_spans(F.col("text"))))
 
 
-query("r18_scan_defined_name")(lambda spark, sf_dir: docs(spark, sf_dir).select("doc_id", F.inline(scan.defined_name_spans(F.col("text")))))
-query("r19_scan_signature_name")(lambda spark, sf_dir: docs(spark, sf_dir).select("doc_id", F.inline(scan.signature_spans(F.col("text")))))
 query("r20_scan_gazetteer")(lambda spark, sf_dir: scan.scan_gazetteer(docs(spark, sf_dir)))
 query("r22_scan_rules")(lambda spark, sf_dir: scan.scan_rules(docs(spark, sf_dir)))
 
@@ -342,9 +400,16 @@ def f6_overlong(spark, sf_dir):
     return s.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "label", "text", "confidence", "source")).alias("spans")).select("doc_id", F.inline(reshape.drop_overlong_orgs(F.col("spans")))).select("doc_id", "start", "text")
 
 
-@query("f9_drop_generic_county", f"SELECT doc_id, \"start\", text FROM ({span_sql('LOC', '(?i)(?:the|said|that|in) [a-z]+', 0.8)})")
+PLACE = "(?i)(?:[a-z]+ )?(?:county|parish)(?: of [a-z]+| clerk)?(?: [0-9])?"
+_LOW = "list_transform(regexp_extract_all(text, '[A-Za-z''’-]+'), lambda x: lower(x))"
+_WORDS = ", ".join(q(w) for w in reshape.COUNTY_WORDS)
+_GENERIC = ", ".join(q(w) for w in (*reshape.COUNTY_WORDS, *reshape.COUNTY_GENERIC, "of"))
+
+
+@query("f9_drop_generic_county", f"""SELECT doc_id, "start", text FROM (SELECT *, {_LOW} AS low FROM ({span_sql('LOC', PLACE, 0.8, formed_sql('PLACE'))})) WHERE regexp_matches(text, '[0-9]')
+OR (len(list_filter(low, lambda x: x NOT IN ({_GENERIC}))) > 0 AND NOT (low[-1] IN ({', '.join(q(w) for w in reshape.COUNTY_OFFICES)}) AND low[1] IN ({_WORDS})))""")
 def f9_county(spark, sf_dir):
-    s = scan.scan_regex(docs(spark, sf_dir), "LOC", "(?i)(?:the|said|that|in) [a-z]+", 0.8)
+    s = scan.scan_regex(formed(spark, sf_dir, "PLACE"), "LOC", PLACE, 0.8)
     return s.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "label", "text", "confidence", "source")).alias("spans")).select("doc_id", F.inline(reshape.drop_generic_counties(F.col("spans")))).select("doc_id", "start", "text")
 
 
@@ -511,8 +576,8 @@ query("e13_accept_edits")(lambda spark, sf_dir: _segments(spark, sf_dir).select(
 # --- J: joins -----------------------------------------------------------------------------
 @query("j3_overlap_join", f"{WITH_B}, n AS (SELECT * FROM b WHERE label = 'NUMBER'), o AS (SELECT * FROM b WHERE label <> 'NUMBER') SELECT n.doc_id, n.\"start\", n.\"end\", o.\"start\" AS b_start, o.\"end\" AS b_end, o.label AS b_label FROM n JOIN o ON n.doc_id = o.doc_id AND n.\"start\" < o.\"end\" AND n.\"end\" > o.\"start\"")
 def j3_overlaps(spark, sf_dir):
-    b = base_spans(spark, sf_dir).select("doc_id", "start", "end", "label")
-    return consistency.overlap_join(b.where("label = 'NUMBER'").drop("label"), b.where("label != 'NUMBER'"))
+    a, b = (base_spans(spark, sf_dir, kinds).select("doc_id", "start", "end", "label") for kinds in (BASE[3:], BASE[:3]))
+    return consistency.overlap_join(a.drop("label"), b)
 
 
 def _first_only(spark, sf_dir):
@@ -617,9 +682,10 @@ def w7_rank(spark, sf_dir):
     return report.rank_findings(docs(spark, sf_dir).select("doc_id", F.get(kinds, (F.col("doc_id") % 5).cast("int")).alias("severity"), F.col("doc_id").alias("position")))
 
 
-@query("w9_order_spans", f"{WITH_B} SELECT doc_id, \"start\", \"end\", label, text FROM b")
+@query("w9_order_spans", f"{WITH_B} SELECT doc_id, \"start\", \"end\", label, text, row_number() OVER (PARTITION BY doc_id ORDER BY \"start\", \"end\", label, text) AS place FROM b")
 def w9_order(spark, sf_dir):
-    return report.order_spans(base_spans(spark, sf_dir)).select("doc_id", "start", "end", "label", "text")
+    ordered = report.order_spans(base_spans(spark, sf_dir)).select("doc_id", "start", "end", "label", "text", F.monotonically_increasing_id().alias("_row"))
+    return ordered.withColumn("place", F.col("_row") - F.min("_row").over(Window.partitionBy("doc_id")) + 1).drop("_row")
 
 
 @query("w10_doc_parties")
@@ -650,8 +716,7 @@ def a3_suppressed(spark, sf_dir):
 
 
 def _gold_pred(spark, sf_dir):
-    b = base_spans(spark, sf_dir)
-    return b.where("label != 'NUMBER'"), b.where("doc_id % 3 != 0")
+    return base_spans(spark, sf_dir, BASE[:3]), base_spans(spark, sf_dir).where("doc_id % 3 != 0")
 
 
 @query("a4_score_matches")
@@ -746,8 +811,7 @@ def a11_phases(spark, sf_dir):
 
 @query("a14_compare_runs", f"{WITH_B}, r AS (SELECT doc_id, count(*) AS n FROM b WHERE label <> 'NUMBER' GROUP BY 1), m AS (SELECT doc_id, count(*) AS n FROM b WHERE label IN ('NUMBER', 'EMAIL') GROUP BY 1) SELECT coalesce(r.doc_id, m.doc_id) AS doc_id, coalesce(r.n, 0) AS n_rules, coalesce(m.n, 0) AS n_model, coalesce(m.n, 0) - coalesce(r.n, 0) AS difference, CASE WHEN coalesce(m.n, 0) > coalesce(r.n, 0) THEN 'model_found_more' WHEN coalesce(m.n, 0) < coalesce(r.n, 0) THEN 'rules_found_more' ELSE 'equal' END AS status FROM r FULL JOIN m ON r.doc_id = m.doc_id")
 def a14_compare(spark, sf_dir):
-    b = base_spans(spark, sf_dir)
-    return report.compare_runs(b.where("label != 'NUMBER'"), b.where(F.col("label").isin("NUMBER", "EMAIL")))
+    return report.compare_runs(base_spans(spark, sf_dir, BASE[:3]), base_spans(spark, sf_dir, BASE[:1] + BASE[3:]))
 
 
 @query("u1_u2_dedupe_spans", f"{WITH_B} SELECT DISTINCT doc_id, \"start\", \"end\", label FROM b")
