@@ -259,7 +259,7 @@ FORMS = {
     "ADDRESS": "CASE doc_id % 3 WHEN 0 THEN 'at ' || CAST(doc_id % 900 + 1 AS STRING) || ' Evergreen Terrace, Springfield, IL 62704 now' WHEN 1 THEN 'to P.O. Box ' || CAST(doc_id AS STRING) || '; done' ELSE '12 Elm Street, Springfield' END",
     "COUNTY": "CASE doc_id % 3 WHEN 0 THEN 'in Orange County' WHEN 1 THEN 'the Borough of Kent' ELSE 'counties' END",
     "LABELLED": "CASE doc_id % 3 WHEN 0 THEN 'SSN: 1234' || lpad(CAST(doc_id % 100000 AS STRING), 5, '0') WHEN 1 THEN 'Social Security Number is 987654321' ELSE 'No. 123456789' END",
-    "DEFINED": "CASE doc_id % 3 WHEN 0 THEN 'Jane Anea (\"Anea\")' WHEN 1 THEN 'Mary B. Lorn (\"Lorn\")' ELSE 'Jane Anea (\"Bnea\")' END",
+    "DEFINED": "'by ' || CASE doc_id % 3 WHEN 0 THEN 'Jane Anea (\"Anea\")' WHEN 1 THEN 'Mary B. Lorn (\"Lorn\")' ELSE 'Jane Anea (\"Bnea\")' END",
     "SIGNED": "CASE doc_id % 3 WHEN 0 THEN 'Name:   Jane Anea' WHEN 1 THEN 'Name: Mary B. Lorn' ELSE 'Name: JANE' END",
     "PLACE": "CASE doc_id % 6 WHEN 0 THEN 'said County' WHEN 1 THEN 'in Orange County' WHEN 2 THEN 'that County clerk' WHEN 3 THEN 'County clerk' WHEN 4 THEN 'the Parish of Kent' ELSE 'the County of Kent 3' END",
 }
@@ -323,7 +323,7 @@ def r4_ssn(spark, sf_dir):
 _NAMED = ("doc_id % 3 = 0", "'Jane Anea'"), ("doc_id % 3 = 1", "'Mary B. Lorn'")
 
 
-@query("r18_scan_defined_name", planted_sql("DEFINED", "NAME", 0.90, "rule_defined_term", *((where, "0", name) for where, name in _NAMED)) + " UNION ALL " + planted_sql("DEFINED", "NAME", 0.88, "rule_defined_term", ("doc_id % 3 = 0", "12", "'Anea'"), ("doc_id % 3 = 1", "15", "'Lorn'")))
+@query("r18_scan_defined_name", planted_sql("DEFINED", "NAME", 0.90, "rule_defined_term", *((where, "3", name) for where, name in _NAMED)) + " UNION ALL " + planted_sql("DEFINED", "NAME", 0.88, "rule_defined_term", ("doc_id % 3 = 0", "15", "'Anea'"), ("doc_id % 3 = 1", "18", "'Lorn'")))
 def r18_defined(spark, sf_dir):
     return formed(spark, sf_dir, "DEFINED").select("doc_id", F.inline(scan.defined_name_spans(F.col("text"))))
 
