@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from redactory.sources.commits import kept
+
 
 def _rates(tp: Column, fp: Column, fn: Column, empty: float) -> list[Column]:
     precision = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(F.lit(empty))
@@ -32,7 +36,7 @@ def greedy_matches(gold: DataFrame, pred: DataFrame) -> DataFrame:
                 free.pop(place)
         return pd.DataFrame([(pdf.doc_id.iloc[0], pdf.label.iloc[0], hits, len(free), len(wanted) - hits)], columns=["doc_id", "label", "tp", "fp", "fn"])
 
-    return rows.groupBy("doc_id", "label").applyInPandas(match, "doc_id bigint, label string, tp long, fp long, fn long")
+    return rows.groupBy("doc_id", "label").applyInPandas(match, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, label string, tp long, fp long, fn long")
 
 
 def score_matches(gold: DataFrame, pred: DataFrame) -> DataFrame:
@@ -78,16 +82,44 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
 
 
-def best_match(docs: DataFrame, candidates: DataFrame, on: list[str] | None = None) -> DataFrame:
-    """For each document the candidate (candidate_id, text) of highest Jaccard;
-    ties go to the smallest id. Pairs meet on a shared token, never all with all."""
-    left = docs.select("doc_id", *(on or []), token_set(F.col("text")).alias("t"))
-    right = candidates.select("candidate_id", *(on or []), token_set(F.col("text")).alias("u"))
-    meet = left.select("doc_id", *(on or []), F.explode("t").alias("k")).join(right.select("candidate_id", *(on or []), F.explode("u").alias("k")), [*(on or []), "k"])
-    shared = meet.groupBy("doc_id", "candidate_id").agg(F.count(F.lit(1)).alias("n"))
-    sized = shared.join(left.select("doc_id", F.size("t").alias("a")), "doc_id").join(right.select("candidate_id", F.size("u").alias("b")), "candidate_id")
-    scored = sized.withColumn("score", F.col("n") / (F.col("a") + F.col("b") - F.col("n")))
-    return scored.groupBy("doc_id").agg(F.max_by(F.struct("candidate_id", "score"), F.struct("score", -F.col("candidate_id"))).alias("b")).select("doc_id", "b.candidate_id", "b.score")
+#: Similarities down to which a document's tokens are looked up, one after another.
+STEPS = (0.8, 0.5, 0.2, 0.0)
+
+
+def best_match(docs: DataFrame, candidates: DataFrame, on: list[str] | None = None, least: float = 0.0) -> DataFrame:
+    """(doc_id, candidate_id, score): for each document the candidate (candidate_id,
+    text) of highest Jaccard, if that is above 0 and at least ``least``; ties go to
+    the smallest id.
+
+    A document's tokens are ordered rare first, by the candidates that hold them. A
+    candidate of similarity s or more shares one of the first n - ceil(s n) + 1 of n
+    tokens and has between s n and n / s. So the tokens are looked up in steps of
+    falling s, and a document whose best score reaches a step's s goes no further:
+    frequent tokens are joined only for documents that nothing resembles."""
+    on = on or []
+    right = kept(candidates.select("candidate_id", *on, token_set(F.col("text")).alias("u")))
+    places = right.select("candidate_id", *on, F.size("u").alias("b"), F.explode("u").alias("k"))
+    held = places.groupBy(*on, "k").agg(F.count(F.lit(1)).alias("df"))
+    words = docs.select("doc_id", *on, token_set(F.col("text")).alias("t")).where(F.size("t") > 0)
+    seen = words.select("doc_id", *on, F.size("t").alias("n"), F.explode("t").alias("k")).join(held, [*on, "k"])
+    # tokens that no candidate holds are the rarest; their number is enough
+    order = F.transform(F.sort_array(F.collect_list(F.struct("df", "k"))), lambda x: x["k"])
+    left = kept(seen.groupBy("doc_id", *on, "n").agg(order.alias("t")))
+    open_, found = left.withColumn("best", F.lit(0.0)), []
+    for step in sorted({max(s, least) for s in STEPS}, reverse=True):
+        # the best so far is as good a bound as the step's
+        bound = F.greatest("best", F.lit(step))
+        first = F.greatest(F.col("n") - F.ceil(bound * F.col("n") - 1e-9).cast("int") + 1 - (F.col("n") - F.size("t")), F.lit(0))
+        looked = open_.select("doc_id", *on, "n", "best", F.explode(F.slice("t", F.lit(1), first)).alias("k"))
+        fits = F.least("n", "b") >= F.greatest("n", "b") * bound - 1e-9
+        pairs = looked.join(places, [*on, "k"]).where(fits).select("doc_id", *on, "candidate_id").distinct()
+        both = pairs.join(left, ["doc_id", *on]).join(right, ["candidate_id", *on])
+        common = F.size(F.array_intersect("t", "u"))
+        found.append(kept(both.select("doc_id", *on, "candidate_id", (common / (F.col("n") + F.size("u") - common)).alias("score"))))
+        best = reduce(DataFrame.unionByName, found).groupBy("doc_id", *on).agg(F.max("score").alias("best"))
+        open_ = kept(left.join(best, ["doc_id", *on], "left").withColumn("best", F.coalesce("best", F.lit(0.0))).where(F.col("best") < step))
+    scored = reduce(DataFrame.unionByName, found).where((F.col("score") > 0) & (F.col("score") >= least))
+    return scored.groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "candidate_id", "score")).alias("b")).select("doc_id", "b.candidate_id", "b.score")
 
 
 SPAN_KEY = ("doc_id", "start", "end", "label")

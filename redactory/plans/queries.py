@@ -760,7 +760,9 @@ def a8_jaccard(spark, sf_dir):
     return pairs.select("item_id", F.round(score.jaccard(F.col("t"), F.col("u")), 6).alias("score"))
 
 
-@query("a8_best_match")
+@query("a8_best_match", """WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[A-Za-z0-9]+')) AS t FROM documents), c AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[A-Za-z0-9]+')) AS u FROM benchmark),
+p AS (SELECT doc_id, item_id, len(list_intersect(t, u)) AS n, len(t) AS a, len(u) AS b FROM d, c), s AS (SELECT doc_id, item_id, n / (a + b - n)::DOUBLE AS score FROM p WHERE n > 0)
+SELECT doc_id, item_id AS candidate_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) = 1""")
 def a8_best(spark, sf_dir):
     d = docs(spark, sf_dir)
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("candidate_id"), "text")
