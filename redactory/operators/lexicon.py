@@ -7,9 +7,14 @@ that work on distinct candidate strings.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, lru_cache
+from re import _constants as syntax
+from re import _parser as parser
 
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,14 +57,91 @@ def candidate_keys(text):
     return F.array_distinct(F.concat(singular_keys(exclusion_key(text)), singular_keys(exclusion_key(strip_determiner(text)))))
 
 
+#: Patterns without a run of three letters they need are tried on every phrase, this
+#: many in a call.
+LOOSE_BLOCK = 500
+RUN = 3
+
+
+def needed_run(pattern: str) -> str | None:
+    """Three characters that every match of ``pattern`` holds, in the form that
+    ``loose_form`` gives a text; None if none can be told from its syntax."""
+    best = ""
+
+    def walk(parts) -> None:
+        nonlocal best
+        run = ""
+        for op, arg in [*parts, (None, None)]:
+            if op is syntax.LITERAL:
+                run += chr(arg)
+                continue
+            best, run = max(best, run, key=len), ""
+            if op is syntax.SUBPATTERN:
+                walk(arg[-1])
+            elif op is syntax.ATOMIC_GROUP:
+                walk(arg)
+            elif op in (syntax.MAX_REPEAT, syntax.MIN_REPEAT, syntax.POSSESSIVE_REPEAT) and arg[0] > 0:
+                walk(arg[2])
+
+    walk(parser.parse(pattern, re.IGNORECASE))
+    form = best.upper().lower().upper().replace("\u0307", "")
+    return form[:RUN] if len(form) >= RUN else None
+
+
+def indexed_patterns(patterns: DataFrame) -> DataFrame:
+    """(pattern, run, error): the patterns with their needed run. One that does not
+    compile carries its error and excludes nothing."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for p in batch["pattern"]:
+                try:
+                    re.compile(p, re.IGNORECASE)
+                    rows.append((p, needed_run(p), None))
+                except (re.error, RecursionError, OverflowError) as e:
+                    rows.append((p, None, str(e)))
+            yield pd.DataFrame(rows, columns=["pattern", "run", "error"])
+
+    return patterns.where("pattern is not null").select("pattern").distinct().mapInPandas(run, "pattern string, run string, error string")
+
+
+@lru_cache(maxsize=1 << 14)
+def _compiled(pattern: str) -> re.Pattern:
+    return re.compile(pattern, re.IGNORECASE)
+
+
+def matched_phrases(texts: DataFrame, patterns: DataFrame, column: str = "text") -> DataFrame:
+    """The distinct values of ``column`` that a pattern matches from their start,
+    determiners aside. A phrase meets the patterns whose needed run it holds, and the
+    blocks of those that need none."""
+    index = indexed_patterns(patterns).where("error is null")
+    phrases = texts.select(F.col(column).alias("text"), strip_determiner(F.col(column)).alias("bare"))
+    form = F.replace(F.upper(F.lower(F.upper("bare"))), F.lit("\u0307"), F.lit(""))
+    runs = F.when(F.length(form) >= RUN, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(form) - RUN + 1), lambda i: F.substring(form, i, F.lit(RUN)))))
+    keyed = index.where("run is not null").select("run", F.array("pattern").alias("tried"))
+    met = phrases.select("text", "bare", F.explode(runs).alias("run")).join(keyed, "run").select("text", "bare", "tried")
+    # patterns that need no run: whole blocks of them, by number
+    loose = index.where("run is null").select("pattern", F.pmod(F.xxhash64("pattern"), F.lit(1 << 40)).alias("at"))
+    blocks = -(-loose.count() // LOOSE_BLOCK)
+    if blocks:
+        packed = loose.groupBy((F.col("at") % blocks).alias("block")).agg(F.collect_list("pattern").alias("tried"))
+        spread = phrases.select("text", "bare", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+        met = met.unionByName(spread.join(packed, "block").select("text", "bare", "tried"))
+
+    @F.pandas_udf("boolean")
+    def matches(bare: pd.Series, tried: pd.Series) -> pd.Series:
+        return pd.Series([any(_compiled(p).match(b) for p in ps) for b, ps in zip(bare, tried, strict=True)], dtype=object)
+
+    return met.where(matches("bare", "tried")).select(F.col("text").alias(column)).distinct()
+
+
 def excluded_phrases(phrases: DataFrame, literals: DataFrame, patterns: DataFrame, column: str = "text") -> DataFrame:
     """The distinct values of ``column`` that are excluded."""
     texts = phrases.select(column).where(F.col(column).isNotNull()).distinct()
     keyed = texts.select(column, F.explode(candidate_keys(F.col(column))).alias("key"))
     by_key = keyed.join(literals, "key", "left_semi").select(column).distinct()
-    rest = texts.join(by_key, column, "left_anti")
-    by_pattern = rest.join(patterns, F.regexp_instr(strip_determiner(F.col(column)), F.concat(F.lit("^(?i:"), F.col("pattern"), F.lit(")"))) > 0, "left_semi")
-    return by_key.unionByName(by_pattern)
+    return by_key.unionByName(matched_phrases(texts.join(by_key, column, "left_anti"), patterns, column))
 
 
 def drop_excluded(spans: DataFrame, literals: DataFrame, patterns: DataFrame) -> DataFrame:
