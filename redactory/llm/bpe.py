@@ -17,6 +17,7 @@ through, except those named like an output, which are replaced.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -29,6 +30,7 @@ from tokenizers import Tokenizer
 from redactory.llm.common import Memo, Splitter
 
 CACHE_WORDS = 100_000
+LONG_FRAGMENT = 64
 LATER_SCRIPTS = re.compile("[\u0530-\U0010ffff]")
 # fixed value: the pre-token pattern of the file; white space is in no pre-token
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -71,6 +73,8 @@ class WordBpe:
 
     def merge(self, parts: list[str]) -> list[str]:
         """Lowest-rank merges within one fragment; ties go to the leftmost pair."""
+        if len(parts) > LONG_FRAGMENT:
+            return self.merge_long(parts)
         rank, never = self.ranks.get, len(self.ranks)
         ranks = [rank(pair, never) for pair in zip(parts, parts[1:], strict=False)]
         while ranks and (least := min(ranks)) < never:
@@ -83,6 +87,27 @@ class WordBpe:
                 ranks[at] = rank((parts[at], parts[at + 1]), never)
         return parts
 
+    def merge_long(self, parts: list[str]) -> list[str]:
+        """``merge`` by a heap of pairs over a linked list, in time n log n."""
+        rank, n = self.ranks.get, len(parts)
+        ahead, behind = [*range(1, n), -1], [*range(-1, n - 1)]
+        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank((parts[i], parts[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, left, right = heapq.heappop(heap)
+            j = ahead[i] if parts[i] else -1
+            if j < 0 or parts[i] != left or parts[j] != right:
+                continue  # one of the two has been merged since
+            parts[i], parts[j] = left + right, ""
+            ahead[i] = k = ahead[j]
+            if k >= 0:
+                behind[k] = i
+                if (r := rank((parts[i], parts[k]))) is not None:
+                    heapq.heappush(heap, (r, i, parts[i], parts[k]))
+            if (h := behind[i]) >= 0 and (r := rank((parts[h], parts[i]))) is not None:
+                heapq.heappush(heap, (r, h, parts[h], parts[i]))
+        return [p for p in parts if p]
+
     def tokens(self, word: str) -> list[str]:
         """Tokens of one pre-token: cut at forced boundaries, encode each part."""
         symbols = [self.symbol[b] for b in word.encode("utf-8", "replace")]

@@ -223,15 +223,21 @@ def each_salt() -> Column:
     return F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.getbit("salts", s) == 1)).alias("salt")
 
 
+LONG_KEY = 256
+
+
 class Memo(dict):
     """Answers of ``make`` by key: those of the last ``bound`` to ``2 * bound``
-    keys asked for; a key asked for again moves to the younger half."""
+    keys asked for; a key asked for again moves to the younger half. Answers for
+    keys longer than LONG_KEY are not kept, so the memory has a bound in bytes."""
 
     def __init__(self, make, bound: int):
         self.make, self.bound, self.old = make, bound, {}
 
     def __missing__(self, key):
         value = self.old[key] if key in self.old else self.make(key)
+        if isinstance(key, str) and len(key) > LONG_KEY:
+            return value
         if len(self) >= self.bound:
             self.old = dict(self)
             self.clear()

@@ -184,7 +184,9 @@ def find_contamination(docs: DataFrame, items: DataFrame, words: int = 5, contai
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """``docs`` without documents that contain a test item; rows without an id
-    are never dropped."""
-    hit = find_contamination(docs, items, **how).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows whose text contains a test item. Rows are told apart
+    by id and text, so each is judged by its own text, those without an id too."""
+    row = F.struct("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"))
+    hit = find_contamination(docs.select(row.alias("row"), "text"), items, id_col="row", **how).select(F.col("row.doc_id").alias("_hit"), F.col("row.h").alias("_hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(hit["_hit"]) & (F.coalesce(F.xxhash64(docs["text"]), F.lit(0)) == hit["_hash"])
+    return docs.join(hit, same, "left_anti").select(*docs.columns)

@@ -77,7 +77,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: What op10 edits out: e-mail addresses, long digit runs and tripled marks.
-EDIT = [("@", r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"), ("", r"\d(?:[ -]?\d){6,}"), ("*", r"\*{3}"), ("%", "%{3}"), ("&", "&{3}"), ("#", "#{3}"), ("$", r"\${3}")]
+EDIT = [("@", r"(?<![\w.+-])[\w.+-]++@[\w-]+(?:\.[\w-]+)+"), ("", r"\d(?:[ -]?\d){6,}"), ("*", r"\*{3}"), ("%", "%{3}"), ("&", "&{3}"), ("#", "#{3}"), ("$", r"\${3}")]
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

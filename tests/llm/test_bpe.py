@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -60,3 +61,23 @@ def test_documents(spark):
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(LIBRARY.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert encode_documents(df.limit(0), PATH).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["a", "an", "the", "xq", "é", "0", "-"])
+def test_long_words_take_no_quadratic_time(unit):
+    rng = random.Random(3)
+    bpe = load(PATH)
+    for word in (unit * (300_000 // len(unit)), "".join(rng.choice("etaoin") for _ in range(100_000))):
+        began = time.perf_counter()
+        got, _ = bpe.encode(word)
+        assert time.perf_counter() - began < 20
+        assert got == " ".join(map(str, LIBRARY.encode(word, add_special_tokens=False).ids))
+
+
+@settings(max_examples=200, deadline=None, derandomize=True)
+@given(st.text("aeinorst'", min_size=1, max_size=60))
+def test_both_merges_agree(word):
+    bpe = load(PATH)
+    symbols = [bpe.symbol[b] for b in word.encode()]
+    symbols[-1] += bpe.end
+    assert bpe.merge(list(symbols)) == bpe.merge_long(list(symbols))

@@ -52,3 +52,14 @@ def test_ids_of_other_types(spark):
     docs = spark.createDataFrame([("d", "a b c d e f g")], "doc_id string, text string")
     items = spark.createDataFrame([("i", "b c d e f")], "item_id string, text string")
     assert [tuple(r) for r in find_contamination(docs, items).collect()] == [("d", "i", 1, 1)]
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    """Repeated ids with different texts, rows without an id, equal rows."""
+    rng = random.Random(6)
+    item, clean = sentence(rng, 40), sentence(rng, 60)
+    bad = f"{clean} {item} {clean}"
+    rows = [(1, bad), (1, clean), (None, bad), (None, clean), (2, bad), (2, bad), (3, clean), (3, clean), (4, None), (None, None)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, row int")
+    left = decontaminate(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert sorted(r.row for r in left.collect()) == [i for i, r in enumerate(rows) if r[1] != bad] and left.columns == docs.columns

@@ -1,4 +1,5 @@
 import random
+import time
 import re
 
 import public_tokenizers
@@ -66,3 +67,12 @@ def test_query_equals_a_full_count(spark, sf):
         text = texts[r.doc_id]
         assert r.n_tokens == len(enc.encode_ordinary(text)) and r.n_edits == len(whole.findall(text))
         assert r.n_tokens_edited == len(enc.encode_ordinary(whole.sub("", text)))
+
+
+def test_edits_of_long_words_take_no_quadratic_time():
+    found = EditPattern(EDIT)
+    for text in ("@ " + "a" * 1_000_000, "a." * 300_000 + "@", "1" * 300_000 + "@", "a@" * 200_000, "x@b.org " * 50_000):
+        began = time.perf_counter()
+        edits = found.edits(text)
+        assert time.perf_counter() - began < 10
+    assert len(edits) == 50_000 and edits[0] == (0, 7, "")
