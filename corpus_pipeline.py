@@ -6,14 +6,20 @@ of documents.
 
 Nulls, long texts, ties, repeats and empty tables are as the stages' operators
 define them: a null or letterless text goes in ``language`` (it is ``und``); rows
-without an id pass the later stages unchanged; of rows equal in id and text one
-stays after ``near_duplicates``; an empty table stays empty through all stages.
+without an id pass ``lines`` and ``near_duplicates`` unchanged and are judged by their
+own text in ``benchmark``; of rows equal in id and text one stays after
+``near_duplicates``; an empty table stays empty through all stages. Other columns, of
+whatever name, pass with their values through all stages but ``tokens``, which
+returns ids, language, source and what it makes of the text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from redactory.llm import langid
 from redactory.llm.bpe import encode_documents
@@ -23,15 +29,26 @@ from redactory.llm.linededup import dedup_lines
 from redactory.llm.neardup import drop_near_duplicates
 
 
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def apart(docs: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``operator`` (docs), with the columns of docs. Columns that are not those of
+    documents have other names meanwhile, lest an output takes one's place."""
+    names = {c: c if c in OWN else f"own_{i}" for i, c in enumerate(docs.columns)}
+    out = operator(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())))
+    return out.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; rejected ones go."""
     model = langid.train(docs)
-    return langid.identify(docs, model).where("not rejected").select(*docs.columns)
+    return apart(docs, lambda d: langid.identify(d, model).where("not rejected"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without chunks of lines that stand elsewhere before."""
-    return dedup_lines(docs).select(*docs.columns)
+    return apart(docs, dedup_lines)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
