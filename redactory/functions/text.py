@@ -189,6 +189,7 @@ def normalize_confidence(c: Column) -> Column:
 
 
 # --- X17: effort estimates ---------------------------------------------------
+# fixed values
 LEGAL_TERMS = ("whereas", "party", "agreement", "contract", "shareholder", "corporation")
 WORD_STEPS = ((500, 0.6), (2000, 1.0), (5000, 1.4))
 #: phase, base seconds, share that grows with complexity
@@ -201,6 +202,7 @@ PHASES = (
     ("merging", 2.5, 0.1),
     ("track_changes", 4.0, 0.2),
 )
+# fixed values
 TITLE_WORDS = r"(?i)\b(?:agreement|amendment|consent|resolution|statement|minutes|bylaws|charter|policy|plan)\b"
 COMPANY_HINTS = r"(?i)\b(?:inc\.?|corp\.?|co\.?|ltd\.?|llc|l\.l\.c\.|llp|l\.l\.p\.|lp|l\.p\.|plc|gmbh|ag|s\.a\.|s\.r\.l\.)\b"
 

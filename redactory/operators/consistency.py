@@ -12,6 +12,7 @@ from redactory.functions.text import org_key, org_tokens
 from redactory.operators.scan import between, matches, span
 from redactory.schemas import SPANS
 
+# fixed values
 SAFE_LABELS = ("ORG", "PERSON", "NAME", "EMAIL", "SSN", "PHONE", "ACCOUNT", "CARD", "BRAND")
 STOP_WORDS = ("the", "and", "for", "with", "from", "that", "this", "inc", "llc", "corp", "ltd", "company", "mr", "mrs", "ms", "dr", "esq", "dept")
 FUZZY_GAP = r"[ \t\r\n\u00A0,.;:'\"/\-]{0,10}"

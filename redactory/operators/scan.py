@@ -239,6 +239,7 @@ GAZETTEER = (
     ("DATE", rf"(?i)\b(?:{WRITTEN_MONTHS})\s+\d{{1,2}},?\s+\d{{4}}\b", 0.92),
     ("DATE", rf"(?i)\b\d{{1,2}}\s+(?:{WRITTEN_MONTHS})\s+\d{{4}}\b", 0.92),
 )
+# fixed values
 DEFINED_BODIES = ("the company", "the corporation", "the firm", "the entity")
 
 

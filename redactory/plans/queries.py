@@ -196,6 +196,10 @@ def x11_rank(spark, sf_dir):
 
 columns("x12_combine_confidence", "greatest(0.0, least(1.0, n_chars / 10000.0::DOUBLE + (doc_id % 3) * 0.07::DOUBLE + 0.0 - 0.05::DOUBLE)) < 0.88::DOUBLE AS low", lambda t: [X.is_low_confidence(X.combine_confidence(F.col("n_chars") / 10000.0, F.col("doc_id") % 3, 0.0, 0.05)).alias("low")])
 columns("x13_confidence_band", "CASE WHEN n_chars / 5000.0::DOUBLE >= 0.9 THEN 'high' WHEN n_chars / 5000.0::DOUBLE >= 0.7 THEN 'medium' ELSE 'low' END AS band", lambda t: [X.confidence_band(F.col("n_chars") / 5000.0).alias("band")])
+MADE_SQL = "CASE doc_id % 5 WHEN 0 THEN CAST(n_chars AS STRING) WHEN 1 THEN '0.' || CAST(doc_id AS STRING) WHEN 2 THEN lang WHEN 3 THEN '-3' ELSE '87.5' END"
+query("x22_normalize_confidence", f"WITH c AS (SELECT doc_id, coalesce(try_cast({MADE_SQL} AS DOUBLE), 0.95) AS x FROM documents) SELECT doc_id, greatest(0.0, least(1.0, CASE WHEN x > 1 THEN x / 100 ELSE x END))::DOUBLE AS confidence FROM c")(
+    lambda spark, sf_dir: docs(spark, sf_dir).select("doc_id", X.normalize_confidence(F.expr(MADE_SQL)).alias("confidence"))
+)
 columns("x15_doc_type", "CASE WHEN contains(lower(left(text, 1000)), 'shareholder') AND contains(lower(left(text, 1000)), 'consent') THEN 'shareholder_consent' WHEN contains(lower(left(text, 1000)), 'purchase agreement') THEN 'purchase_agreement' WHEN contains(lower(left(text, 1000)), 'employment agreement') THEN 'employment_agreement' ELSE 'legal_document' END AS kind", lambda t: [X.doc_type(t).alias("kind")])
 line_columns("x16_looks_like_title", rf"regexp_matches({LINE_SQL}, {q(X.TITLE_WORDS)}) AND NOT regexp_matches({LINE_SQL}, {q(X.COMPANY_HINTS)}) AND len(list_filter(string_split_regex({LINE_SQL}, '\s+'), lambda x: trim(x, ',.;:()[]{{}}') <> '')) >= 2 AS title", lambda t: [X.looks_like_title(F.col("line")).alias("title")])
 WORDS_SQL = r"list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')"
@@ -428,7 +432,14 @@ def _candidates(spark, sf_dir):
 CAND_SQL = f"SELECT doc_id, {LINE_SQL} AS text, CASE WHEN doc_id % 2 = 0 THEN 'NAME' ELSE 'ORG' END AS label, (n_chars % 100 / 100.0)::DOUBLE AS confidence FROM {LINES_SQL}"
 
 
-@query("f11_drop_titles_and_generics")
+TITLE_SQL = rf"(regexp_matches(text, {q(X.TITLE_WORDS)}) AND NOT regexp_matches(text, {q(X.COMPANY_HINTS)}) AND len(list_filter(string_split_regex(text, '\s+'), lambda x: trim(x, ',.;:()[]{{}}') <> '')) >= 2)"
+_TERMS_SQL = ", ".join(q(t) for t in lexicon.base_terms())
+_OWN_KEY = KEY_SQL.replace(f"({LINE_SQL},", "(text,")
+# a phrase's keys: with and without its determiner, and the singulars of both
+GENERIC_SQL = " OR ".join(f"{k} IN ({_TERMS_SQL})" for key in (_OWN_KEY, _OWN_KEY.replace(BARE_SQL.replace(f"({LINE_SQL},", "(text,"), "text")) for k in (key, f"CASE WHEN {key} LIKE '%ies' AND length({key}) > 3 THEN {key}[:-4] || 'y' WHEN {key} LIKE '%s' AND length({key}) > 1 THEN rtrim({key}[:-2]) END"))
+
+
+@query("f11_drop_titles_and_generics", f"SELECT doc_id, text FROM ({CAND_SQL}) WHERE NOT {TITLE_SQL} AND NOT coalesce({GENERIC_SQL}, false)")
 def f11_titles(spark, sf_dir):
     return model.drop_titles_and_generics(_candidates(spark, sf_dir), *lexicon.read_exclusions(spark))[0].select("doc_id", "text")
 
@@ -441,11 +452,19 @@ def f12_valid(spark, sf_dir):
     return _candidates(spark, sf_dir).select("doc_id", model.valid_shape(F.col("text"), F.col("label")).alias("valid"))
 
 
-@query("f13_needs_validation")
+@query("f13_needs_validation", f"""WITH c AS ({CAND_SQL}), t AS (SELECT doc_id, label, CASE WHEN count(*) < 5 THEN 0.7 ELSE quantile_cont(confidence, 0.25) END AS threshold FROM c GROUP BY 1, 2)
+SELECT doc_id, CASE WHEN coalesce({GENERIC_SQL}, false) OR confidence < threshold THEN true WHEN label = 'ORG' AND ({' OR '.join(f"contains(lower(text), {q(w)})" for w in model.ORG_DOUBTS)}) THEN true
+WHEN label = 'NAME' AND ({' OR '.join(f"contains(lower(text), {q(w)})" for w in model.NAME_DOUBTS)}) THEN true WHEN length(text) > 60 THEN true WHEN confidence > 0.9 THEN false ELSE true END AS needs_validation FROM c JOIN t USING (doc_id, label)""")
 def f13_needs(spark, sf_dir):
     return model.needs_validation(_candidates(spark, sf_dir), *lexicon.read_exclusions(spark)).select("doc_id", "needs_validation")
 
 
+@query("f16_keep_redactable", f"{WITH_B} SELECT doc_id, \"start\", label, text FROM b WHERE length(text) % 3 <> 1")
+def f16_redactable(spark, sf_dir):
+    released = F.when(F.length("text") % 3 == 1, False).when(F.length("text") % 3 == 2, True)  # else nothing is said
+    return rewrite.keep_redactable(base_spans(spark, sf_dir).withColumn("needs_redaction", released)).select("doc_id", "start", "label", "text")
+
+
 def _decisions(spark, sf_dir):
     e = base_spans(spark, sf_dir, BASE[2:3])
     return e.select(model.decision_key(F.col("text"), F.col("label")).alias("key"), F.when(F.length("text") % 2 == 0, "SKIP").otherwise("REDACT").alias("classification"), F.when(F.length("text") % 4 == 0, 0.97).otherwise(0.94).alias("decision_confidence")).dropDuplicates(["key"])
@@ -580,15 +599,17 @@ def j3_overlaps(spark, sf_dir):
     return consistency.overlap_join(a.drop("label"), b)
 
 
-def _first_only(spark, sf_dir):
-    """The first e-mail of each document: J4 finds the others of its text."""
-    return base_spans(spark, sf_dir, BASE[:1]).groupBy("doc_id").agg(F.array(F.min(F.struct("start", "end", "label", "text", "confidence", "source"))).alias("spans")).join(docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
+AGAIN_SQL = "'id' || CAST(doc_id AS STRING) || '@x.example first, xid' || CAST(doc_id AS STRING) || '@x.example, then id' || CAST(doc_id AS STRING) || '@x.example again'"
 
 
-@query("j4_consistency_exact")
+@query("j4_consistency_exact", "WITH d AS (SELECT doc_id, length(coalesce(text, '')) + 1 AS n, 'id' || CAST(doc_id AS STRING) || '@x.example' AS term FROM documents) SELECT doc_id, (n + 2 * length(term) + 16)::INTEGER AS \"start\", (n + 3 * length(term) + 16)::INTEGER AS \"end\", term AS text FROM d")
 def j4_exact(spark, sf_dir):
+    """Each text is followed by an address three times: as an entity, as a part of
+    another word, and once more; the search is over the whole text."""
+    d = docs(spark, sf_dir).withColumn("text", F.concat("text", F.lit("\n"), F.expr(AGAIN_SQL)))
+    spans = F.transform(scan.matches(F.col("text"), r"id[0-9]+@x\.example(?= first)"), lambda m: scan.span(m["start"], m["end"], "EMAIL", m["text"], 0.98, "rule"))
     found = let_all(consistency.exact_occurrences, spans=F.col("spans"), text=F.col("text"), terms=consistency.candidates(F.col("spans")))
-    return _first_only(spark, sf_dir).select("doc_id", F.inline(found)).select("doc_id", "start", "end", "text")
+    return d.withColumn("spans", spans).select("doc_id", F.inline(found)).select("doc_id", "start", "end", "text")
 
 
 @query("j5_consistency_fuzzy")
@@ -671,7 +692,12 @@ def w5_top(spark, sf_dir):
     return report.top_n_per_label(base_spans(spark, sf_dir)).select("doc_id", "start", "label")
 
 
-@query("w6_remove_overlaps_greedy")
+@query("w6_remove_overlaps_greedy", f"""WITH RECURSIVE b AS ({BASE_SQL}), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "start", "end" DESC, label, text, confidence, source) AS i FROM b),
+f AS (SELECT doc_id, i, "start", "end", label, text, confidence, source, i AS place, false AS over FROM o WHERE i = 1
+UNION ALL SELECT o.doc_id, o.i, CASE WHEN keep THEN f."start" ELSE o."start" END, CASE WHEN keep THEN f."end" ELSE o."end" END, CASE WHEN keep THEN f.label ELSE o.label END, CASE WHEN keep THEN f.text ELSE o.text END,
+  CASE WHEN keep THEN f.confidence ELSE o.confidence END, CASE WHEN keep THEN f.source ELSE o.source END, CASE WHEN clash THEN f.place ELSE o.i END, false
+  FROM f, LATERAL (SELECT o.*, (o."start" < f."end" AND o."end" > f."start") AS clash, (o."start" < f."end" AND o."end" > f."start") AND NOT (o.confidence > f.confidence OR o."end" - o."start" > f."end" - f."start") AS keep FROM o WHERE o.doc_id = f.doc_id AND o.i = f.i + 1) o)
+SELECT doc_id, "start", "end", label, text, confidence, source FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, place ORDER BY i DESC) = 1""")
 def w6_greedy(spark, sf_dir):
     return _packed(spark, sf_dir, base_spans(spark, sf_dir)).select("doc_id", F.inline(merge.remove_overlaps_greedy(F.col("spans"))))
 
@@ -719,13 +745,21 @@ def _gold_pred(spark, sf_dir):
     return base_spans(spark, sf_dir, BASE[:3]), base_spans(spark, sf_dir).where("doc_id % 3 != 0")
 
 
-@query("a4_score_matches")
+# gold entities and predictions of a document are the same rows, but for numbers, which are predicted only,
+# and every third document, which has no predictions: each gold entity finds itself or its like
+MATCHES_SQL = f"""{WITH_B}, c AS (SELECT label, count(*) FILTER (label <> 'NUMBER' AND doc_id % 3 <> 0) AS tp, count(*) FILTER (label = 'NUMBER' AND doc_id % 3 <> 0) AS fp, count(*) FILTER (label <> 'NUMBER' AND doc_id % 3 = 0) AS fn FROM b WHERE label <> 'NUMBER' OR doc_id % 3 <> 0 GROUP BY label),
+a AS (SELECT * FROM c UNION ALL SELECT 'OVERALL', sum(tp)::BIGINT, sum(fp)::BIGINT, sum(fn)::BIGINT FROM c),
+r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 1 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 1 END AS recall FROM a),
+s AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM r) SELECT """
+
+
+@query("a4_score_matches", MATCHES_SQL + "* FROM s")
 def a4_matches(spark, sf_dir):
     gold, pred = _gold_pred(spark, sf_dir)
     return score.score_matches(gold.withColumn("at", F.col("start")), pred.withColumn("at", F.col("start")))
 
 
-query("q6_evaluate")(lambda spark, sf_dir: score.evaluate(*(x.withColumn("at", F.col("start")) for x in _gold_pred(spark, sf_dir))))
+query("q6_evaluate", MATCHES_SQL + "*, precision >= 0.85 AND recall >= 0.85 AS passed FROM s")(lambda spark, sf_dir: score.evaluate(*(x.withColumn("at", F.col("start")) for x in _gold_pred(spark, sf_dir))))
 
 
 @query("a5_score_sets", f"""{WITH_B}, g AS (SELECT DISTINCT doc_id, text, label FROM b WHERE label <> 'NUMBER'), p AS (SELECT DISTINCT doc_id, text, label FROM b WHERE doc_id % 3 <> 0),
