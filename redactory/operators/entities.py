@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, Window
@@ -59,28 +62,92 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(best, indel_ratio(common, left), indel_ratio(common, right)) if common else best
 
 
+#: Columns of letter counts; letters that share one only loosen the bound.
+COUNTS = 32
+
+
+class Clusters:
+    """The clusters of one label, each a set of aliases, with indexes over all aliases.
+
+    Only aliases that can reach LINK_AT are compared: those that share a token, by an
+    inverted index, and those whose letters and length are near enough, by counts of
+    letters in blocks of equal length. A form that comes again is compared with the
+    aliases added since; so the work follows what is new."""
+
+    def __init__(self) -> None:
+        self.n = 0
+        self.forms: list[str] = []  # one entry for each alias of a cluster
+        self.of: list[int] = []
+        self.by_token: dict[str, list[int]] = {}
+        self.by_length: dict[int, tuple[np.ndarray, list[int]]] = {}
+        self.aliases: set[tuple[str, int]] = set()
+        self.known: dict[str, tuple[float, int, int]] = {}  # form -> best score, its cluster, entries seen
+
+    @staticmethod
+    def bag(form: str) -> tuple[int, np.ndarray]:
+        """Length and letter counts of the form's distinct tokens, joined by blanks."""
+        text = " ".join(set(form.split()))
+        return len(text), np.bincount([ord(c) % COUNTS for c in text], minlength=COUNTS).astype(np.int32)
+
+    def near(self, form: str, seen: int) -> set[int]:
+        """Entries from ``seen`` on that may reach LINK_AT."""
+        found: set[int] = set()
+        for token in set(form.split()):
+            entries = self.by_token.get(token, [])
+            found.update(entries[bisect_left(entries, seen) :])
+        n, counts = self.bag(form)
+        for length in range(math.floor(n * LINK_AT / (2 - LINK_AT)), math.ceil(n * (2 - LINK_AT) / LINK_AT) + 1):
+            if length in self.by_length:
+                table, entries = self.by_length[length]
+                first = bisect_left(entries, seen)
+                if first < len(entries):
+                    common = np.minimum(table[first : len(entries)], counts).sum(axis=1)
+                    found.update(entries[first + int(i)] for i in np.flatnonzero(2 * common >= LINK_AT * (n + length) - 1e-6))
+        return found
+
+    def add(self, form: str, cluster: int) -> None:
+        entry = len(self.forms)
+        self.forms.append(form)
+        self.of.append(cluster)
+        for token in set(form.split()):
+            self.by_token.setdefault(token, []).append(entry)
+        if form:
+            length, counts = self.bag(form)
+            table, entries = self.by_length.setdefault(length, (np.zeros((4, COUNTS), np.int32), []))
+            if len(entries) == len(table):
+                table = np.concatenate([table, np.zeros_like(table)])
+                self.by_length[length] = table, entries
+            table[len(entries)] = counts
+            entries.append(entry)
+
+    def link(self, form: str) -> tuple[int, bool]:
+        """(cluster, joined): the first cluster of the highest score, or a new one."""
+        score, best, seen = self.known.get(form, (0.0, -1, 0))
+        for entry in self.near(form, seen):
+            near = 1.0 if form == self.forms[entry] else token_set_ratio(form, self.forms[entry])
+            if near > score or (near == score and near > 0 and self.of[entry] < best):
+                score, best = near, self.of[entry]
+        seen, joined = len(self.forms), best >= 0 and score >= LINK_AT
+        if not joined:
+            self.n, best = self.n + 1, self.n
+        if (form, best) not in self.aliases:
+            self.aliases.add((form, best))
+            self.add(form, best)
+            seen = len(self.forms) - 1
+        self.known[form] = (score, best, seen) if joined else (0.0, -1, seen)
+        return best, joined
+
+
 def cluster_mentions(labels: Iterable[str], texts: Iterable[str]) -> list[tuple[str, bool]]:
     """(entity id, joined an open cluster) for one document's mentions in order.
 
     A mention joins the cluster with the most similar alias if that reaches
     LINK_AT, and becomes an alias of it; else it opens a cluster of its own."""
-    clusters: dict[str, list[set[str]]] = {}
+    clusters: dict[str, Clusters] = {}
     out = []
     for label, text in zip(labels, texts, strict=True):
-        form, groups = cluster_form(text.strip()), clusters.setdefault(label, [])
-        best, score = -1, 0.0
-        for i, aliases in enumerate(groups):
-            near = 1.0 if form and form in aliases else max(token_set_ratio(form, alias) for alias in aliases)
-            if near > score:
-                best, score = i, near
-            if score == 1.0:
-                break
-        joined = best >= 0 and score >= LINK_AT
-        if not joined:
-            groups.append(set())
-            best = len(groups) - 1
-        groups[best].add(form)
-        out.append((f"{label}_{best + 1}", joined))
+        at, joined = clusters.setdefault(label, Clusters()).link(cluster_form(text.strip()))
+        out.append((f"{label}_{at + 1}", joined))
     return out
 
 
