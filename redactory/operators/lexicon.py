@@ -174,6 +174,11 @@ class Lexicon:
                 continue
         return out
 
+    @cached_property
+    def longest(self) -> int:
+        """Words of the longest literal."""
+        return max((k.count(" ") + 1 for k in self.literals), default=0)
+
     @staticmethod
     def bare(text: str) -> str:
         parts = text.strip().split(None, 1)
@@ -229,13 +234,15 @@ class Lexicon:
         tokens = [t.lower() for t in regex.findall(r"[A-Za-z0-9'/-]+|&", text)]
         if not tokens:
             return False
+        # a literal is as long as the longest, with a determiner before it; only a pattern may be longer
+        reach = len(tokens) if self._shapes else self.longest + 1
         reached = {0}
         for i in range(len(tokens)):
             if i not in reached:
                 continue
             if tokens[i] in CONNECTORS:
                 reached.add(i + 1)
-            for j in range(i + 1, len(tokens) + 1):
+            for j in range(i + 1, min(len(tokens), i + reach) + 1):
                 phrase = " ".join(tokens[i:j])
                 if self.has(self.key(phrase)) or any(p.match(phrase) for p in self._shapes):
                     reached.add(j)

@@ -11,7 +11,8 @@ from collections.abc import Iterable
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redactory.functions.let import let, let_all
@@ -37,6 +38,20 @@ def _cleaner(lexicon: Lexicon) -> OrgCleaner:
     return OrgCleaner(lexicon)
 
 
+_sent: dict[tuple[str, Lexicon], Broadcast] = {}
+
+
+def _shared(lexicon: Lexicon) -> Broadcast:
+    """The list as one broadcast, whose size ``Lexicon.read`` bounds: executors hold
+    one copy for all helpers and workers."""
+    context = SparkSession.getActiveSession().sparkContext
+    key = context.applicationId, lexicon
+    if key not in _sent:
+        _sent.clear()
+        _sent[key] = context.broadcast(lexicon)
+    return _sent[key]
+
+
 class NameHelpers:
     """Column functions over arrays of names, backed by Python helpers that are
     asked once for each distinct string of a batch."""
@@ -50,9 +65,11 @@ class NameHelpers:
 
     @staticmethod
     def _udf(lexicon: Lexicon, kind: str, answer):
+        shared = _shared(lexicon)
+
         @F.pandas_udf(kind)
         def run(texts: pd.Series) -> pd.Series:
-            made = _cleaner(lexicon)
+            made = _cleaner(shared.value)
             known = {t: answer(made, t) for t in {t for row in texts if row is not None for t in row}}
             return pd.Series([None if row is None else [known[t] for t in row] for row in texts], dtype=object)
 

@@ -52,3 +52,15 @@ def test_a_broken_line_is_set_aside(spark, tmp_path, capsys):
     assert {r.pattern for r in indexed_patterns(patterns).where("error is not null").collect()} == {"(abc", "[z-a]"}
     out.explain("formatted")
     assert "NestedLoop" not in (plan := capsys.readouterr().out) and "Cartesian" not in plan
+
+
+def test_combinations_of_any_length():
+    """The bound by the longest literal loses nothing."""
+    rng = random.Random(8)
+    words = ["board", "of", "directors", "the", "company", "acme", "and", "loan"]
+    lex = lexicon.Lexicon(frozenset({"board of directors", "company", "loan of the company"}))
+    with_pattern = lexicon.Lexicon(lex.literals, ("zzz",))  # a pattern lifts the bound
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 12))) for _ in range(2000)]
+    got = [lex.combination(t) for t in texts]
+    assert got == [with_pattern.combination(t) for t in texts] and 100 < sum(got) < 1900
+    assert lex.combination("the board of directors and the loan of the company") and not lex.combination("the board of acme")
