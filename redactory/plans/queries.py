@@ -656,16 +656,39 @@ query("q4_scrub_columns", f"WITH s AS ({SNAP_SQL}) SELECT doc_id, field, CASE WH
 query("q5_metadata_report", f"WITH s AS ({SNAP_SQL}) SELECT doc_id, field, value AS before, value AS after, 'observed' AS status FROM s")(lambda spark, sf_dir: metadata.metadata_report(_snapshot(spark, sf_dir)))
 
 
-@query("a13_metadata_findings", """WITH o AS (SELECT o_orderkey AS doc_id, o_orderdate::TIMESTAMP AS created, o_orderdate::TIMESTAMP + (CASE WHEN o_orderkey % 5 = 0 THEN INTERVAL (-1) DAY ELSE INTERVAL 1 DAY END) AS modified FROM orders)
+# every check of the list is met by some orders and missed by others; for both engines
+SNAPSHOT_FIELDS = {
+    "author": "CASE o_orderkey % 3 WHEN 0 THEN 'Ann' WHEN 1 THEN 'Bo' ELSE ' ' END",
+    "last_modified_by": "CASE o_orderkey % 4 WHEN 0 THEN 'ANN' WHEN 1 THEN 'Cy' ELSE 'Di' END",
+    "revision": "CAST(o_orderkey % 60 AS STRING)",
+    "totaltime": "CASE WHEN o_orderkey % 11 = 0 THEN 'none' ELSE CAST(o_orderkey % 7 AS STRING) END",
+    "application": "CASE o_orderkey % 6 WHEN 0 THEN 'LibreOffice 7' WHEN 1 THEN 'Microsoft Word' WHEN 2 THEN 'Apache POI' ELSE '' END",
+    "appversion": "CASE WHEN o_orderkey % 2 = 1 AND o_orderkey % 4 = 1 THEN '1.2' ELSE '16.0' END",
+}
+
+
+@query("a13_metadata_findings", f"""WITH o AS (SELECT o_orderkey AS doc_id, o_orderdate::TIMESTAMP AS created, o_orderdate::TIMESTAMP + (CASE WHEN o_orderkey % 5 = 0 THEN INTERVAL (-1) DAY ELSE INTERVAL 1 DAY END) AS modified,
+{', '.join(f"{sql} AS {name}" for name, sql in SNAPSHOT_FIELDS.items())}, CASE WHEN o_orderkey % 5 = 0 THEN 'Cy' ELSE 'ann' END AS content FROM orders),
+n AS (SELECT *, lower(trim(author)) AS a, lower(trim(last_modified_by)) AS l, lower(content) AS c, try_cast(revision AS INT) AS rev, try_cast(totaltime AS INT) AS mins FROM o),
+m AS (SELECT *, a <> '' AND a <> c AS other FROM n)
 SELECT doc_id, 'Timestamp anomaly' AS title, 'medium' AS severity FROM o WHERE modified < created UNION ALL SELECT doc_id, 'Print before modification', 'info' FROM o WHERE created < modified - INTERVAL 5 MINUTE
-UNION ALL SELECT doc_id, 'Future timestamp detected', 'high' FROM (SELECT doc_id, unnest([created, modified, created]) AS t FROM o) WHERE t > TIMESTAMP '1998-01-01 00:00:00' + INTERVAL 1 DAY""")
+UNION ALL SELECT doc_id, 'Future timestamp detected', 'high' FROM (SELECT doc_id, unnest([created, modified, created]) AS t FROM o) WHERE t > TIMESTAMP '1998-01-01 00:00:00' + INTERVAL 1 DAY
+UNION ALL SELECT doc_id, 'Possible revision/edit time mismatch', 'high' FROM m WHERE rev >= 20 AND (mins <= 1 OR mins / rev::DOUBLE < 0.1 OR (rev >= 50 AND mins < 5))
+UNION ALL SELECT doc_id, 'Author mismatch', 'medium' FROM m WHERE other UNION ALL SELECT doc_id, 'Last Modified By mismatch', 'medium' FROM m WHERE l <> c AND NOT other
+UNION ALL SELECT doc_id, 'Automated authoring software', 'info' FROM m WHERE application IN ('LibreOffice 7', 'Apache POI')
+UNION ALL SELECT doc_id, 'Suspicious application version', 'low' FROM m WHERE application = 'Microsoft Word' AND appversion = '1.2'""")
 def a13_findings(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     at = F.col("o_orderdate").cast("timestamp")
     moved = at + F.when(F.col("o_orderkey") % 5 == 0, F.expr("interval -1 day")).otherwise(F.expr("interval 1 day"))
     text = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
-    snap = o.select(F.col("o_orderkey").alias("doc_id"), F.explode(F.create_map(F.lit("created"), text(at), F.lit("modified"), text(moved), F.lit("last_printed"), text(at))).alias("field", "value"))
-    return metadata.metadata_findings(snap, "1998-01-01 00:00:00").select("doc_id", "title", "severity")
+    fields = {"created": text(at), "modified": text(moved), "last_printed": text(at)} | {name: F.expr(sql) for name, sql in SNAPSHOT_FIELDS.items()}
+    snap = o.select(F.col("o_orderkey").alias("doc_id"), F.explode(F.create_map(*(x for name, c in fields.items() for x in (F.lit(name), c)))).alias("field", "value"))
+    # the author of the first change counts; a comment only where nothing was changed
+    event = lambda kind, author, date: F.struct(F.lit(kind).alias("kind"), F.when((F.col("o_orderkey") % 5 != 0) | F.lit(kind == "comment"), author).alias("author"), F.lit(f"{date}T00:00:00").alias("date"))
+    made = F.array(event("comment", "Cy", "1990-01-01"), event("change", "Zed", "1996-01-01"), event("change", "ann", "1995-01-01"))
+    events = o.select(F.col("o_orderkey").alias("doc_id"), F.explode(made).alias("e")).select("doc_id", "e.*")
+    return metadata.metadata_findings(snap, "1998-01-01 00:00:00", events).select("doc_id", "title", "severity")
 
 
 # --- W, A, U: merging, scores, reports ------------------------------------------------------
