@@ -45,6 +45,13 @@ def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def re2(pattern: str) -> str:
+    """A pattern of ours for the SQL engine, whose blanks lack the vertical tab."""
+    within = re.sub(r"\[[^]]*\]", lambda m: m[0].replace(r"\s", r"\s\x0B"), pattern)
+    bare = re.sub(r"(\[[^]]*\])|\\s", lambda m: m[1] or r"[\s\x0B]", within)
+    return re.sub(r"\\S", r"[^\\s\\x0B]", bare)
+
+
 # --- base spans: overlapping patterns both engines understand ------------------------
 BASE = (("EMAIL", R.EMAIL, 0.98), ("URL", r"[A-Za-z0-9-]+\.example\.[a-z]+", 0.90), ("IP", R.IPV4, 0.90), ("NUMBER", r"[0-9]{2,}", 0.70))
 
@@ -312,7 +319,9 @@ _formed_rule("r12_scan_ipv6", "IPV6", "IP", R.IPV6, 0.90, span_sql("IP", R.IPV6,
 _formed_rule("r13_scan_doc_id", "DOCID", "DOCID", R.DOCID, 0.95, planted_sql("DOCID", "DOCID", 0.95, "rule", ("doc_id % 3 = 0", "0", "'Document ID: AB' || CAST(100000 + doc_id AS STRING)"), ("doc_id % 3 = 1", "4", "'REF-' || CAST(1000 + doc_id AS STRING)")))
 _rule("r14_scan_date", "DATE", R.DATE, 0.88, False)
 _rule("r15_scan_org", "ORG", R.ORG, 0.75, False)
-_formed_rule("r16_scan_address", "ADDRESS", "LOC", R.ADDRESS, 0.85, planted_sql("ADDRESS", "LOC", 0.85, "rule", ("doc_id % 3 = 0", "3", "CAST(doc_id % 900 + 1 AS STRING) || ' Evergreen Terrace, Springfield, IL 62704'"), ("doc_id % 3 = 1", "3", "'P.O. Box ' || CAST(doc_id AS STRING)")))
+# nothing follows an atomic alternative, so a plain group matches the same
+ADDRESS_SQL = re2(R.ADDRESS.replace("(?>", "(?:"))
+_formed_rule("r16_scan_address", "ADDRESS", "LOC", R.ADDRESS, 0.85, span_sql("LOC", ADDRESS_SQL, 0.85, formed_sql("ADDRESS")))
 _formed_rule("r17_scan_county", "COUNTY", "LOC", R.COUNTY, 0.82, span_sql("LOC", R.COUNTY, 0.82, formed_sql("COUNTY")))
 PLAIN_DATE = "(?i)" + "|".join(R.DATE_PLAIN)
 query("r14_scan_plain_date", span_sql("DATE", PLAIN_DATE, 0.88))(lambda spark, sf_dir: scan.scan_regex(docs(spark, sf_dir), "DATE", PLAIN_DATE, 0.88))
@@ -510,7 +519,11 @@ def e4_tails(spark, sf_dir):
     return organisations.trim_excluded_tails(_orgs(spark, sf_dir), lexicon.Lexicon.read(spark))
 
 
-@query("e5_extend_org_suffix", f"""WITH s AS ({span_sql('ORG', r'[A-Z][a-z]{9,}', 0.8)}) SELECT s.doc_id, s."start", (s."end" + length(regexp_extract(substring(d.text, s."end" + 1, 64), '^[\\s,]+(?i:inc\\.?|corp\\.?|co\\.?|ltd\\.?|llc|lp|plc|gmbh|ag)\\.?(?:$|[\\s,;:)])')))::INTEGER AS "end" FROM s JOIN documents d USING (doc_id)""")
+# the tail without its look-ahead, as a group: what ends it is no part of it
+TAIL_SQL = re2("(" + R.ORG_TAIL.replace("(?=$|", r")(?:[\x{85}\x{2028}\x{2029}]?$|"))
+
+
+@query("e5_extend_org_suffix", f"""WITH s AS ({span_sql('ORG', r'[A-Z][a-z]{9,}', 0.8)}) SELECT s.doc_id, s."start", (s."end" + length(regexp_extract(substring(d.text, s."end" + 1, 64), {q(TAIL_SQL)}, 1)))::INTEGER AS "end" FROM s JOIN documents d USING (doc_id)""")
 def e5_suffix(spark, sf_dir):
     s = _packed(spark, sf_dir, scan.scan_regex(docs(spark, sf_dir), "ORG", r"[A-Z][a-z]{9,}", 0.8))
     return s.select("doc_id", F.inline(let_all(reshape.extend_org_suffix, spans=F.col("spans"), text=F.col("text")))).select("doc_id", "start", "end")
