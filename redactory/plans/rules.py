@@ -117,8 +117,10 @@ LEGAL_FORMS = (
     r"|(?i:National\s+Bank|Bank)|(?i:Trust\s+Company)|Capital|Holdings|Group|Fund|(?i:Statutory\s+Trust|Business\s+Trust)|REIT|Trust"
     r"|(?i:Foundation|Association|Society|Institute)|GmbH|AG|S\.A\.S\.|S\.A\.|S\.R\.L\.|Sp\.\s+z\s+o\.o\.|B\.V\.|N\.V\.|(?i:PLC|p\.l\.c\.)"
 )
+# a word is followed by blanks that are no part of it, so it ends in one place only: atomic
+# words and blanks match the same and never try a number digit by digit, or "The" twice
 ORG = (
-    r"(?U)\b(?=[A-Z])(?:(?:[A-Z][\w'&.-]+|\d+[A-Za-z0-9'&.-]*|(?i:and|of|the|for|a|an|&|de|la)),?[^\S\n]+){1,10}?"
+    r"(?U)\b(?=[A-Z])(?>(?:[A-Z][\w'&.-]++|\d++[A-Za-z0-9'&.-]*+|(?i:and|of|the|for|a|an|&|de|la)),?[^\S\n]++){1,10}?"
     rf"(?:{LEGAL_FORMS})(?!\w)"
 )
 STATE_CODES = (
