@@ -118,7 +118,7 @@ def rule_spans(text: Column, rule: Rule, labels: Iterable[str] | None = None, sc
                 test = test & ~(m["text"].rlike(r"^(?U)\d+$") & ~phone_context(scan, m["start"], m["end"]))
         return test
 
-    found = F.transform(F.filter(matches(scan, rule.pattern), keep), one)
+    found = F.transform(F.filter(matches(scan, rule.led or rule.pattern), keep), one)
     return found if rule.needs is None else F.when(scan.rlike(rule.needs), found).otherwise(F.array().cast(SPANS))
 
 

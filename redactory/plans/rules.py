@@ -18,7 +18,9 @@ from redactory.functions.text import luhn_ok
 @dataclass(frozen=True)
 class Rule:
     """A labelled pattern; ``validator`` maps the matched text to a boolean. A text
-    without a match of ``needs``, a cheap pattern, cannot match and is not scanned."""
+    without a match of ``needs``, a cheap pattern, cannot match and is not scanned.
+    ``led`` is the pattern in the form that is run: the same matches, but a place is
+    left at once if no alternative begins with its character."""
 
     label: str
     pattern: str
@@ -26,6 +28,13 @@ class Rule:
     validator: Callable[[Column], Column] | None = None
     source: str = "rule"
     needs: str | None = None
+    led: str | None = None
+
+
+def led_by(flags: str, *groups: tuple[str, tuple[str, ...]]) -> str:
+    """Alternatives dealt by the characters they begin with. Those that can begin at
+    the same place keep their order, so the first that matches is the same."""
+    return flags + "|".join(f"(?=[{lead}])(?:{'|'.join(alternatives)})" for lead, alternatives in groups)
 
 
 # --- fixed values: patterns ---------------------------------------------------
@@ -43,15 +52,18 @@ NUMBER_WORDS = (
     "one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|"
     "thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand"
 )
-MONEY = (
-    rf"(?i){CURRENCY}\s*\[?\d[\d,]*(?:\.\d{{1,2}})?\]?\s*{MAGNITUDES}\b(?:\s*{CURRENCY_WORDS})?"
-    rf"|\b\d{{1,3}}(?:[\s.,]\d{{3}})*(?:[.,]\d{{1,2}})?\s*{MAGNITUDES}\s*{CURRENCY_WORDS}\b"
-    rf"|{CURRENCY}\s*\[?\d{{1,3}}(?:[\s.,]\d{{3}})*(?:[.,]\d{{1,2}})?\]?"
-    r"|\$\s*\[?\d[\d,]*(?:\.\d{1,2})?\]?"
-    r"|€\s*\[?\d{1,3}(?:\.\d{3})*(?:,\d{1,2})?\]?"
-    r"|£\s*\[?\d[\d,]*(?:\.\d{1,2})?\]?"
-    rf"|\b(?:(?:{NUMBER_WORDS}|million|billion|and)(?:\s+|-)){{1,10}}{CURRENCY_WORDS}\b"
-)
+MONEY_PARTS = (
+    rf"{CURRENCY}\s*\[?\d[\d,]*(?:\.\d{{1,2}})?\]?\s*{MAGNITUDES}\b(?:\s*{CURRENCY_WORDS})?",
+    rf"\b\d{{1,3}}(?:[\s.,]\d{{3}})*(?:[.,]\d{{1,2}})?\s*{MAGNITUDES}\s*{CURRENCY_WORDS}\b",
+    rf"{CURRENCY}\s*\[?\d{{1,3}}(?:[\s.,]\d{{3}})*(?:[.,]\d{{1,2}})?\]?",
+    r"\$\s*\[?\d[\d,]*(?:\.\d{1,2})?\]?",
+    r"€\s*\[?\d{1,3}(?:\.\d{3})*(?:,\d{1,2})?\]?",
+    r"£\s*\[?\d[\d,]*(?:\.\d{1,2})?\]?",
+    rf"\b(?:(?:{NUMBER_WORDS}|million|billion|and)(?:\s+|-)){{1,10}}{CURRENCY_WORDS}\b",
+)
+MONEY = "(?i)" + "|".join(MONEY_PARTS)
+MONEY_LED = led_by("(?i)", ("$£€¥", (*MONEY_PARTS[:1], *MONEY_PARTS[2:6])), (r"\d", MONEY_PARTS[1:2]), ("uegcaj", MONEY_PARTS[:3:2]), ("otfsenhmba", MONEY_PARTS[6:]))
+MONEY_NEEDS = r"[$£€¥]|(?=[UuEeGgCcAaJj])(?i:usd|eur|gbp|cad|aud|jpy|chf)\s*\[?\d|(?=[DdEePpYy])(?i:dollar|euro|pound|yen|yuan)"
 PERCENT = (
     r"(?i)\(?\d+(?:\.\d+)?\s*%\)?"
     r"|\[\d+(?:\.\d+)?\]\s*%"
@@ -71,13 +83,15 @@ IPV6 = (
     rf"|:(?::{HEX4}){{1,7}}|(?:{HEX4}:){{1,4}}:(?:\d{{1,3}}\.){{3}}\d{{1,3}})\b"
 )
 HEX = "[A-Fa-f0-9]"
-DOCID = (
-    rf"(?i)(?:(?:DocuSign|Docusign)\s+Envelope\s+ID:\s*{HEX}{{8}}\s*-\s*{HEX}{{4}}\s*-\s*{HEX}{{4}}\s*-\s*{HEX}{{4}}\s*-\s*{HEX}{{12}})"
-    r"|(?:(?:Document|Doc|File|Envelope|Agreement|Contract|Transaction|Reference|Ref|Case|Matter|Deal|Project)\s*(?:ID|Id|No\.?|Number|#|Ref|Reference)?:\s*[A-Za-z0-9][-A-Za-z0-9_.]{4,40})"
-    rf"|(?:(?<![A-Za-z0-9]){HEX}{{8}}-{HEX}{{4}}-{HEX}{{4}}-{HEX}{{4}}-{HEX}{{12}}(?![A-Za-z0-9]))"
-    r"|(?:(?<![A-Za-z0-9])\d{7,12}(?:\s*[vV]\.?\s*\d{1,3}|\.\d{1,3})(?![A-Za-z0-9]))"
-    r"|(?:\b(?:DOC|ENV|AGR|REF|CASE|MATTER|DEAL|FILE|PROJ|TXN|DMS|ND)(?:[-:_#][A-Za-z0-9]{4,40}|(?=[A-Za-z0-9]*\d)[A-Za-z0-9]{4,20})\b)"
-)
+DOCID_PARTS = (
+    rf"(?:(?:DocuSign|Docusign)\s+Envelope\s+ID:\s*{HEX}{{8}}\s*-\s*{HEX}{{4}}\s*-\s*{HEX}{{4}}\s*-\s*{HEX}{{4}}\s*-\s*{HEX}{{12}})",
+    r"(?:(?:Document|Doc|File|Envelope|Agreement|Contract|Transaction|Reference|Ref|Case|Matter|Deal|Project)\s*(?:ID|Id|No\.?|Number|#|Ref|Reference)?:\s*[A-Za-z0-9][-A-Za-z0-9_.]{4,40})",
+    rf"(?:(?<![A-Za-z0-9]){HEX}{{8}}-{HEX}{{4}}-{HEX}{{4}}-{HEX}{{4}}-{HEX}{{12}}(?![A-Za-z0-9]))",
+    r"(?:(?<![A-Za-z0-9])\d{7,12}(?:\s*[vV]\.?\s*\d{1,3}|\.\d{1,3})(?![A-Za-z0-9]))",
+    r"(?:\b(?:DOC|ENV|AGR|REF|CASE|MATTER|DEAL|FILE|PROJ|TXN|DMS|ND)(?:[-:_#][A-Za-z0-9]{4,40}|(?=[A-Za-z0-9]*\d)[A-Za-z0-9]{4,20})\b)",
+)
+DOCID = "(?i)" + "|".join(DOCID_PARTS)
+DOCID_LED = led_by("(?i)", ("dfeactrmp", DOCID_PARTS[:2]), (r"a-f\d", DOCID_PARTS[2:4]), ("dearcmfptn", DOCID_PARTS[4:]))
 MONTHS = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 BULLETS = "•●○■□"
 GAP = rf"(?:(?:_{{1,}}|[{BULLETS}]+|[ \t]{{2,}})|\[\s*[_{BULLETS}]*\s*\])"
@@ -108,6 +122,13 @@ DATE_GAPS = (
     rf"\b(?:the\s+)?\d{{1,2}}(?:st|nd|rd|th)?\s+day\s+of\s+{MONTHS},?\s*\d{{4}}\b",
 )
 DATE = "(?iU)" + "|".join(DATE_PLAIN + DATE_GAPS)
+DATE_LED = led_by(
+    "(?iU)",
+    (r"\d", (*DATE_PLAIN[:6], DATE_PLAIN[7], DATE_GAPS[2], *DATE_GAPS[4:8], DATE_GAPS[9])),
+    ("jfmasond", (DATE_PLAIN[6], DATE_PLAIN[8], DATE_GAPS[0])),
+    (rf"_{BULLETS}\[ \t", (DATE_GAPS[1], DATE_GAPS[3], DATE_GAPS[8])),
+    ("t", DATE_GAPS[9:]),
+)
 BRACKET_NUMBER = r"(?U)(?<![$€£¥])\[(?:\d{1,3}(?:,\d{3})*|\d+)(?:\.\d+)?\]"
 LEGAL_FORMS = (
     r"(?i:Incorporated|Corporation|Company|Limited)|(?i:Inc)\.?|(?i:Corp)\.?|(?i:Co)\.?|(?i:Ltd)\.?"
@@ -196,20 +217,20 @@ URL_TAIL = r"[.,;:!?)\]}>\\\"']+$"
 
 RULES: tuple[Rule, ...] = (
     Rule("EMAIL", EMAIL, 0.98, needs=r"@"),
-    Rule("PHONE", PHONE, 0.96, needs=r"(?U)\d"),
-    Rule("SSN", SSN, 0.99, needs=r"(?U)\d"),
-    Rule("MONEY", MONEY, 0.90),
-    Rule("PERCENT", PERCENT, 0.90),
+    Rule("PHONE", PHONE, 0.96, needs=r"(?U)\d", led=led_by("(?U)", (r"+\s\d(", (PHONE[4:],)))),
+    Rule("SSN", SSN, 0.99, needs=r"(?U)\d[\-–—−]\d", led=led_by("(?U)", (r"\d", (SSN[4:],)))),
+    Rule("MONEY", MONEY, 0.90, needs=MONEY_NEEDS, led=MONEY_LED),
+    Rule("PERCENT", PERCENT, 0.90, needs=r"%|(?=[Pp])(?i:percent)"),
     Rule("NUMBER", BRACKET_NUMBER, 0.70, needs=r"\["),
-    Rule("DATE", DATE, 0.88),
-    Rule("ACCOUNT", ACCOUNT, 0.80, needs=r"(?U)\d"),
-    Rule("SWIFT", SWIFT, 0.92, needs=r"[0-9]"),
-    Rule("CARD", CARD, 0.92, luhn_ok, needs=r"(?U)\d"),
-    Rule("URL", URL, 0.90),
+    Rule("DATE", DATE, 0.88, needs=rf"(?U)[\d_{BULLETS}\[]|[ \t]{{2}}", led=DATE_LED),
+    Rule("ACCOUNT", ACCOUNT, 0.80, needs=r"(?U)\d", led=led_by("(?U)", (r"\d", (ACCOUNT[4:],)))),
+    Rule("SWIFT", SWIFT, 0.92, needs=r"[0-9]", led=led_by("", ("A-Z", (SWIFT,)))),
+    Rule("CARD", CARD, 0.92, luhn_ok, needs=r"(?U)\d", led=led_by("(?U)", (r"\d", (CARD[4:],)))),
+    Rule("URL", URL, 0.90, needs=r"[.:][^\s<>()]"),
     Rule("IP", IPV4, 0.90, needs=r"[0-9]"),
     Rule("IP", IPV6, 0.90, needs=r":"),
-    Rule("DOCID", DOCID, 0.95),
-    Rule("ORG", ORG, 0.75),
+    Rule("DOCID", DOCID, 0.95, needs=r"[0-9]|[-:_#]\s*[A-Za-z]", led=DOCID_LED),
+    Rule("ORG", ORG, 0.75, needs=r"[A-Z]", led=led_by("(?U)", ("A-Z", (ORG[4:],)))),
     Rule("LOC", ADDRESS, 0.85, needs=r"(?i)[0-9]|address|residing at|location"),
     Rule("LOC", COUNTY, 0.82, needs=r"(?i)county|parish|borough"),
 )
