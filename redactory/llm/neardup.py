@@ -279,8 +279,7 @@ def _rest(open_: DataFrame, sets: DataFrame, large: int, num: int, den: int) ->
     ``large`` of the open nodes are hot, the others cold. Two texts with no cold
     shingle in common share at most the smaller number of hot ones, so only texts
     made of hot shingles almost alone can link; texts that do share cold ones are
-    paired on these, which are rare by definition, and their shared cold shingles
-    are counted."""
+    paired on the rarest of these (``_heads``)."""
     sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     placed = open_.join(sizes, "key")
     other = lambda df: df.select("key", F.col("node").alias("far"), F.col("size").alias("other"), F.col("hot").alias("most"), F.col("component").alias("home"))
@@ -294,14 +293,31 @@ def _rest(open_: DataFrame, sets: DataFrame, large: int, num: int, den: int) ->
     core = core.join(other(core), "key").where(across & (F.least("hot", "most") * (num + den) >= need))
     facts = big.select("node", "size", "hot", "component").distinct()
     mine = materialise(_shingle_rows(facts.select("node").distinct(), sets), "mine")
-    rare = mine.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, large)).select("shingle")
-    cold = mine.join(rare, "shingle")
-    met = cold.join(cold.withColumnRenamed("node", "far"), "shingle").where("node < far").groupBy("node", "far").agg(F.count(F.lit(1)).alias("cold"))
-    met = met.join(facts, "node").join(facts.select(F.col("node").alias("far"), F.col("size").alias("other"), F.col("hot").alias("most"), F.col("component").alias("home")), "far")
-    met = met.where((F.col("component") != F.col("home")) & ((F.least("hot", "most") + F.col("cold")) * (num + den) >= need))
+    head = materialise(_heads(mine, facts, large, num, den), "head")
+    far = head.toDF("shingle", "far", "place2", "all2", "other", "most", "home")
+    met = head.join(far, "shingle").where((F.col("node") < F.col("far")) & (F.col("component") != F.col("home")) & fits)
+    met = met.groupBy("node", "far", "size", "other", "hot", "most").agg(F.count(F.lit(1)).alias("n"), F.max("place").alias("p"), F.max("place2").alias("p2"), F.first("all").alias("all"), F.first("all2").alias("all2"))
+    # what they share up to their last common place, and behind it the shorter rest
+    shared = F.least("hot", "most") + F.col("n") + F.least(F.col("all") - F.col("p"), F.col("all2") - F.col("p2"))
+    met = met.where(shared * (num + den) >= need)
     return _ordered(small).unionByName(_ordered(core)).unionByName(_ordered(met)).distinct()
 
 
+def _heads(mine: DataFrame, facts: DataFrame, large: int, num: int, den: int) -> DataFrame:
+    """(shingle, node, place, all, size, hot, component): of each text's ``all`` cold
+    shingles that others hold, the rarest, without which it cannot link.
+
+    A partner of a text of n shingles is no smaller than n num / den, so they share
+    n num / den or more, and c = n num / den - hot of the cold ones at least. Two
+    texts that share c in one order of all shingles have the first of them in common
+    among the ``all`` - c + 1 first of each."""
+    rare = mine.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, large))
+    own = Window.partitionBy("node")
+    placed = mine.join(rare, "shingle").select("shingle", "node", F.row_number().over(own.orderBy("n", "shingle")).alias("place"), F.count(F.lit(1)).over(own).alias("all"))
+    least = F.greatest(F.lit(1), F.ceil(F.col("size") * num / den) - F.col("hot"))
+    return placed.join(facts, "node").where(F.col("place") <= F.col("all") - least + 1).select("shingle", "node", "place", "all", "size", "hot", "component")
+
+
 def _unsettled(members: DataFrame, known: DataFrame, name: str) -> tuple[DataFrame, int]:
     """Members, with their component, of buckets that hold several components, and
     their number."""

@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-from redactory.llm.neardup import drop_near_duplicates, least_matches, near_duplicates
+from pyspark.sql import functions as F
+
+from redactory.llm.neardup import _heads, drop_near_duplicates, least_matches, near_duplicates
 from redactory.llm.queries import op7_minhash_neardup
 from tests.llm.common import edge_rows, sentence, shingles
 
@@ -85,3 +87,17 @@ def test_sequential_bounds():
     steps = least_matches(130, 26, 0.85, 1e-9)
     assert [n for n, _ in steps] == [26, 52, 78, 104, 130]
     assert all(m < 0.85 * n for n, m in steps) and steps[-1][1] > 60
+
+
+def test_copies_meet_on_few_of_their_shingles(spark):
+    """A group of near copies is not paired on every shingle they share."""
+    mine = spark.createDataFrame([(n, s) for n in range(60) for s in range(100) if (n * 7 + s) % 50], "node long, shingle long")
+    facts = spark.createDataFrame([(n, 100, 0, n) for n in range(60)], "node long, size long, hot long, component long")
+    head = _heads(mine, facts, 64, 80, 100)
+    assert head.count() <= 60 * 21
+    pairs = head.alias("x").join(head.alias("y"), "shingle").where("x.node < y.node").select("x.node", "y.node").distinct()
+    assert pairs.count() == 60 * 59 // 2  # all of them link, and none is lost
+    # 98 cold shingles of 130 are fewer than a link needs
+    assert _heads(mine, facts.withColumn("size", F.lit(130)), 64, 80, 100).count() == 0
+    # beside hot ones a single shared cold one may be enough
+    assert _heads(mine, facts.withColumn("hot", F.lit(90)), 64, 80, 100).count() == mine.count()
