@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from redactory.functions.let import let, let_all
+
 # --- fixed values -----------------------------------------------------------
 APOSTROPHES = "‘’‛ʼ＇"
 DASHES = "‐‑‒–—−"
@@ -68,13 +70,17 @@ def exclusion_key(c: Column) -> Column:
 
 
 def singular_keys(key: Column) -> Column:
-    """A key and its singular, if its ending allows one."""
-    singular = (
-        F.when(key.rlike(r"\(s\)\s*$"), F.trim(F.regexp_replace(key, r"\(s\)\s*$", "")))
-        .when(key.endswith("ies") & (F.length(key) > 3), F.concat(F.substring(key, F.lit(1), F.length(key) - 3), F.lit("y")))
-        .when(key.endswith("s") & (F.length(key) > 1), F.rtrim(F.substring(key, F.lit(1), F.length(key) - 1)))
-    )
-    return F.filter(F.array(key, singular), lambda x: x.isNotNull() & (x != ""))
+    """A key and its singular, if its ending allows one. The key is computed once."""
+
+    def keys(key: Column) -> Column:
+        singular = (
+            F.when(key.rlike(r"\(s\)\s*$"), F.trim(F.regexp_replace(key, r"\(s\)\s*$", "")))
+            .when(key.endswith("ies") & (F.length(key) > 3), F.concat(F.substring(key, F.lit(1), F.length(key) - 3), F.lit("y")))
+            .when(key.endswith("s") & (F.length(key) > 1), F.rtrim(F.substring(key, F.lit(1), F.length(key) - 1)))
+        )
+        return F.filter(F.array(key, singular), lambda x: x.isNotNull() & (x != ""))
+
+    return let(key, keys)
 
 
 def cluster_key(c: Column) -> Column:
@@ -214,14 +220,17 @@ def looks_like_title(c: Column) -> Column:
 
 
 def complexity_score(text: Column, terms=LEGAL_TERMS) -> Column:
-    """A step by word count, raised by legal terms and capitalised words."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    base = reduce(lambda c, step: c.when(n < step[0], step[1]), WORD_STEPS[1:], F.when(n < WORD_STEPS[0][0], WORD_STEPS[0][1])).otherwise(2.0)
-    low = F.lower(text)
-    legal = sum((low.contains(t).cast("int") for t in terms), F.lit(0)) / float(len(terms))
-    capital = F.size(F.filter(words, lambda w: w.rlike("^[A-Z]") & (F.length(w) > 2))) / F.greatest(n, F.lit(1))
-    return F.greatest(F.lit(0.3), F.least(F.lit(3.0), base * (1 + legal * 0.3 + capital * 0.2)))
+    """A step by word count, raised by legal terms and capitalised words. The
+    words and the lower-cased text are made once."""
+
+    def of_words(words: Column, low: Column) -> Column:
+        n = F.size(words)
+        base = reduce(lambda c, step: c.when(n < step[0], step[1]), WORD_STEPS[1:], F.when(n < WORD_STEPS[0][0], WORD_STEPS[0][1])).otherwise(2.0)
+        legal = sum((low.contains(t).cast("int") for t in terms), F.lit(0)) / float(len(terms))
+        capital = F.size(F.filter(words, lambda w: w.rlike("^[A-Z]") & (F.length(w) > 2))) / F.greatest(n, F.lit(1))
+        return F.greatest(F.lit(0.3), F.least(F.lit(3.0), base * (1 + legal * 0.3 + capital * 0.2)))
+
+    return let_all(of_words, words=F.filter(F.split(text, r"\s+"), lambda w: w != ""), low=F.lower(text))
 
 
 def phase_seconds(base: Column, factor: Column, score: Column) -> Column:

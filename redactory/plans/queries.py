@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from redactory.functions import text as X
-from redactory.functions.let import let_all
+from redactory.functions.let import let, let_all
 from redactory.operators import consistency, entities, lexicon, merge, metadata, model, organisations, report, reshape, rewrite, scan, score
 from redactory.plans import model_chain, pipeline
 from redactory.plans import rules as R
@@ -216,9 +216,9 @@ columns("x17_complexity_score", f"round({SCORE_SQL}, 6) AS score", lambda t: [F.
 
 @query("x17_phase_seconds", "WITH p(phase, base, factor) AS (VALUES " + ", ".join(f"('{n}', {b}::DOUBLE, {f}::DOUBLE)" for n, b, f in X.PHASES) + f"), s AS (SELECT doc_id, {SCORE_SQL} AS score FROM documents) SELECT doc_id, phase, round(base + base * factor * (score - 1.0), 5) AS seconds FROM s, p")
 def x17_phases(spark, sf_dir):
-    phases = F.array(*(F.struct(F.lit(n).alias("phase"), F.lit(b).alias("base"), F.lit(f).alias("factor")) for n, b, f in X.PHASES))
-    scored = docs(spark, sf_dir).select("doc_id", X.complexity_score(F.col("text")).alias("score"), F.explode(phases).alias("p"))
-    return scored.select("doc_id", "p.phase", F.round(X.phase_seconds(F.col("p.base"), F.col("p.factor"), F.col("score")), 5).alias("seconds"))
+    # the score is computed before a document becomes a row a phase
+    timed = let(X.complexity_score(F.col("text")), lambda score: F.array(*(F.struct(F.lit(n).alias("phase"), F.round(X.phase_seconds(F.lit(b), F.lit(f), score), 5).alias("seconds")) for n, b, f in X.PHASES)))
+    return docs(spark, sf_dir).select("doc_id", F.inline(timed))
 
 
 @query("x18_target_class", r"""WITH t AS (SELECT page_id, unnest([url, '//srv/' || page_id, 'C:\Users\x', '/a/b', 'http://10.0.0.' || (page_id % 9), 'http://intranet/x', '../up']) AS target FROM pages)
