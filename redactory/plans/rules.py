@@ -176,6 +176,14 @@ ADDRESS = (
 )
 _PROPER = r"[A-Z][A-Za-z'’-]{1,30}"
 COUNTY = rf"(?i)(?:{_PROPER}\s+){{0,2}}{_PROPER}\s+(?:County|Parish|Borough)|(?:County|Parish|Borough)\s+of\s+(?:{_PROPER}\s+){{0,2}}{_PROPER}"
+# a word ends where no character of it follows, so it is read in one way; within a word
+# whose beginning led nowhere nothing else begins, unless the word is too long
+_WORD = r"[A-Z][A-Za-z'’-]{1,30}+"
+_UNITS_OF_LAND = "(?:County|Parish|Borough)"
+COUNTY_LED = (
+    rf"(?i)(?=[A-Z])(?:(?:\G|(?<![A-Z])|(?=[A-Z'’-]{{31}}))(?:{_WORD}\s++){{0,2}}{_WORD}\s++{_UNITS_OF_LAND}"
+    rf"|(?=[CPB]){_UNITS_OF_LAND}\s+of\s+(?:{_WORD}\s++){{0,2}}{_WORD})"
+)
 DEFINED_NAME = r"([A-Z][A-Za-z'\-\.]+(?:\s+[A-Z][A-Za-z'\-\.]+){1,2})\s*\(\s*[\"“”]([A-Z][A-Za-z'\-\.]+)[\"”]\s*\)"
 SIGNATURE_LINE = r"(?im)(?:^|\n)\s*Name:\s*([^\n]+?)\s*(?:\n|$)"
 PERSON = r"^[A-Z][a-z]+(?:\s+(?:[A-Z][a-z]+|[A-Z]\.?))?\s+[A-Z][a-z]+$"
@@ -232,6 +240,6 @@ RULES: tuple[Rule, ...] = (
     Rule("DOCID", DOCID, 0.95, needs=r"[0-9]|[-:_#]\s*[A-Za-z]", led=DOCID_LED),
     Rule("ORG", ORG, 0.75, needs=r"[A-Z]", led=led_by("(?U)", ("A-Z", (ORG[4:],)))),
     Rule("LOC", ADDRESS, 0.85, needs=r"(?i)[0-9]|address|residing at|location"),
-    Rule("LOC", COUNTY, 0.82, needs=r"(?i)county|parish|borough"),
+    Rule("LOC", COUNTY, 0.82, needs=r"(?=[CcPpBb])(?i:county|parish|borough)", led=COUNTY_LED),
 )
 SIGNATURE = "SIGNATURE"
