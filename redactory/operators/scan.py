@@ -24,8 +24,30 @@ from redactory.schemas import SPAN, SPANS
 _PLACES = "array<struct<start:int,end:int,text:string>>"
 
 
+#: Set around matches: a character for private use.
+MARK = "\uf8f1"
+
+
+def gaps_and_matches(text: Column, pattern: Column) -> Column:
+    """array<struct(gap, m)>: the length of the gap before each match, and the match."""
+    pair = lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m"))
+    none = F.array().cast("array<struct<gap:int,m:string>>")
+
+    def cut(marked):
+        parts = F.split(marked, MARK, -1)
+        return let(parts, lambda p: F.transform(F.sequence(F.lit(0), F.size(p) - 3, F.lit(2)), lambda i: pair(F.get(p, i), F.get(p, i + 1))))
+
+    def twice(found):
+        return F.when(F.size(found) > 0, F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, pair)).otherwise(none)
+
+    once = let(F.regexp_replace(text, pattern, F.lit(f"{MARK}$0{MARK}")), lambda marked: F.when(F.octet_length(marked) > F.octet_length(text), cut(marked)).otherwise(none))
+    return F.when(text.contains(MARK), let(F.regexp_extract_all(text, pattern, F.lit(0)), twice)).otherwise(once)
+
+
 def matches(text: Column, pattern: str | Column) -> Column:
-    """array<struct(start, end, text)> of all leftmost matches, in order."""
+    """array<struct(start, end, text)> of all leftmost matches, in order. The
+    pattern runs once over a text: it marks the matches, and the marks part them from
+    the gaps. A text that holds the mark itself is read twice."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     empty = F.array().cast(_PLACES)
     begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_PLACES}>").alias("out"))
@@ -39,14 +61,11 @@ def matches(text: Column, pattern: str | Column) -> Column:
         made = F.aggregate(part, F.struct(acc["at"].alias("at"), empty.alias("out")), step)
         return let(made, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
 
-    def placed(found, gaps):
-        pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
+    def placed(pairs):
         return F.aggregate(in_blocks(pairs), begin, block, lambda acc: F.flatten(acc["out"]))
 
     def of(text, pattern):
-        found = F.regexp_extract_all(text, pattern, F.lit(0))
-        # the gaps are cut out only where something matched
-        return let(found, lambda f: F.when(F.size(f) > 0, placed(f, F.split(text, pattern, -1))).otherwise(empty))
+        return let(gaps_and_matches(text, pattern), lambda pairs: F.when(F.size(pairs) > 0, placed(pairs)).otherwise(empty))
 
     return F.when(text.isNull(), empty).otherwise(let_all(of, text=text, pattern=pattern))
 
