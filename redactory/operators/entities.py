@@ -153,17 +153,21 @@ def cluster_mentions(labels: Iterable[str], texts: Iterable[str]) -> list[tuple[
 
 def cluster_entities(spans: DataFrame) -> DataFrame:
     """W4 on the long form: entity ids of NAME, ORG and BRAND; a mention that joins
-    a cluster gains confidence. One task sees one document's one label at a time."""
-    named = spans.where(F.col("label").isin(*CLUSTERED))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start", "end", "text"], kind="stable")
-        made = cluster_mentions(pdf["label"], pdf["text"])
-        gain = pd.Series([AGREEMENT_BONUS if joined else 0.0 for _, joined in made], index=pdf.index)
-        return pdf.assign(entity_id=[i for i, _ in made], confidence=(pdf["confidence"].fillna(0.7) + gain).clip(0, 1))
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema.fields if f.name != "entity_id")
-    return named.drop("entity_id").groupBy("doc_id", "label").applyInPandas(run, f"{fields}, entity_id string")
+    a cluster gains confidence. The mentions of one document's one label are one row,
+    and many such rows reach the helper at once."""
+    named = spans.where(F.col("label").isin(*CLUSTERED)).drop("entity_id")
+    mention = F.struct("start", "end", "text", F.struct(*(F.col(c) for c in named.columns)).alias("row"))
+    packed = named.groupBy("doc_id", "label").agg(F.sort_array(F.collect_list(mention)).alias("mentions"))
+
+    @F.pandas_udf("array<struct<entity_id:string,joined:boolean>>")
+    def identities(labels: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"entity_id": i, "joined": joined} for i, joined in cluster_mentions([label] * len(ts), ts)] for label, ts in zip(labels, texts, strict=True)], dtype=object)
+
+    made = packed.withColumn("made", identities("label", F.col("mentions.text"))).select(F.inline(F.arrays_zip(F.col("mentions.row").alias("row"), F.col("made").alias("made"))))
+    gain = F.when(F.col("made.joined"), AGREEMENT_BONUS).otherwise(0.0)
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("row.confidence", F.lit(0.7)) + gain))
+    fields = (sure.cast(named.schema["confidence"].dataType).alias(c) if c == "confidence" else F.col(f"row.`{c}`") for c in named.columns)
+    return made.select(*fields, F.col("made.entity_id").alias("entity_id"))
 
 
 def identify_entities(spans: DataFrame) -> DataFrame:

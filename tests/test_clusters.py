@@ -56,3 +56,19 @@ def test_many_mentions():
     began = time.perf_counter()
     cluster_mentions(["NAME"] * len(again), again)
     assert time.perf_counter() - began < 20
+
+
+def test_many_groups_reach_the_helper_at_once(spark):
+    from redactory.operators.entities import cluster_entities, cluster_mentions
+
+    rows = [(d, at, at + 3, label, text, None if at % 2 else 0.98, "rule") for d in range(30) for at, (label, text) in enumerate([("ORG", "Acme Inc"), ("ORG", "Acme"), ("NAME", "Ann Lee"), ("DATE", "May 1"), ("ORG", f"Zeta {d}"), ("NAME", "Lee Ann")])]
+    out = cluster_entities(spark.createDataFrame(rows, "doc_id long, start int, end int, label string, text string, confidence double, source string"))
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.columns[:7] == ["doc_id", "start", "end", "label", "text", "confidence", "source"]
+    got = {(r.doc_id, r.start): (r.entity_id, round(r.confidence, 6)) for r in out.collect()}
+    for d in range(30):
+        for label in ("ORG", "NAME"):
+            mine = [r for r in rows if r[0] == d and r[3] == label]
+            for r, (entity, joined) in zip(mine, cluster_mentions([label] * len(mine), [r[4] for r in mine]), strict=True):
+                assert got.pop((d, r[1])) == (entity, round(min(1.0, (0.7 if r[5] is None else r[5]) + (0.07 if joined else 0)), 6))
+    assert not got
