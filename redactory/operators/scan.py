@@ -10,8 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from redactory.functions.let import in_blocks, let, let_all
 from redactory.functions.text import scan_normalize
@@ -19,11 +23,12 @@ from redactory.operators.dictionary import find_own_terms, find_terms
 from redactory.operators.lexicon import Lexicon
 from redactory.plans import rules as R
 from redactory.plans.rules import Rule
-from redactory.schemas import SPAN, SPANS
+from redactory.schemas import SPANS
 
 _PLACES = "array<struct<start:int,end:int,text:string>>"
 
 
+PAIRS = "array<struct<gap:int,m:string>>"
 #: Set around matches: a character for private use.
 MARK = "\uf8f1"
 
@@ -31,7 +36,7 @@ MARK = "\uf8f1"
 def gaps_and_matches(text: Column, pattern: Column) -> Column:
     """array<struct(gap, m)>: the length of the gap before each match, and the match."""
     pair = lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m"))
-    none = F.array().cast("array<struct<gap:int,m:string>>")
+    none = F.array().cast(PAIRS)
 
     def cut(marked):
         parts = F.split(marked, MARK, -1)
@@ -245,19 +250,63 @@ COUNTRIES = r"United\s+States|USA|US|America|Canada|Mexico|United\s+Kingdom|UK|E
 CITIES = r"New\s+York\s+City|Los\s+Angeles|Chicago|Houston|Phoenix|Philadelphia|San\s+Antonio|San\s+Diego|Dallas|San\s+Jose|Austin|Jacksonville|Fort\s+Worth|Columbus|San\s+Francisco|Charlotte|Indianapolis|Seattle|Denver|Washington\s+DC|Boston|El\s+Paso|Detroit|Nashville|Portland|Memphis|Oklahoma\s+City|Las\s+Vegas|Louisville|Baltimore|Milwaukee|Albuquerque|Tucson|Fresno|Mesa|Sacramento|Atlanta|Kansas\s+City|Colorado\s+Springs|Miami|Raleigh|Omaha|Long\s+Beach|Virginia\s+Beach|Oakland|Minneapolis|Tulsa|Arlington|Tampa|New\s+Orleans"
 WRITTEN_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 _STATES = R.STATE_NAMES.replace(" ", r"\s+").replace(r"|District\s+of\s+Columbia", "")
+
+
+def by_prefix(words: str) -> str:
+    """The same alternatives in the same order of preference, those that begin alike
+    with their common characters read once. Only plain characters are shared; two
+    words change places only if their first characters tell them apart."""
+
+    def tree(tails: list[str]) -> str:
+        parts: list[tuple[str, list[str]]] = []
+        movable = 0  # what comes before here may be empty or no plain character, so nothing passes it
+        for tail in tails:
+            head = tail[0] if tail and (tail[0].isalpha() or tail[0] == " ") and tail[1:2] not in ("?", "*", "+") else ""
+            same = next((rest for h, rest in parts[movable:] if head and h.lower() == head.lower()), None)
+            if same is not None:
+                same.append(tail[1:])
+            else:
+                parts.append((head, [tail[1:] if head else tail]))
+                movable = movable if head else len(parts)
+        made = [head + (tree(rest) if len(rest) > 1 else rest[0]) if head else rest[0] for head, rest in parts]
+        return made[0] if len(made) == 1 else f"(?:{'|'.join(made)})"
+
+    outer: list[str] = []  # a bar within brackets parts no words
+    for part in words.split("|"):
+        if outer and outer[-1].count("(") > outer[-1].count(")"):
+            outer[-1] += "|" + part
+        else:
+            outer.append(part)
+    return tree(outer)
+
+
+_ENDING = by_prefix(COMPANY_ENDINGS)
+_COMPANY = rf"(?i)\b[A-Z][a-zA-Z\s&]+(?:\s+(?:{COMPANY_ENDINGS}))\b"
+_PAIR = r"(?i)\b[A-Z][a-z]+\s+(?:[A-Z]\.\s+)?[A-Z][a-z]+\b"
 GAZETTEER = (
-    ("NAME", rf"(?i)\b(?:{FIRST_NAMES})\b", 0.85),
-    ("NAME", rf"(?i)\b(?:{TITLES})\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?", 0.85),
-    ("NAME", r"(?i)\b[A-Z][a-z]+\s+(?:[A-Z]\.\s+)?[A-Z][a-z]+\b", 0.85),
-    ("ORG", rf"(?i)\b[A-Z][a-zA-Z\s&]+(?:\s+(?:{COMPANY_ENDINGS}))\b", 0.80),
-    ("ORG", rf"(?i)\b(?:{KNOWN_COMPANIES})\b", 0.80),
-    ("ORG", rf"(?i)\b(?:the\s+)?(?:{BODIES})\b", 0.80),
-    ("LOC", rf"(?i)\b(?:{_STATES})\b", 0.90),
-    ("LOC", rf"(?i)\b(?:{COUNTRIES})\b", 0.90),
-    ("LOC", rf"(?i)\b(?:{CITIES})\b", 0.90),
+    ("NAME", rf"(?i)\b{by_prefix(FIRST_NAMES)}\b", 0.85),
+    ("NAME", rf"(?i)\b{by_prefix(TITLES)}\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?", 0.85),
+    ("NAME", _PAIR, 0.85),
+    ("ORG", _COMPANY, 0.80),
+    ("ORG", rf"(?i)\b{by_prefix(KNOWN_COMPANIES)}\b", 0.80),
+    ("ORG", rf"(?i)\b(?:the\s+)?{by_prefix(BODIES)}\b", 0.80),
+    ("LOC", rf"(?i)\b{by_prefix(_STATES)}\b", 0.90),
+    ("LOC", rf"(?i)\b{by_prefix(COUNTRIES)}\b", 0.90),
+    ("LOC", rf"(?i)\b{by_prefix(CITIES)}\b", 0.90),
     ("DATE", rf"(?i)\b(?:{WRITTEN_MONTHS})\s+\d{{1,2}},?\s+\d{{4}}\b", 0.92),
     ("DATE", rf"(?i)\b\d{{1,2}}\s+(?:{WRITTEN_MONTHS})\s+\d{{4}}\b", 0.92),
 )
+#: Pattern -> (pattern that is run, what a whole match of it is like). A clause in which
+#: a company fails at the first word has none: it is passed over as one more match,
+#: which goes again, instead of being read to its end from each word.
+PASSING = {_COMPANY: (rf"(?i)\b[A-Z][a-zA-Z\s&]+\s{_ENDING}\b|\b[A-Z][a-zA-Z\s&]*+[^a-zA-Z\s&]?", rf"(?i)\s{_ENDING}$", rf"(?i)^[A-Z][a-zA-Z\s&]+\s{_ENDING}$")}
+#: What a text must hold for a list to match in it: a word of any of the lists, which is
+#: looked for once for all of them, or a company's ending.
+_LISTED = rf"(?i)\b{by_prefix('|'.join((FIRST_NAMES, TITLES, KNOWN_COMPANIES, BODIES, _STATES, COUNTRIES, CITIES, WRITTEN_MONTHS)))}"
+_ENDED = rf"(?i)\s{_ENDING}\b"
+NEEDS = {p: _ENDED if p == _COMPANY else _LISTED for _, p, _ in GAZETTEER if p != _PAIR}
+#: Characters from the end of a company's match that hold its ending.
+_TAIL = max(map(len, COMPANY_ENDINGS.split("|"))) + 1
 # fixed values
 DEFINED_BODIES = ("the company", "the corporation", "the firm", "the entity")
 
@@ -265,15 +314,58 @@ DEFINED_BODIES = ("the company", "the corporation", "the firm", "the entity")
 def scan_gazetteer(docs: DataFrame, lists=GAZETTEER) -> DataFrame:
     """The built-in extractor: (label, pattern, confidence) lists, overlaps
     resolved greedily within a document."""
-    from redactory.operators.merge import remove_overlaps_greedy
-
-    def part(label, pattern, confidence):
-        body = lambda m: F.lower(m["text"]).isin(*DEFINED_BODIES)
-        found = matches(F.col("text"), pattern)
-        if label == "ORG":  # a defined term counts only if written as one
-            found = F.filter(found, lambda m: ~body(m) | m["text"].rlike("^[A-Z]") | m["text"].contains("Company"))
-        sure = lambda m: F.when(body(m), 0.75).otherwise(confidence) if label == "ORG" else F.lit(confidence)
-        return F.transform(found, lambda m: span(m["start"], m["end"], label, m["text"], sure(m), "gazetteer"))
-
-    all_ = F.flatten(F.array(*(part(*x) for x in lists))).cast(f"array<{SPAN}>")
-    return docs.select("doc_id", all_.alias("spans")).select("doc_id", F.inline(remove_overlaps_greedy(F.col("spans"))))
+    def part(text, needed, number, label, pattern, confidence):
+        run, tail, whole = PASSING.get(pattern, (pattern, None, None))
+        body = lambda m: (F.length(m) <= max(map(len, DEFINED_BODIES))) & F.lower(m).isin(*DEFINED_BODIES)
+
+        def sure(m):  # null: no entity
+            c = F.lit(confidence)
+            if label == "ORG":  # a defined term counts only if written as one
+                c = F.when(~body(m), c).when(m.rlike("^[A-Z]") | m.contains("Company"), 0.75)
+            # most that is passed over shows by its end
+            return c if tail is None else F.when(F.substring(m, -_TAIL, _TAIL).rlike(tail) & m.rlike(whole), c)
+
+        item = lambda p: F.struct(F.lit(number).alias("k"), F.lit(label).alias("label"), p["gap"].alias("gap"), F.length(p["m"]).alias("len"), p["m"].alias("text"), sure(p["m"]).cast("double").alias("confidence"))
+        found = gaps_and_matches(text, F.lit(run))
+        return F.transform(found if pattern not in NEEDS else F.when(needed[NEEDS[pattern]], found).otherwise(F.array().cast(PAIRS)), item)
+
+    def all_of(text, listed, ended):
+        return F.flatten(F.array(*(part(text, {_LISTED: listed, _ENDED: ended}, i, *x) for i, x in enumerate(lists))))
+
+    text = F.col("text")
+    found = docs.select("doc_id", let_all(all_of, text=text, listed=text.rlike(_LISTED), ended=text.rlike(_ENDED)).alias("m"))
+    kept = resolved_places(F.col("m.k"), F.col("m.gap"), F.col("m.len"), F.col("m.confidence"))
+    spans = F.transform("kept", lambda p: let(F.get("m", p["i"]), lambda m: span(p["start"], p["end"], m["label"], m["text"], m["confidence"], "gazetteer")))
+    return found.withColumn("kept", kept).select("doc_id", F.inline(spans))
+
+
+@F.arrow_udf(ArrayType(StructType([StructField(c, IntegerType()) for c in ("i", "start", "end")])))
+def resolved_places(list_no: pa.Array, gap: pa.Array, length: pa.Array, confidence: pa.Array) -> pa.Array:
+    """For each document's matches, list after list: number and place of those that
+    W6 keeps. A match without a confidence only moves those behind it in its list."""
+    flat = lambda a: a.flatten().to_numpy(zero_copy_only=False)
+    sizes = np.array([n or 0 for n in pc.list_value_length(list_no).to_pylist()], dtype=np.int64)
+    k, long, sure = flat(list_no), flat(length).astype(np.int64), flat(confidence).astype(float)
+    ends = np.cumsum(flat(gap).astype(np.int64) + long)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    # the first of each document's each list begins at its own gap
+    first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (row[1:] != row[:-1])]) if len(k) else np.zeros(0, np.int64)
+    before = np.r_[0, ends[:-1]][first] if len(k) else ends
+    ends = ends - np.repeat(before, np.diff(np.r_[first, len(k)]))
+    starts, number = ends - long, np.arange(len(k)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    real = np.flatnonzero(~np.isnan(sure))
+    order = real[np.lexsort((number[real], -long[real], starts[real], row[real]))]
+    kept: list[int] = []
+    last_row, last_start, last_end, last_sure = -1, 0, 0, 0.0
+    for at, r, a, z, c in zip(order.tolist(), row[order].tolist(), starts[order].tolist(), ends[order].tolist(), sure[order].tolist(), strict=True):
+        if r != last_row or not (a < last_end and z > last_start):
+            kept.append(at)
+        elif c > last_sure or z - a > last_end - last_start:
+            kept[-1] = at
+        else:
+            continue
+        last_row, last_start, last_end, last_sure = r, a, z, c
+    at = np.array(kept, dtype=np.int64)
+    offsets = np.r_[0, np.cumsum(np.bincount(row[at], minlength=len(sizes)))].astype(np.int32)
+    fields = [pa.array(x[at].astype(np.int32)) for x in (number, starts, ends)]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, ["i", "start", "end"]))
