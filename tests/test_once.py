@@ -119,3 +119,12 @@ def test_gazetteer_reads_a_clause_once_and_finds_the_same(spark):
     began = time.perf_counter()
     assert scan.scan_gazetteer(long, [x for x in scan.GAZETTEER if x[0] == "ORG"]).count() == 0
     assert time.perf_counter() - began < 8
+
+
+def test_every_legal_form_begins_with_a_led_character(spark):
+    from redactory.operators import reshape
+
+    forms = "Incorporated|Corporation|Company|Limited|Inc.|Corp|Co.|Ltd.|L.L.C.|LC|General Partnership|P.A.|Federal Savings Bank|National Association|Trust Company|Holdings|Group|Fund|Statutory Trust|REIT|Foundation|Association|Society|Institute|GmbH|AG|S.A.S.|Sp. z o.o.|B.V.|N.V.|plc|p.l.c.|Banks|none".split("|")
+    df = spark.createDataFrame([(f"Xyz {f}{end}",) for f in forms for end in ("", " ", " x")], "text string")
+    both = df.select(F.col("text").rlike(reshape.ENDING_FORM).alias("a"), F.col("text").rlike(R.ORG_FORM_AT_END).alias("b")).collect()
+    assert all(r.a == r.b for r in both) and sum(r.b for r in both) >= 60
